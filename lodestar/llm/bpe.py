@@ -19,12 +19,12 @@ from __future__ import annotations
 import json
 import re
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from lodestar.llm.common import map_texts
 
 NONE = 1 << 62
 #: Strings between white space whose encodings a Python worker keeps at a time, before a batch.
@@ -247,49 +247,30 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _slices(texts: list) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x or "")
-        if size >= BATCH_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``ids`` (binary, little-endian unsigned 32-bit) and ``n_tokens``; ``decoded``: a column for what the ids
-    decode to; ``drop``: columns that the result needn't have. A map over rows: no shuffle, and a lost task is redone
+    """Add ``n_tokens``, ``ids`` (binary, little-endian unsigned 32-bit) and, if asked for, ``decoded``: a column for what the
+    ids decode to; ``drop``: columns that the result needn't have. A map over rows: no shuffle, and a lost task is redone
     alone."""
-    out = ["n_tokens", "ids", *([decoded] if decoded else [])]
-    keep = [f for f in df.schema.fields if f.name not in (*out, *drop)]
+    out = {"n_tokens": "long", "ids": "binary"} | ({decoded: "string"} if decoded else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], dict[str, list]]:
         c = codec(path)
-        for pdf in batches:
-            texts = pdf[text].tolist()
-            for a, b in _slices(texts):
-                got = c.encode(texts[a:b])
-                part = pdf.iloc[a:b][[f.name for f in keep]].copy()
-                part["n_tokens"], part["ids"] = [len(x) // 4 for x in got], got
-                if decoded:
-                    part[decoded] = [c.decode(x) for x in got]
-                yield part
 
-    types = [T.LongType(), T.BinaryType(), T.StringType()]
-    needed = [*dict.fromkeys([*(f.name for f in keep), text])]
-    return df.select(needed).mapInPandas(run, T.StructType([*keep, *(T.StructField(n, t) for n, t in zip(out, types, strict=False))]))
+        def run(texts: list) -> dict[str, list]:
+            ids = c.encode(texts)
+            return {"n_tokens": [len(x) // 4 for x in ids], "ids": ids} | ({decoded: [c.decode(x) for x in ids]} if decoded else {})
+
+        return run
+
+    return map_texts(df, [c for c in df.columns if c not in (*out, *drop)], text, start, out, BATCH_CHARS)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text that ``ids`` (as ``encode`` writes them) decode to; null ids: the empty text. Unknown ids are left out,
     as the library does."""
-    keep = [f for f in df.schema.fields if f.name != out]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start() -> Callable[[list], dict[str, list]]:
         c = codec(path)
-        for pdf in batches:
-            yield pdf[[f.name for f in keep]].assign(**{out: [c.decode(bytes(x or b"")) for x in pdf[ids]]})
+        return lambda values: {out: [c.decode(x or b"") for x in values]}
 
-    return df.select([f.name for f in keep]).mapInPandas(run, T.StructType([*keep, T.StructField(out, T.StringType())]))
+    return map_texts(df, [c for c in df.columns if c != out], ids, start, {out: "string"}, BATCH_CHARS)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,30 @@ def n_words(text: Column) -> Column:
 def text_key(text: Column) -> list[Column]:
     """128 bits that stand for a text, as two long columns ``t1`` and ``t2``."""
     return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(7), text).alias("t2")]
+
+
+#: Arrow types of the columns that ``map_texts`` adds, by their DDL names.
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, fn: Callable[[], Callable[[list], dict[str, list]]], out: dict[str, str], chars: int = 4_000_000, arrow: dict[str, pa.DataType] | None = None) -> DataFrame:
+    """The columns ``keep`` as they are (nulls and large integers too) and those that ``fn()(texts)`` makes of about
+    ``chars`` characters of texts at a time. ``fn`` is called once a task. ``out``: name -> DDL type of a new column;
+    ``arrow``: the Arrow types of nested ones."""
+    types = {c: (arrow or {}).get(c) or _ARROW[t] for c, t in out.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = fn()
+        for batch in batches:
+            texts, start, size = batch.column(text).to_pylist(), 0, 0
+            for i, t in enumerate(texts, 1):
+                size += len(t or "")
+                if size >= chars or i == len(texts):
+                    made = make(texts[start:i])
+                    kept = [batch.column(c).slice(start, i - start) for c in keep]
+                    yield pa.RecordBatch.from_arrays([*kept, *(pa.array(made[c], t) for c, t in types.items())], names=[*keep, *types])
+                    start, size = i, 0
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"`{c}` {t}" for c, t in out.items())])
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
