@@ -10,7 +10,8 @@ time along the null space of the constraints (number of documents, number of wor
 totals stay as they are; when no such move is left, a block has two undecided documents at most. Blocks of about
 ``BLOCK`` documents fly alone, whatever the size of a source; what they leave undecided meets in new blocks, a level at a
 time, until a source is one block. There ``HELD`` documents stay out of the flight, and the landing rounds them and the last
-undecided ones together, by trying all ways, to the one that comes nearest to both totals. Random choices come from hashes of the documents, so reruns agree.
+undecided ones together, by trying all ways, to the one that comes nearest to both totals. Random
+choices come from hashes of the documents, so reruns agree.
 
 Edge cases: a null text has size 0; documents of size 0 are taken like others and add no words; a source without words
 has target 0 and takes nothing; rows that are alike in key and size are separate units; an empty table gives no rows;
@@ -87,9 +88,10 @@ def flight(p: list[float], size: list[int], rng: random.Random, landing: bool) -
     return p
 
 
-def _fly(landing: bool):
+def _fly(block: int):
     def run(group: pa.Table) -> pa.Table:
         p, size, tie = (group.column(c).to_pylist() for c in ("__p", "size", "__tie"))
+        landing = group.column("n")[0].as_py() <= block  # the source has no other block
         order = sorted(range(len(p)), key=lambda i: (tie[i], size[i]))
         seed = tie[order[0]] ^ len(order)
         moved = flight([p[i] for i in order], [size[i] for i in order], random.Random(seed), landing)
@@ -113,13 +115,13 @@ def mix(units: DataFrame, key: list[str], cap: float = CAP, share: float = 1.0)
     rows = rows.withColumn("__whole", F.floor(F.col("__r") + EPS)).withColumn("__p", F.greatest(F.col("__r") - F.col("__whole"), F.lit(0.0)))
     done = None
     while True:
-        # 4096 documents a block at first; two of each block go on
+        # two of each block go on at most; a source of one block lands
         blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long")
         last = largest <= BLOCK
         block = F.pmod(F.xxhash64("__tie", F.lit(largest)), blocks).alias("__block")
-        flown = rows.select("*", block).groupBy("source", "__block").applyInArrow(_fly(last), rows.select("*", block).schema)
+        flown = rows.select("*", block).groupBy("source", "__block").applyInArrow(_fly(BLOCK), rows.select("*", block).schema)
         flown = written(flown.drop("__block"), "mix-flown")
-        decided = flown if last else flown.filter("__p = 0 or __p = 1")
+        decided = flown.filter("__p = 0 or __p = 1")
         done = decided if done is None else done.unionByName(decided)
         if last:
             break
