@@ -29,31 +29,32 @@ SKETCH_K = 400
 LEAST_SPREAD = {"symbol_rate": (0.15, False), "dup_line_rate": (0.15, False), "repeat_rate": (0.15, False), "word_length": (2.0, True)}
 
 
-def repeated_window_words(words: Column, n: int = 3) -> Column:
-    """How many words stand in n-word windows that the array holds twice or more, the first one included."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.struct(F.xxhash64(*(F.element_at(words, i + k) for k in range(n))).alias("h"), i.alias("i")))
-    ordered = F.array_sort(windows)
-    # a window that equals its neighbour in the order of hashes is one of several
-    twins = F.zip_with(F.slice(ordered, 1, F.size(ordered) - 1), F.slice(ordered, 2, F.size(ordered) - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    starts = F.flatten(F.filter(twins, lambda x: x.isNotNull()))
-    covered = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(*(i + k for k in range(n))))))
-    return F.when(F.size(words) > n, F.size(covered)).otherwise(F.lit(0)).cast("long")
-
-
-def features(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """key, ``keep`` and the measures of each row's text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    df = df.select(F.col(key), *keep, t.alias("__t")).withColumns({"__w": F.filter(F.split("__t", SPACE + "+"), lambda w: w != ""), "__l": F.filter(F.split("__t", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))})
-    return df.select(
+def features(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("lang", "source"), n: int = 3) -> DataFrame:
+    """key, ``keep`` and the measures of each row's text. Words in repeated n-word windows are counted in one sort: a window is
+    a long, the high bits of its hash before its place, so equal windows stand side by side. Places take the fewest bits
+    that hold them; the hash keeps 54 of its 64 bits in a text of 1,000 words."""
+    df = df.select(F.col(key), *keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
+    df = df.withColumn("__w", F.array_remove(F.split("__t", SPACE), ""))
+    df = df.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
+    df = df.select(
         key,
         *keep,
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.translate("__t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("__t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").cast("long").alias("n_lines"),
-        repeated_window_words(F.col("__w")).alias("n_repeat_words"),
+        "__w",
+        F.length(F.bin(F.size("__w").cast("long"))).alias("__bits"),
     )
+    place = lambda i: F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.xxhash64(*(F.get("__w", i + k) for k in range(n))), F.col("__bits")), F.col("__bits")).bitwiseOR(i.cast("long"))
+    last = F.size("__w") - n
+    df = df.withColumn("__o", F.when(last > 0, F.sort_array(F.transform(F.sequence(F.lit(0), last), place))).otherwise(F.array().cast("array<long>")))
+    twin = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), F.col("__bits")) == 0
+    twins = F.filter("__o", lambda x, i: ((i > 0) & twin(x, F.get("__o", F.greatest(i - 1, F.lit(0))))) | twin(x, F.get("__o", i + 1)))
+    at = F.transform(twins, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1))
+    covered = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(i + k for k in range(n))))))
+    return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("__w", "__o", "__bits")
 
 
 def _measures() -> dict[str, Column]:
