@@ -60,13 +60,13 @@ def fingerprint(text: str | None, width: int, seed: int) -> int:
     return sum(1 << i for i in np.flatnonzero(2 * counts > len(found)).tolist())
 
 
-def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``key`` and ``fp`` (the fingerprint's bits as a long) of each row."""
+def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``keep`` and ``fp`` (the fingerprint's bits as a long) of each row."""
 
     def start() -> Callable[[list], dict[str, list]]:
         return lambda texts: {"fp": np.array([fingerprint(t, width, seed) for t in texts], np.uint64).view(np.int64)}
 
-    return map_texts(df, [key], text, start, {"fp": "long"})
+    return map_texts(df, [key, *keep], text, start, {"fp": "long"})
 
 
 def spanning_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> list[tuple[int, int]]:
@@ -144,12 +144,21 @@ def components(edges: DataFrame) -> DataFrame:
         e = written(small.distinct(), "links")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 3) -> DataFrame:
-    """Each row's ``key``, ``fp`` and ``component_id``: the smallest key reachable over links of ``radius`` bits at most."""
-    marked = written(fingerprints(df, key, text, width, seed), "simhash")
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, radius: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's ``key``, ``keep``, ``fp``, ``root`` (a fingerprint that stands for its component) and ``component_id``: the
+    smallest key reachable over links of ``radius`` bits at most."""
+    marked = written(fingerprints(df, key, text, width, seed, keep), "simhash")
     distinct = written(marked.groupBy("fp").agg(F.min(key).alias("first")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), radius))
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = grouped.join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    named = grouped.join(smallest, "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select(key, *keep, "fp", "root", "component_id")
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``df`` with one row of each component: the one of the smallest key (then of the smallest hash)."""
+    marked = df.withColumns({"__k1": F.xxhash64(key, text), "__k2": F.xxhash64(F.lit(7), text, key)})
+    found = near_duplicates(marked, key, text, keep=("__k1", "__k2"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "__k1", "__k2")).alias("x")).select("x.__k1", "x.__k2")
+    return marked.join(first, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*df.columns)
