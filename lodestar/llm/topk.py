@@ -67,8 +67,8 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     shards, blocks = max(1, -(-total // SHARD)), max(1, -(-queries // QUERIES))
     every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
     dims = F.size("v").alias("dims")
-    rows = base.select("id", "v", "row", dims, F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), every(blocks, "block"))
-    asks = base.filter("q").select("id", "v", "row", dims, F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).alias("block"), every(shards, "shard"))
+    rows = base.select("id", "v", "row", dims, F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), every(blocks, "block"))
+    asks = base.filter("q").select("id", "v", "row", dims, F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), every(shards, "shard"))
 
     def matrix(t: pa.Table) -> np.ndarray:
         return t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)

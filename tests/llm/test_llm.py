@@ -168,6 +168,17 @@ def test_langid_held_out(spark):
     assert np.mean([names[int(np.argmax(r.ll))] == r.lang for r in rows]) > 0.9
 
 
+def test_topk_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 40)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(1)
+    v = np.floor(256 * rng.normal(size=(400, 16)))
+    rows = [(i, (x / 256).tolist()) for i, x in enumerate(v)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect()
+    want = [(q, r + 1, c, int(v[q] @ v[c])) for q in range(0, 400, 20) for r, c in enumerate(sorted((c for c in range(400) if c != q), key=lambda c: (-(v[q] @ v[c]), c))[:5])]
+    assert sorted(map(tuple, got)) == want
+
+
 def test_topk_edges(spark):
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [-1.0, 0.1]), (50, [1.0, 1.0]), (5, [1.0])]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
