@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_texts, text_key, written
+from lodestar.llm.common import map_texts, release, text_key, written
 
 LENGTH = 400
 GRAM = 64
@@ -227,7 +227,8 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(texts: DataFrame) -> DataFrame:
-    """x1, x2 (128 bits of a stretch), rid, n (copies of the text), gram (64 bits of the anchor's gram)."""
+    """x1, x2 (128 bits of a stretch), rid, n (copies of the text), gram (64 bits of the anchor's gram), at, and how far the
+    stretch goes before and after the anchor."""
     from xxhash import xxh64_intdigest
 
     def fn(row: dict) -> Iterator[list]:
@@ -236,9 +237,10 @@ def contexts(texts: DataFrame) -> DataFrame:
             rid, n = row["rid"].as_py(), row["n"].as_py()
             x1, x2 = _halves([x[-1] for x in found])
             gram = np.array([xxh64_intdigest(b[x[0] : x[0] + GRAM]) for x in found], np.uint64).view(np.int64)
-            yield [x1, x2, np.full(len(x1), rid), np.full(len(x1), n), gram, np.array([x[0] for x in found])]
+            at, start, end = (np.array([x[i] for x in found]) for i in (0, 3, 4))
+            yield [x1, x2, np.full(len(x1), rid), np.full(len(x1), n), gram, at, at - start, end - at]
 
-    return _rows(texts, fn, "x1 long, x2 long, rid long, n long, gram long, at long", [_I64] * 6)
+    return _rows(texts, fn, "x1 long, x2 long, rid long, n long, gram long, at long, before long, after long", [_I64] * 8)
 
 
 def ranges(texts: DataFrame) -> DataFrame:
@@ -333,10 +335,11 @@ def _judge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def judged(members: DataFrame) -> DataFrame:
     """c1, c2, side, bits for each different (c1, c2, side) of ``members`` that has a window that repeats."""
     each = written(members.groupBy("c1", "c2", "side").agg(F.sum("n").alias("n")), "suffix-members")
+    release(members.sparkSession)
     sizes = each.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("sides"), F.sum("n").alias("all"))
     each = each.join(sizes.filter("all > 1").select("c1", "c2", "sides"), ["c1", "c2"])
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = each.filter(F.col("sides") <= GROUP).select("c1", "c2", "side", "n").repartition(parts, "c1", "c2").sortWithinPartitions("c1", "c2", "side")
+    small = each.filter(F.col("sides").between(2, GROUP)).select("c1", "c2", "side", "n").repartition(parts, "c1", "c2").sortWithinPartitions("c1", "c2", "side")
     small = small.mapInArrow(_judge_groups, "c1 long, c2 long, side binary, bits long")
     # a window of a member: the end of its left part, the core, the beginning of its right part
     left = F.conv(F.hex(F.substring("side", 1, 1)), 16, 10).cast("int")
@@ -346,21 +349,31 @@ def judged(members: DataFrame) -> DataFrame:
     large = large.withColumn("cut", F.col("k") - F.col("e"))
     often = large.groupBy("c1", "c2", "cut", "window").agg(F.sum("n").alias("m")).filter("m > 1")
     large = large.join(often, ["c1", "c2", "cut", "window"]).groupBy("c1", "c2", "side").agg(F.bit_or(F.expr("shiftleft(1L, e)")).alias("bits"))
-    return small.filter("bits > 0").unionByName(large)
+    # a group of one member that stands for several stretches: all its windows repeat
+    alike = each.filter("sides = 1").select("c1", "c2", "side", (F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(last + 1, F.lit(0))) - 1).alias("bits"))
+    return small.unionByName(alike).filter("bits > 0").unionByName(large)
 
 
 def repeats(df: DataFrame, text: str = "text") -> DataFrame:
     """Per different text (t1, t2) with something to remove: n_removed, n_spans, spans (start and end of each run, in bytes)
     and kept (the remaining bytes)."""
     texts = candidates(df.select(*text_key(F.coalesce(F.col(text), F.lit(""))), F.col(text).alias("text")))
+    release(df.sparkSession)
     found = written(contexts(texts), "suffix-contexts")
-    each = found.groupBy("x1", "x2").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"), F.min("gram").alias("gram"))
-    wanted = each.groupBy("rid").agg(F.collect_list(F.struct("x1", "x2", "n")).alias("wanted"))
+    each = written(found.groupBy("x1", "x2").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"), F.min("gram").alias("gram")), "suffix-stretches")
+    release(df.sparkSession)
+    # a stretch that stands twice repeats as a whole; where a gram also has single ones, their windows are compared with it
+    open_grams = each.groupBy("gram").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("n") == 1).cast("int")).alias("single")).filter("all > 1 and single > 0").select("gram")
+    wanted = each.join(open_grams, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("x1", "x2", "n")).alias("wanted"))
     members = written(ranges(texts.join(wanted, "rid").select("text", "spots", "wanted")), "suffix-ranges")
+    release(df.sparkSession)
     bits = judged(members.select("c1", "c2", "side", "n"))
-    verdicts = members.join(bits, ["c1", "c2", "side"]).select("x1", "x2", "part", F.conv(F.hex(F.substring("side", 1, 1)), 16, 10).cast("int").alias("k"), "bits")
+    verdicts = members.filter("n = 1").join(bits, ["c1", "c2", "side"]).select("x1", "x2", "part", F.conv(F.hex(F.substring("side", 1, 1)), 16, 10).cast("int").alias("k"), "bits")
     verdicts = verdicts.groupBy("x1", "x2").agg(F.collect_list(F.struct("part", "k", "bits")).alias("v"))
-    marks = found.select("x1", "x2", "rid", "at").join(verdicts, ["x1", "x2"]).groupBy("rid").agg(F.collect_list(F.struct("at", "v")).alias("marks"))
+    whole = each.filter("n > 1").select("x1", "x2", F.lit(None).cast("array<struct<part:int,k:int,bits:bigint>>").alias("v"))
+    verdicts = written(verdicts.unionByName(whole), "suffix-verdicts")
+    release(df.sparkSession)
+    marks = found.join(verdicts, ["x1", "x2"]).groupBy("rid").agg(F.collect_list(F.struct("at", "before", "after", "v")).alias("marks"))
     return removals(texts.join(marks, "rid").select("t1", "t2", "text", "marks"))
 
 
@@ -369,7 +382,9 @@ def removals(marked: DataFrame) -> DataFrame:
         b = row["text"].as_py().encode()
         starts = np.zeros(len(b) + 1, bool)
         for mark in row["marks"].as_py():
-            for v in mark["v"]:
+            if mark["v"] is None:
+                starts[mark["at"] - mark["before"] : mark["at"] + mark["after"] - LENGTH + 1] = True
+            for v in mark["v"] or ():
                 first, bits = mark["at"] - v["part"] * RANGE - v["k"], v["bits"]
                 while bits:
                     low = bits & -bits
