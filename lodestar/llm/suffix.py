@@ -194,7 +194,8 @@ def anchors(texts: DataFrame) -> DataFrame:
 def candidates(texts: DataFrame) -> DataFrame:
     """rid, t1, t2, n, text, spots: the different texts with a gram that stands twice, their number, and the anchors there."""
     found = written(anchors(texts), "suffix-anchors")
-    twice = found.groupBy("gram").count().filter("count > 1").select("gram")
+    # a table of its own, so that the join below has a plain shuffle on either side, and a gram of very many places can be split
+    twice = written(found.groupBy("gram").count().filter("count > 1").select("gram"), "suffix-twice")
     spots = found.join(twice, "gram", "left_semi").select("t1", "t2", "at", "back", "more").distinct()
     spots = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "back", "more")).alias("spots"))
     each = texts.filter(F.octet_length("text") >= LENGTH).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
