@@ -7,8 +7,8 @@ text says each language. Host priors are smoothed hierarchically: all pages, the
 level worth ``STRENGTH`` pages of the one above it; all are grouped aggregations over narrow rows, so a host with a third
 of all pages is pre-aggregated. The posterior is the normalised product.
 
-The text model is fitted on at most ``FIT_ROWS`` labelled documents a language (the ones with the smallest hashes); all
-pages are scored and counted.
+The text model is fitted on at most ``FIT_ROWS`` different labelled texts a language (the ones with the smallest hashes);
+all pages are scored and counted.
 
 Edge cases: null or empty pages and addresses have no evidence of that kind and get the prior's language; declarations of
 unknown languages are one kind of their own; repeated rows get the same answer; without pages or without labelled
@@ -55,10 +55,13 @@ def gram_counts(text: str) -> np.ndarray:
 
 def fit(documents: DataFrame, lang: str = "lang", text: str = "text", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and log-likelihoods (language, bucket): BUCKETS numbers a language come to the driver."""
-    known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    pick = Window.partitionBy("lang").orderBy("h", "text")
-    keys = known.select("lang", F.xxhash64("text").alias("h"), F.length("text").alias("text")).withColumn("r", F.row_number().over(pick)).filter(F.col("r") <= rows).select("lang", "h").distinct()
-    sample = known.withColumn("h", F.xxhash64("text")).join(keys, ["lang", "h"], "left_semi")
+    known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    keys = written(known.select("lang", "h").distinct(), "langid-texts")
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    # only hashes low enough to be among the first reach the window, about 2 * rows a language whatever its size
+    low = keys.join(F.broadcast(sizes), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * rows)
+    picked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= rows).select("lang", "h")
+    sample = known.join(F.broadcast(picked), ["lang", "h"]).dropDuplicates(["lang", "h"])  # rows * languages keys at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -97,7 +100,7 @@ def _argmax(values: Column, names: list[str]) -> Column:
 def identify(pages: DataFrame, names: list[str], table: np.ndarray, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: key, lang, probability, text_lang, declared, suffix."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    declared = F.lower(F.regexp_extract(F.substring(F.coalesce(F.col(html), F.lit("")), 1, 4096), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     rows = pages.select(F.col(key), F.col(html).alias("__html"), host.alias("host"), declared.alias("declared"))
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
     rows = rows.withColumn("declared", F.when(F.col("declared") == "", "").when(F.col("declared").isin(names), F.col("declared")).otherwise("other"))
