@@ -67,3 +67,8 @@ def fuzzy_titles(titles: DataFrame, catalog: DataFrame, query: str, name: str, m
     rows = catalog.select(F.col(key), F.lower(name).alias("__n"))
     found = closest.join(rows, "__n").withColumn("__r", F.row_number().over(Window.partitionBy(query).orderBy(key)))
     return found.filter(F.col("__r") <= cap).select(query, F.col("__n").alias("matched"), "edits", key)
+
+
+def overwritten(value: Column, fields: Column, name: str) -> Column:
+    """The field of a map where the map has it, even if null there; else ``value``."""
+    return F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), F.element_at(fields, F.lit(name))).otherwise(value)

@@ -27,3 +27,17 @@ def running_best(df: DataFrame, order: str, value: str) -> DataFrame:
 
 def verdict(ours: Column, theirs: Column, points: float = 1.0) -> Column:
     return F.when(ours - theirs > points, "ahead").when(theirs - ours > points, "behind").otherwise("level")
+
+
+def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """Rows of each pair of true and guessed class, with the pair's share of its true class; on the diagonal, the class's
+    accuracy."""
+    pairs = df.groupBy(truth, guess).agg(F.count(F.lit(1)).alias("n"))
+    return pairs.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(truth)), 6))
+
+
+def histogram_map(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """A JSON object a group, ``{"value": count}`` in the order of values; the column has few distinct values."""
+    counts = histogram(df, by, column)
+    entries = F.array_sort(F.collect_list(F.struct(F.col(column).cast("string").alias("k"), F.col("n"))))
+    return counts.groupBy(*by).agg(F.to_json(F.map_from_entries(entries)).alias("counts"))

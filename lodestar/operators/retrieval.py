@@ -60,3 +60,17 @@ def hash_distance() -> Column:
 
 def similarity() -> Column:
     return cosine(F.col("embedding"), F.col("query_embedding"))
+
+
+def dual_route(modern: DataFrame, whole: DataFrame, confidence: float = 0.70, query: str = "query_id") -> DataFrame:
+    """One row a query: the path taken and its distances. Both sides are ranked lists (``dist``, ``rank``) with the predicted
+    ``frame`` and its ``conf``. A query of low confidence tries both and keeps the closer one (ties: modern); any other takes
+    only its own path, so the losing distance is null. ``+fast_hash`` where the winner is decisive."""
+    sides = [side.groupBy(query, "frame", "conf").agg(F.min("dist").alias(name), F.max(F.when(F.col("rank") == 2, F.col("dist"))).alias(f"{name}2")) for side, name in ((modern, "modern"), (whole, "whole"))]
+    both = sides[0].join(sides[1], [query, "frame", "conf"])
+    unsure = F.col("conf") < confidence
+    takes_modern = F.when(unsure, F.col("modern") <= F.col("whole")).otherwise(F.col("frame") == "modern")
+    pick = lambda a, b: F.when(takes_modern, F.col(a)).otherwise(F.col(b))
+    best, gap = pick("modern", "whole"), F.coalesce(pick("modern2", "whole2") - pick("modern", "whole"), F.lit(0))
+    route = F.when(~unsure, "single").when(takes_modern, "parallel_modern").otherwise("parallel_whole")
+    return both.select(query, F.concat(route, F.when((best <= 4) & (gap >= 8), "+fast_hash").otherwise("")).alias("route"), F.when(unsure, F.when(takes_modern, "modern").otherwise("fullart")).otherwise(F.col("frame")).alias("effective_frame"), best.alias("winning_dist"), F.when(unsure, pick("whole", "modern")).alias("losing_dist"))

@@ -17,18 +17,49 @@ def quota_sample(df: DataFrame, by: list[str], key: str, quota: int, seed: int =
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= quota)
 
 
-def stratified_split(df: DataFrame, by: str, key: str, train: float = 0.85, seed: int = 42) -> DataFrame:
-    """``split``: train for the first floor(train * n) rows of each group in shuffled order, else val. Ranks are counted within
-    buckets of the rank key first, so that a large group is spread over many tasks."""
-    bucket = F.floor(shuffled(key, seed) / (2_147_483_647 // 64)).cast("int")
-    rows = df.withColumns({"__h": shuffled(key, seed), "__b": bucket})
+def numbered(df: DataFrame, by: str, key: str, seed: int = 42, place: str = "place", size: str = "size") -> DataFrame:
+    """Each row's place (from 1, in shuffled order) in its group and the group's size. Places are counted within buckets of the
+    rank key first, so that a large group is spread over many tasks."""
+    rows = df.withColumns({"__h": shuffled(key, seed), "__b": F.floor(shuffled(key, seed) / (2_147_483_647 // 64)).cast("int")})
     counts = rows.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(by)
     before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(by).alias("__g"), F.col("__b").alias("__gb"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"), F.sum("__c").over(group).alias("__n"))
+    starts = counts.select(F.col(by).alias("__g"), F.col("__b").alias("__gb"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"), F.sum("__c").over(Window.partitionBy(by)).alias(size))
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__b").orderBy("__h", key)))
     joined = ranked.join(starts, ranked[by].eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__gb")))
-    return joined.withColumn("split", F.when(F.col("__start") + F.col("__r") <= F.floor(F.col("__n") * train), "train").otherwise("val")).drop("__h", "__b", "__g", "__gb", "__start", "__n", "__r")
+    return joined.withColumn(place, F.col("__start") + F.col("__r")).drop("__h", "__b", "__g", "__gb", "__start", "__r")
+
+
+def stratified_split(df: DataFrame, by: str, key: str, train: float = 0.85, seed: int = 42) -> DataFrame:
+    """``split``: train for the first floor(train * n) rows of each group in shuffled order, else val."""
+    ranked = numbered(df, by, key, seed, "__place", "__n")
+    return ranked.withColumn("split", F.when(F.col("__place") <= F.floor(F.col("__n") * train), "train").otherwise("val")).drop("__place", "__n")
+
+
+def draws(anchors: DataFrame, pool: DataFrame, by: str, key: str, anchor: str, out: str, least: int = 1, seed: int = 7) -> DataFrame:
+    """For each anchor one row of ``pool``: a group first, all groups of ``least`` rows or more being as likely, then a row of
+    it, all as likely; so large groups weigh no more than small ones. If anchors have the column ``by``, the group is
+    another than their own. Both choices are arithmetic on the anchor's id, and equi-joins fetch the rows; no anchor meets
+    more than one row. Anchors without any other group get null."""
+    groups = dictionary(pool, by, least).select(F.col(by).alias("__name"), F.col("label").alias("__label"), F.col("n").alias("__size"))
+    total = groups.agg(F.count(F.lit(1)).alias("__groups"))  # one row, so a broadcast of it is safe
+    own = anchors.join(groups.select("__name", F.col("__label").alias("__own")), anchors[by] == F.col("__name"), "left").drop("__name") if by in anchors.columns else anchors.withColumn("__own", F.lit(None).cast("int"))
+    asked = own.join(F.broadcast(total))
+    others = F.col("__groups") - F.when(F.col("__own").isNull(), 0).otherwise(1)
+    step = F.when(others > 0, F.pmod(shuffled(anchor, seed), F.nullif(others, F.lit(0))))
+    chosen = asked.withColumn("__label", F.when(F.col("__own").isNull(), step).otherwise(F.pmod(F.col("__own") + 1 + step, F.col("__groups"))).cast("int"))
+    placed = chosen.join(groups.drop("__name"), "__label", "left").withColumn("__place", F.pmod(shuffled(anchor, seed + 1), F.col("__size")) + 1)
+    rows = numbered(pool.select(by, key), by, key, place="__at", size="__all").join(groups, F.col(by) == F.col("__name")).select(F.col("__label").alias("__l"), "__at", F.col(key).alias(out))
+    found = placed.join(rows, (F.col("__label") == F.col("__l")) & (F.col("__place") == F.col("__at")), "left")
+    return found.drop("__own", "__groups", "__label", "__size", "__place", "__l", "__at")
+
+
+def mixture(key: str, shares: list[tuple[str, int]], seed: int = 42) -> Column:
+    """A class for each row by its shuffled id: ``shares`` are names and per cent, 100 in all."""
+    u, bound, rule = F.pmod(shuffled(key, seed), F.lit(100)), 0, None
+    for name, share in shares:
+        bound += share
+        rule = (F if rule is None else rule).when(u < bound, name)
+    return rule.otherwise(shares[-1][0])
 
 
 def dictionary(df: DataFrame, column: str, least: int = 1) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.functions import geometry as G
 from lodestar.functions import vectors as V
 from lodestar.operators import catalog as C
 from lodestar.operators import evaluate as E
@@ -309,6 +310,137 @@ def detection_stats(s, d):
     return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("detected"), F.round(F.count_if("valid") / F.count(F.lit(1)), 6).alias("rate"), F.round(F.coalesce(F.avg(ok), F.lit(0.0)), 4).alias("mean_conf"), F.round(F.coalesce(F.max(ok), F.lit(0.0)), 4).alias("best_conf"))
 
 
+# ---- routing, boosts, negatives, geometry ----
+
+
+@_query(_TWO.replace("r.label in (0, 1, 2)", "r.label in (r.query_label, (r.query_label + 1) % 10)"))
+def tie_break_boost(s, d):
+    near = _near(s, d, 50).withColumn("sim", R.similarity()).drop("rank")
+    predicted = F.array(F.col("query_label"), (F.col("query_label") + 1) % 10)
+    return R.rerank(near, F.array_contains(predicted, F.col("label")), 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
+
+
+_SIDE = """{n} as (select query_id, min(dist) as d1, max(dist) filter (rank = 2) as d2 from (select q.vec_id as query_id, {dist} as dist,
+  row_number() over (partition by q.vec_id order by {dist}, c.vec_id) as rank from {n}_h q join {n}_h c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0) where rank <= 2 group by 1)"""
+_DUAL = f"""with m_h as (select vec_id, list_transform(embedding, lambda x: case when x > list_sort(embedding[2:64])[32] then 1 else 0 end) as bits from embeddings),
+w_h as (select vec_id, list_transform(list_reverse(embedding), lambda x: case when x > list_sort(list_reverse(embedding)[2:64])[32] then 1 else 0 end) as bits from embeddings),
+{_SIDE.format(n="m", dist=DIST)}, {_SIDE.format(n="w", dist=DIST)},
+b as (select query_id, case when query_id % 3 = 0 then 'modern' when query_id % 3 = 1 then 'fullart' else 'special' end as frame, (query_id % 100) < 70 as unsure, m.d1 as m1, m.d2 as m2, w.d1 as w1, w.d2 as w2 from m join w using (query_id)),
+t as (select *, case when unsure then m1 <= w1 else frame = 'modern' end as tm from b),
+f as (select *, case when tm then m1 else w1 end as win, coalesce(case when tm then m2 - m1 else w2 - w1 end, 0) as gap from t)
+select query_id, concat(case when not unsure then 'single' when tm then 'parallel_modern' else 'parallel_whole' end, case when win <= 4 and gap >= 8 then '+fast_hash' else '' end) as route,
+  case when unsure then case when tm then 'modern' else 'fullart' end else frame end as effective_frame, win as winning_dist, case when unsure then case when tm then w1 else m1 end end as losing_dist from f"""
+
+
+@_query(_DUAL)
+def dual_routing(s, d):
+    sides = []
+    for block in (F.col("embedding"), F.reverse("embedding")):
+        rows = table(s, d, "embeddings").select("vec_id", V.median_hash(block).alias("hash"))
+        frame = F.when(F.col("vec_id") % 3 == 0, "modern").when(F.col("vec_id") % 3 == 1, "fullart").otherwise("special")
+        asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash"), frame.alias("frame"), ((F.col("vec_id") % 100) / 100).alias("conf"))
+        sides.append(R.knn(asked, rows, R.hash_distance(), 2, keep=F.col("vec_id") != F.col("query_id")))
+    return R.dual_route(*sides)
+
+
+@_query("with n as (select q.label, arg_min(c.label, round(-(" + COS + "), 6) * 1e9 + c.vec_id / 1e6) as guess from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0 group by q.vec_id, q.label) select label, guess, count(*) as n, round(count(*) / sum(count(*)) over (partition by label), 6) as share from n group by 1, 2")
+def per_class_accuracy(s, d):
+    near = R.knn(_asked(s, d), _hashed(s, d).drop("hash"), -R.similarity(), 1, keep=F.col("vec_id") != F.col("query_id"))
+    return E.confusion(near.select(F.col("query_label").alias("label"), F.col("label").alias("guess")), "label", "guess")
+
+
+def _draw_sql(anchors: str, own: str, pool: str, by: str, key: str, least: int) -> str:
+    mix = lambda k, seed: f"((({k})::bigint * 48271 + {seed} * 16807) % 2147483647)"
+    return f"""with g as (select {by} as name, count(*) as n, row_number() over (order by {by}) - 1 as label from {pool} where {by} is not null group by 1 having count(*) >= {least}),
+m as (select count(*) as groups from g), p as (select {by} as name, {key} as drawn, row_number() over (partition by {by} order by {mix(key, 42)}, {key}) as place from {pool}),
+a as (select t.anchor, o.label as own, groups, groups - (o.label is not null)::int as others from (select {anchors}) t left join g o on o.name = {own} cross join m),
+c as (select anchor, case when own is null then {mix("anchor", 7)} % nullif(others, 0) else (own + 1 + {mix("anchor", 7)} % nullif(others, 0)) % groups end as label from a),
+r as (select anchor, g.name, {mix("anchor", 8)} % g.n + 1 as place from c left join g using (label))
+select anchor, p.drawn from r left join p on p.name = r.name and p.place = r.place"""
+
+
+@_query(_draw_sql("p_partkey as anchor, p_name from part", "t.p_name", "part", "p_name", "p_partkey", 2))
+def random_negatives(s, d):
+    part = table(s, d, "part").select("p_partkey", "p_name")
+    return S.draws(part.select(F.col("p_partkey").alias("anchor"), "p_name"), part, "p_name", "p_partkey", "anchor", "drawn", 2).select("anchor", "drawn")
+
+
+@_query(_draw_sql("doc_id as anchor from documents", "null", "documents", "source", "doc_id", 1))
+def weighted_sample(s, d):
+    docs = table(s, d, "documents").select("doc_id", "source")
+    return S.draws(docs.select(F.col("doc_id").alias("anchor")), docs, "source", "doc_id", "anchor", "drawn").select("anchor", "drawn")
+
+
+@_query(f"with u as (select doc_id, {SHUFFLE.format(k='doc_id')} % 100 as u from documents) select doc_id, case when u < 30 then 'easy' when u < 70 then 'medium' else 'hard' end as difficulty from u")
+def difficulty_mixture(s, d):
+    return table(s, d, "documents").select("doc_id", S.mixture("doc_id", [("easy", 30), ("medium", 40), ("hard", 30)]).alias("difficulty"))
+
+
+@_query(f"with r as (select source, doc_id, row_number() over (partition by source order by {SHUFFLE.format(k='doc_id')}, doc_id) as r, count(*) over (partition by source) as n from documents), t as (select *, r <= greatest(1, floor(n * 0.8)) as train from r) select doc_id, train, concat('real_', doc_id, '_r', lpad(cast(copy as varchar), 2, '0')) as name from t, unnest(range(0, case when train then 10 else 3 end)) u(copy)")
+def replicated_split(s, d):
+    rows = S.numbered(table(s, d, "documents").select("source", "doc_id"), "source", "doc_id").withColumn("train", F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("size") * 0.8)))
+    copies = S.replicate(rows, F.when(F.col("train"), 10).otherwise(3))
+    return copies.select("doc_id", "train", F.format_string("real_%d_r%02d", "doc_id", F.col("copy") - 1).alias("name"))
+
+
+@_query("select doc_id, case when toxic = 1 then null when quality = 1 then 'good' else lang end as lang from documents left join labels using (doc_id)")
+def enrich_coalesce(s, d):
+    fields = F.when(F.col("toxic") == 1, F.create_map(F.lit("lang"), F.lit(None).cast("string"))).when(F.col("quality") == 1, F.create_map(F.lit("lang"), F.lit("good")))
+    joined = table(s, d, "documents").select("doc_id", "lang").join(table(s, d, "labels"), "doc_id", "left")
+    return joined.select("doc_id", C.overwritten(F.col("lang"), fields, "lang").alias("lang"))
+
+
+@_query("with c as (select label, count(*) as n from embeddings group by 1) select label, n, round(1.0 / greatest(1, n), 8)::double as weight, (min(n) over ())::bigint as smallest, count(*) over () as classes from c")
+def class_weights(s, d):
+    counts = S.dictionary(table(s, d, "embeddings").select(F.col("label").alias("class")), "class")
+    totals = counts.agg(F.min("n").alias("smallest"), F.count(F.lit(1)).alias("classes"))
+    return counts.join(F.broadcast(totals)).select(F.col("class").alias("label"), "n", F.col("weight").cast("double").alias("weight"), "smallest", "classes")
+
+
+@_query(f"select event_type, event_id, row_number() over (partition by event_type order by {SHUFFLE.format(k='event_id')}, event_id) as place, count(*) over (partition by event_type) as size from events")
+def latency_lists(s, d):
+    return S.numbered(table(s, d, "events").select("event_type", "event_id"), "event_type", "event_id")
+
+
+@_query("with c as (select event_type, cast(user_id % 4 as varchar) as k, count(*) as n from events group by 1, 2) select event_type, concat('{', string_agg(concat('\"', k, '\":', n), ',' order by k), '}') as counts from c group by 1")
+def route_maps(s, d):
+    return E.histogram_map(table(s, d, "events").select("event_type", (F.col("user_id") % 4).alias("route")), ["event_type"], "route")
+
+
+@_query("""with p as (select vec_id, list_transform(range(4), lambda i: [embedding[2 * i + 1]::double, embedding[2 * i + 2]::double]) as p from embeddings),
+s as (select vec_id, p, list_transform(p, lambda x: x[1] + x[2]) as a, list_transform(p, lambda x: x[2] - x[1]) as b from p),
+o as (select vec_id, p[list_position(a, list_min(a))] as tl, p[list_position(b, list_min(b))] as tr, p[list_position(a, list_max(a))] as br, p[list_position(b, list_max(b))] as bl from s)
+select vec_id, tl[1] as x1, tl[2] as y1, tr[1] as x2, tr[2] as y2, br[1] as x3, br[2] as y3, bl[1] as x4, bl[2] as y4 from o""")
+def corner_order(s, d):
+    e = F.col("embedding")
+    points = F.array(*(F.array(F.get(e, F.lit(2 * i)).cast("double"), F.get(e, F.lit(2 * i + 1)).cast("double")) for i in range(4)))
+    o = table(s, d, "embeddings").select("vec_id", G.ordered_corners(points).alias("c"))
+    return o.select("vec_id", *(F.col("c")[i][j].alias(f"{'xy'[j]}{i + 1}") for i in range(4) for j in range(2)))
+
+
+@_query("""with p as (select vec_id, 0.4 + 0.3 * abs(embedding[1]::double) as s, radians(60 * embedding[2]::double) as a, 512 + 100 * embedding[3]::double as x, 512 + 100 * embedding[4]::double as y from embeddings),
+c as (select *, unnest([{'i': 1, 'dx': -244.0, 'dy': -340.0}, {'i': 2, 'dx': 244.0, 'dy': -340.0}, {'i': 3, 'dx': 244.0, 'dy': 340.0}, {'i': 4, 'dx': -244.0, 'dy': 340.0}]) as k from p)
+select vec_id, k.i as corner, round((x + s * (k.dx::double * cos(a) - k.dy::double * sin(a))) / 1024, 6) as cx, round((y + s * (k.dx::double * sin(a) + k.dy::double * cos(a))) / 1024, 6) as cy from c""")
+def affine_corners(s, d):
+    v = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    placed = G.placed_corners(0.4 + 0.3 * F.abs(v(0)), 60 * v(1), 512 + 100 * v(2), 512 + 100 * v(3), 1024)
+    rows = table(s, d, "embeddings").select("vec_id", F.posexplode(placed).alias("i", "c"))
+    return rows.select("vec_id", (F.col("i") + 1).alias("corner"), F.round(F.col("c")[0], 6).alias("cx"), F.round(F.col("c")[1], 6).alias("cy"))
+
+
+@_query("""with v as (select vec_id, list_transform(embedding, lambda x: 128 + 200 * x::double) as v from embeddings), m as (select vec_id, v, list_sum(v) / len(v) as mean, list_sum(list_transform(v, lambda x: x * x)) / len(v) as sq from v)
+select vec_id, coalesce(round(sqrt(greatest(sq - mean * mean, 0)), 6) >= 25 and round(mean, 6) between 20 and 235, false) as valid from m""")
+def validity_filter(s, d):
+    pixels = F.transform("embedding", lambda x: 128 + 200 * x.cast("double"))
+    return table(s, d, "embeddings").select("vec_id", G.valid_region(pixels).alias("valid"))
+
+
+@_query("select p_partkey, least(480 + p_size, 600 + p_partkey % 200) >= 200 and abs((480 + p_size) / (600 + p_partkey % 200) - 488 / 680) < 0.02 and greatest(480 + p_size, 600 + p_partkey % 200) <= 1500 as clean from part")
+def clean_bypass(s, d):
+    part = table(s, d, "part").select("p_partkey", (480 + F.col("p_size")).alias("w"), (600 + F.col("p_partkey") % 200).alias("h"))
+    return part.select("p_partkey", G.clean_card(F.col("w"), F.col("h")).alias("clean"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 
