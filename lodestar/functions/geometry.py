@@ -28,13 +28,13 @@ def placed_corners(scale: Column, degrees: Column, x: Column, y: Column, canvas:
 
 def valid_region(values: Column, least_std: float = 25, low: float = 20, high: float = 235) -> Column:
     """Not empty, not flat, neither too dark nor too bright."""
-    n, add = F.size(values), lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
+    n, add = F.nullif(F.size(values), F.lit(0)), lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b)
     mean = add(values) / n
     std = F.sqrt(F.greatest(add(F.transform(values, lambda v: v * v)) / n - mean * mean, F.lit(0.0)))
     return F.coalesce((n > 0) & (F.round(std, 6) >= least_std) & F.round(mean, 6).between(low, high), F.lit(False))
 
 
 def clean_card(width: Column, height: Column, tolerance: float = 0.02, most: int | None = 1500) -> Column:
-    """Already a rectified card: large enough, of a card's proportions, and (unless ``most`` is None) not a large photo."""
-    fits = (F.least(width, height) >= 200) & (F.abs(width / height - CARD_W / CARD_H) < tolerance)
+    """Already a rectified card: large enough, of a card's proportions, and (unless ``most`` is None) not a large photo. Null where a side is null."""
+    fits = (F.least(width, height) >= 200) & (F.abs(width / F.nullif(height, F.lit(0)) - CARD_W / CARD_H) < tolerance)
     return fits if most is None else fits & (F.greatest(width, height) <= most)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def shuffled(key: str, seed: int = 42, prime: int = 2_147_483_647) -> Column:
-    """A rank key that scatters ids: a multiplicative hash modulo a prime; ties, if any, to the id."""
-    return F.pmod(F.col(key).cast("long") * 48271 + seed * 16807, F.lit(prime))
+    """A rank key that scatters ids: a multiplicative hash modulo a prime (ids are reduced first, so that no id overflows); ties, if any,
+    to the id."""
+    return F.pmod(F.pmod(F.col(key).cast("long"), F.lit(prime)) * 48271 + seed * 16807, F.lit(prime))
 
 
 def quota_sample(df: DataFrame, by: list[str], key: str, quota: int, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lodestar.functions import geometry as G
 from lodestar.functions import vectors as V
 from lodestar.operators import catalog as C
 from lodestar.operators import retrieval as R
@@ -69,6 +70,42 @@ def test_refresh_twice_is_once(spark):
     assert sorted(map(tuple, C.refresh(once, all_, "id", F.lit(5), "v").drop("origin").collect())) == sorted(map(tuple, once.collect())) == [(1, 7), (2, 0)]
 
 
+def test_draws_leave_their_own_group(spark):
+    pool = spark.createDataFrame([(i, "hot" if i < 90 else "b" if i < 95 else "c") for i in range(100)] + [(100, None)], "id long, name string")
+    got = S.draws(pool.select(F.col("id").alias("anchor"), "name"), pool, "name", "id", "anchor", "drawn").collect()
+    name = {r.id: r.name for r in pool.select("id", "name").collect()}
+    assert len(got) == 101 and all(r.drawn is not None and name[r.drawn] != r["name"] for r in got)
+    alone = S.draws(pool.filter("name = 'b'").select(F.col("id").alias("anchor"), "name"), pool.filter("name = 'b'"), "name", "id", "anchor", "drawn").collect()
+    assert len(alone) == 5 and all(r.drawn is None for r in alone)
+
+
+def test_shuffled_takes_any_id(spark):
+    df = spark.createDataFrame([(2**63 - 1,), (-(2**63),), (0,), (5,)], "id long")
+    assert [r.h for r in df.select(S.shuffled("id").alias("h")).collect()] == [(i * 48271 + 42 * 16807) % 2147483647 for i in (2**63 - 1, -(2**63), 0, 5)]
+
+
+def test_numbered_counts_each_group(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "g") for i in range(40)], "id long, g string")
+    rows = S.numbered(df, "g", "id").collect()
+    assert sorted(r.place for r in rows if r.g) == list(range(1, 31)) and sorted(r.place for r in rows if not r.g) == list(range(1, 11))
+    assert {(r.g, r["size"]) for r in rows} == {("g", 30), (None, 10)} and S.numbered(df.filter("id < 0"), "g", "id").count() == 0
+
+
+def test_dual_route(spark):
+    schema = "query_id int, frame string, conf double, dist int, rank int"
+    modern = spark.createDataFrame([(1, "fullart", 0.5, 3, 1), (1, "fullart", 0.5, 20, 2), (2, "fullart", 0.9, 1, 1), (3, "special", 0.1, 9, 1), (4, "modern", 0.7, 2, 1)], schema)
+    whole = spark.createDataFrame([(1, "fullart", 0.5, 3, 1), (2, "fullart", 0.9, 8, 1), (3, "special", 0.1, 7, 1), (4, "modern", 0.7, 1, 1)], schema)
+    got = {r.query_id: tuple(r)[1:] for r in R.dual_route(modern, whole).collect()}
+    assert got == {1: ("parallel_modern+fast_hash", "modern", 3, 3), 2: ("single", "fullart", 8, None), 3: ("parallel_whole", "fullart", 7, 9), 4: ("single", "modern", 2, None)}
+
+
+def test_corners_and_regions(spark):
+    df = spark.createDataFrame([([[9.0, 8.0], [0.0, 1.0], [8.0, 0.0], [1.0, 9.0]], [0.0, 255.0] * 8, [7.0] * 8, [])], "p array<array<double>>, good array<double>, flat array<double>, none array<double>")
+    row = df.select(G.ordered_corners(F.col("p")).alias("c"), *(G.valid_region(F.col(n)).alias(n) for n in ("good", "flat", "none")), G.clean_card(F.lit(488), F.lit(680)).alias("clean"), G.clean_card(F.lit(4880), F.lit(6800)).alias("photo")).first()
+    assert [list(x) for x in row.c] == [[0, 1], [8, 0], [9, 8], [1, 9]]
+    assert (row.good, row.flat, row.none, row.clean, row.photo) == (True, False, False, True, False)
+
+
 def test_entry_without_llm():
     import __spark_entry__ as e
 
