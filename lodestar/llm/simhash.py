@@ -25,6 +25,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,13 @@ TILE = 8192
 STRIP = 64
 #: Hashes whose bits are counted at a time.
 HASHES = 1 << 15
+#: Near copies of the pipeline: this part of the distinct shingles of so many words in common, looked for within so many bits.
+COPY_LEAST = (4, 5)
+COPY_WIDTH = 5
+COPY_RADIUS = 12
+#: Nodes of a tile, and the width of a band of shingle counts in logarithms: a little over ln(5 / 4).
+COPY_TILE = 4096
+BAND = 0.2235
 
 
 def shingles(text: str | None, width: int) -> list[bytes]:
@@ -156,9 +164,122 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     return marked.join(named, "fp").select(key, *keep, "fp", "root", "component_id")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The distinct shingles of ``COPY_WIDTH`` words of a text as sorted 64-bit hashes."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(x, 1) for x in shingles(text, COPY_WIDTH)], "<u8"))
+
+
+def alike(n_both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether sets of so many members, so many of them common, have a Jaccard similarity of ``COPY_LEAST``."""
+    return COPY_LEAST[1] * n_both >= COPY_LEAST[0] * (n_a + n_b - n_both)
+
+
+def candidates(nodes: DataFrame, name: str, forest: bool) -> DataFrame:
+    """Pairs ``u``, ``v`` of nodes of different ``label`` within ``COPY_RADIUS`` bits whose numbers of shingles allow for
+    copies; or of these a spanning forest of each pair of tiles. Tiles are cut by bands of that number: copies are in
+    the same band or in neighbouring ones. At this radius population counts would skip next to nothing."""
+    banded = nodes.withColumn("place", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(BAND)).cast("int"))
+    sizes = banded.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / COPY_TILE).cast("int").alias("subs"))  # 50 bands or so
+    fields = ("node", "label", "fp", "n")
+    tiles = banded.join(sizes, "place").groupBy("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub")).agg(F.collect_list(F.struct(*fields)).alias("__t"))
+    tiles = written(tiles.select("place", "sub", *(F.col(f"__t.{c}").alias(c) for c in fields)), f"{name}-tiles")
+    left = tiles.select(F.col("place").alias("p"), F.col("sub").alias("s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(F.lit(0), F.lit(1))).alias("shift"))
+    left = left.withColumn("place", F.col("p") + F.col("shift")).join(sizes, "place")
+    left = left.withColumn("sub", F.explode(F.sequence(F.when(F.col("shift") == 0, F.col("s")).otherwise(F.lit(0)), F.col("subs") - 1)))
+    same = ((F.col("shift") == 0) & (F.col("s") == F.col("sub"))).alias("same")
+    pairs = left.join(tiles, ["place", "sub"]).select(*(f"{c}_a" for c in fields), *fields, same)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                node_a, label_a, fp_a, n_a, node, label, fp, n = (np.asarray(x, np.int64) for x in row[:8])
+                x, y = fp_a.view(np.uint64), fp.view(np.uint64)
+                component, out = np.arange(len(y)), []
+                for start in range(0, len(x), STRIP):
+                    i, j = np.nonzero(np.bitwise_count(x[start : start + STRIP, None] ^ y[None, :]) <= COPY_RADIUS)
+                    i += start
+                    ok = (label_a[i] != label[j]) & alike(np.minimum(n_a[i], n[j]), n_a[i], n[j])
+                    if row.same:
+                        ok &= i < j
+                    i, j = i[ok], j[ok]
+                    if not forest:
+                        out.append((i, j))
+                        continue
+                    for r in np.unique(i).tolist():
+                        js = j[i == r]
+                        if row.same:
+                            js = np.r_[r, js]
+                        labels, first = np.unique(component[js], return_index=True)
+                        first = first[js[first] != r] if row.same else first
+                        out.append((np.full(len(first), r), js[first]))
+                        if len(labels) > 1:
+                            component[np.isin(component, labels)] = labels[0]
+                if out and len(i := np.concatenate([o[0] for o in out])):
+                    yield pd.DataFrame({"u": node_a[i], "v": node[np.concatenate([o[1] for o in out])]})
+
+    return pairs.mapInPandas(run, "u long, v long")
+
+
+def copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs ``u``, ``v`` whose sets of shingles are alike, by exact counts."""
+    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
+                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                keep.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
+    """Each row's ``key``, ``keep`` and ``root``: a number that stands for all rows that links between texts, of at least
+    ``COPY_LEAST`` in common and within ``COPY_RADIUS`` bits, join to it. Texts with the same words are one node.
+
+    Two rounds: the first checks a spanning forest of the candidates, which joins most of a large group by few pairs; the
+    second checks every candidate pair that isn't joined yet, so no link is missed."""
+
+    def start() -> Callable[[list], dict[str, list]]:
+        from xxhash import xxh3_128_intdigest
+
+        def make(texts: list) -> dict[str, list]:
+            whole = [xxh3_128_intdigest(b" ".join((t or "").encode().lower().split())) for t in texts]
+            halves = [np.array([h >> s & 0xFFFFFFFFFFFFFFFF for h in whole], np.uint64).view(np.int64) for s in (0, 64)]
+            fps = np.array([fingerprint(t, 3, 42) for t in texts], np.uint64).view(np.int64)
+            return {"h1": halves[0], "h2": halves[1], "fp": fps, "n": [len(set(shingles(t, COPY_WIDTH))) for t in texts]}
+
+        return make
+
+    rows = written(map_texts(df, [key, *keep], text, start, {"h1": "long", "h2": "long", "fp": "long", "n": "long"}), "copies")
+    of = F.min(F.struct(*keep)).alias("__of")
+    nodes = rows.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), of)
+    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
+
+    def found(labelled: DataFrame, name: str, forest: bool) -> DataFrame:
+        pairs = written(candidates(labelled, name, forest), f"{name}-pairs")
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        wanted = nodes.join(ends, "node").select("node", "__of.*")
+        texts = df.join(wanted, list(keep)).dropDuplicates(["node"])
+        sets = lambda: (lambda ts: {"s": [shingle_set(t).tobytes() for t in ts]})
+        return written(copies(pairs, written(map_texts(texts, ["node"], text, sets, {"s": "binary"}), f"{name}-sets")), f"{name}-links")
+
+    first = found(nodes.select("node", F.col("node").alias("label"), "fp", "n"), "copies-first", True)
+    labels = written(components(first), "copies-labels")
+    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "fp", "n")
+    roots = components(first.union(found(labelled, "copies-all", False)))
+    named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
+    return rows.join(named, ["h1", "h2"]).select(key, *keep, "root")
+
+
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` with one row of each component: the one of the smallest key (then of the smallest hash)."""
+    """The rows of ``df`` with one row of each group of near copies (``copy_roots``): the one of the smallest key (then of the
+    smallest hash)."""
     marked = df.withColumns({"__k1": F.xxhash64(key, text), "__k2": F.xxhash64(F.lit(7), text, key)})
-    found = near_duplicates(marked, key, text, keep=("__k1", "__k2"))
+    found = copy_roots(marked, key, text, ("__k1", "__k2"))
     first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "__k1", "__k2")).alias("x")).select("x.__k1", "x.__k2")
     return marked.join(first, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*df.columns)

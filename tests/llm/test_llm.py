@@ -202,3 +202,28 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, "/root/testdata/sf0.001")
         assert sorted(d.columns) == sorted(names) and d.count() > 0
+
+
+def test_one_of_each_keeps_one_near_copy(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "COPY_TILE", 8)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    texts = [None, "", " ", "one two", "One  two"]
+    for size in (60, 200, 200, 330):
+        base = [rng.choice(words) for _ in range(size)]
+        for n in (0, 0, 1, 2, 3, 4, 5, 6, 8, 12):
+            c = base[:]
+            for _ in range(n * size // 200):
+                c[rng.randrange(size)] = rng.choice(words)
+            texts.append(" ".join(c))
+    sets = [set(simhash.shingles(t, 5)) for t in texts]
+    fps = [simhash.fingerprint(t, 3, 42) for t in texts]
+    root, far = list(range(len(texts))), 0
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if (len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4)]
+    near = [(i, j) for i, j in near if (fps[i] ^ fps[j]).bit_count() <= simhash.COPY_RADIUS]
+    assert any((fps[i] ^ fps[j]).bit_count() > 3 for i, j in near)
+    for _ in texts:
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root))
