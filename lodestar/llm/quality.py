@@ -4,8 +4,10 @@ Per document: words, their characters, symbols, repeated lines and repeated 3-wo
 first: under 50 words, or over half the words in repeated windows. The rest is judged against its own kind: for each
 language and source, mergeable KLL quantile sketches of three rates (symbols a word, repeated lines a line, words in
 repeated windows a word) and of the mean word length are built with partial aggregation, and a document is rejected if
-a value lies beyond a Tukey fence of its group, more than ``SPREADS`` interquartile ranges (or ``LEAST_SPREAD`` of the
-measure, where a group has hardly any spread) outside the quartiles.
+a value lies beyond a Tukey fence of its group, more than ``SPREADS`` interquartile ranges outside the quartiles. Rates are
+mostly 0, so their quartiles are those of the values above 0. Quartiles are smoothed by the language's own, worth ``PRIOR``
+rows. Only where there is no scale to learn (no spread, or the measure is above 0 in less than ``LEAST_SHARE`` of the rows,
+smoothed likewise) does ``LEAST_SPREAD`` set the fence.
 
 Sketches are small, hold any number of rows and merge in any order, so a source with a third of all rows costs no task
 more than its share. The thresholds are one row a group and meet the documents in a join on (lang, source).
@@ -25,8 +27,12 @@ MIN_WORDS = 50
 SPREADS = 3.0
 #: Accuracy of the sketches: about 1.3 / K ** 0.9 in rank.
 SKETCH_K = 400
-#: measure -> (the least spread that counts, fence below too)
-LEAST_SPREAD = {"symbol_rate": (0.15, False), "dup_line_rate": (0.15, False), "repeat_rate": (0.15, False), "word_length": (2.0, True)}
+#: Rows of the language that a group's quartiles are smoothed by.
+PRIOR = 100
+#: A measure that fewer rows than this share have at all is judged by the floor.
+LEAST_SHARE = 0.1
+#: measure -> (spread of groups that have none, fence below too, mostly 0: the quartiles are those of the other values)
+LEAST_SPREAD = {"symbol_rate": (0.15, False, True), "dup_line_rate": (0.15, False, True), "repeat_rate": (0.15, False, True), "word_length": (2.0, True, False)}
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("lang", "source"), n: int = 3) -> DataFrame:
@@ -64,14 +70,30 @@ def _measures() -> dict[str, Column]:
     return {"symbol_rate": rate("n_symbols", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_lines"), "repeat_rate": rate("n_repeat_words", "n_words"), "word_length": rate("word_chars", "n_words")}
 
 
+def _sketches(rows: DataFrame, by: tuple[str, ...], tag: str) -> DataFrame:
+    """Per group: its size and, for each measure, the size and the quartiles of its values (above 0, where it is mostly 0), from mergeable sketches."""
+    scaled = {m: F.when(F.col(m) > 0, F.col(m)) if some_zero else F.col(m) for m, (_, _, some_zero) in LEAST_SPREAD.items()}
+    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.count(x).alias(f"n_{m}") for m, x in scaled.items()), *(F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias(m) for m, x in scaled.items()))
+    quartile = lambda m, x: F.when(F.col(f"n_{m}") > 0, F.kll_sketch_get_quantile_double(m, F.lit(x)))
+    quartiles = {f"{tag}_{m}_{i}": quartile(m, x) for m in scaled for i, x in ((1, 0.25), (3, 0.75))}
+    return found.select(*by, F.col("n").alias(f"{tag}_n"), *(F.col(f"n_{m}").alias(f"{tag}_n_{m}") for m in scaled), *(x.alias(c) for c, x in quartiles.items()))
+
+
 def thresholds(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """Per group: the fences of each measure, from merged quantile sketches of the rows that the fixed rules let pass."""
-    sketched = rows.groupBy(*by).agg(*(F.kll_sketch_agg_double(m, F.lit(SKETCH_K)).alias(m) for m in LEAST_SPREAD))
-    for m, (least, _) in LEAST_SPREAD.items():
-        q = [F.kll_sketch_get_quantile_double(m, F.lit(x)) for x in (0.25, 0.75)]
-        spread = F.greatest(q[1] - q[0], F.lit(least))
-        sketched = sketched.withColumns({f"{m}_low": q[0] - SPREADS * spread, f"{m}_high": q[1] + SPREADS * spread})
-    return sketched.select(*by, *(f"{m}_{side}" for m in LEAST_SPREAD for side in ("low", "high")))
+    """Per group: the fences of each measure, from merged quantile sketches of the rows that the fixed rules let pass, and
+    whether the measure adapts (else its fence is the floor)."""
+    groups, wide = _sketches(rows, by, "g"), _sketches(rows, by[:1], "l").withColumnRenamed(by[0], "__wide")
+    both = groups.join(wide, groups[by[0]].eqNullSafe(F.col("__wide")))
+    fences = []
+    for m, (least, _, some_zero) in LEAST_SPREAD.items():
+        n = F.col(f"g_n_{m}")
+        q1, q3 = ((n * F.coalesce(f"g_{m}_{i}", F.lit(0.0)) + PRIOR * F.col(f"l_{m}_{i}")) / (n + PRIOR) for i in (1, 3))
+        share = (n + PRIOR * F.col(f"l_n_{m}") / F.col("l_n")) / (F.col("g_n") + PRIOR)
+        adapts = F.coalesce((q3 > q1) & (share >= LEAST_SHARE), F.lit(False))
+        spread = F.when(adapts, q3 - q1).otherwise(F.lit(least))
+        middle = [F.when(adapts, q).otherwise(F.lit(0.0) if some_zero else F.coalesce(q, F.lit(0.0))) for q in (q1, q3)]
+        fences += [(middle[0] - SPREADS * spread).alias(f"{m}_low"), (middle[1] + SPREADS * spread).alias(f"{m}_high"), adapts.alias(f"{m}_adapts")]
+    return both.select(*by, *fences)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source"), extra: tuple[str, ...] = ()) -> DataFrame:
@@ -83,7 +105,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str,
     fences = fences.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in fences.columns if c not in by))
     same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in by]
     inside = F.lit(True)
-    for m, (_, below) in LEAST_SPREAD.items():
+    for m, (_, below, _) in LEAST_SPREAD.items():
         inside = inside & (F.col(m) <= F.col(f"{m}_high"))
         if below:
             inside = inside & (F.col(m) >= F.col(f"{m}_low"))

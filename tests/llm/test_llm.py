@@ -227,3 +227,17 @@ def test_one_of_each_keeps_one_near_copy(spark, monkeypatch):
             root[i] = root[j] = min(root[i], root[j])
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root))
+
+
+def test_quality_fences_follow_the_group(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    text = lambda n, symbols=0: " ".join(noise(n if k % 2 else n + 1) + "#" * (k < symbols) for k in range(120))
+    rows = []
+    for i in range(400):  # code has a symbol in 10 to 60 of 120 words, prose in up to 3; names are longer than prose's words
+        rows += [(i, text(5, i % 4), "en", "prose"), (1000 + i, text(5, 10 + i % 50), "en", "code"), (2000 + i, text(rng.choice([9, 10]), 0), "fi", "names")]
+    rows += [(9001, text(5, 100), "en", "prose"), (9002, text(5, 100), "en", "code"), (9003, text(9), "en", "prose"), (9004, text(9), "fi", "names"), (9005, text(2), "fi", "names")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert sum(not got[i].kept for i in range(400)) + sum(not got[1000 + i].kept for i in range(400)) + sum(not got[2000 + i].kept for i in range(400)) == 0
+    assert (got[9001].kept, got[9002].kept, got[9003].kept, got[9004].kept, got[9005].kept) == (False, True, False, True, False)
