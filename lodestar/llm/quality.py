@@ -101,7 +101,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str,
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = features(df, key, text, (*by, *extra)).withColumn("base_failed", failed)
     rows = written(rows.withColumns(_measures()), "quality")
-    fences = thresholds(rows.filter(~F.col("base_failed")), by)
+    # written, as the sketches are randomised: every reader of the result gets one verdict
+    fences = written(thresholds(rows.filter(~F.col("base_failed")), by), "quality-fences")
     fences = fences.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in fences.columns if c not in by))
     same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in by]
     inside = F.lit(True)

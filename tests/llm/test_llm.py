@@ -241,3 +241,25 @@ def test_quality_fences_follow_the_group(spark):
     assert not any(got[i].base_failed for i in got)
     assert sum(not got[i].kept for i in range(400)) + sum(not got[1000 + i].kept for i in range(400)) + sum(not got[2000 + i].kept for i in range(400)) == 0
     assert (got[9001].kept, got[9002].kept, got[9003].kept, got[9004].kept, got[9005].kept) == (False, True, False, True, False)
+
+
+def test_pipeline_run_writes_each_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    def note(k):
+        def stage(spark, d, sf_dir):
+            seen.append(d.inputFiles())
+            return d.select("doc_id", F.rand().alias("x"))
+        return stage
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"stage {k}", note(k)) for k in range(3)])
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert sorted(out.collect()) == sorted(out.collect())
+    assert all(f"stage-{k - 1}-" in f for k in (1, 2) for f in seen[k])
+
+
+def test_quality_has_one_verdict(spark):
+    rows = [(i, " ".join("abcdefghijk"[: 1 + (i * j) % 11] + str(j) for j in range(60 + i % 50)), "en", "s") for i in range(3000)]
+    judged = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert "kll" not in judged._jdf.queryExecution().optimizedPlan().toString()
