@@ -10,7 +10,8 @@ of all pages is pre-aggregated. The posterior is the normalised product.
 The text model is fitted on at most ``FIT_ROWS`` different labelled texts a language (the ones with the smallest hashes);
 all pages are scored and counted.
 
-Edge cases: null or empty pages and addresses have no evidence of that kind and get the prior's language; declarations of
+Edge cases: null or empty pages and addresses have no evidence of that kind and get the prior's language; a page without
+letters has no text_lang (null) and counts for no language in priors and shares; declarations of
 unknown languages are one kind of their own; repeated rows get the same answer; without pages or without labelled
 documents there are no rows; columns other than those named aren't read.
 """
@@ -104,7 +105,7 @@ def identify(pages: DataFrame, names: list[str], table: np.ndarray, key: str = "
     rows = pages.select(F.col(key), F.col(html).alias("__html"), host.alias("host"), declared.alias("declared"))
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
     rows = rows.withColumn("declared", F.when(F.col("declared") == "", "").when(F.col("declared").isin(names), F.col("declared")).otherwise("other"))
-    rows = written(text_scores(rows, [key, "host", "suffix", "declared"], "__html", names, table).withColumn("text_lang", _argmax(F.col("ll"), names)), "langid")
+    rows = written(text_scores(rows, [key, "host", "suffix", "declared"], "__html", names, table).withColumn("text_lang", F.when(F.array_min("ll") < 0, _argmax(F.col("ll"), names))), "langid")
     tally = [F.count_if(F.col("text_lang") == x).cast("double").alias(f"n{i}") for i, x in enumerate(names)]
     ns = F.array(*(f"n{i}" for i in range(len(names))))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)

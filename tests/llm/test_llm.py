@@ -204,6 +204,55 @@ def test_pipeline(spark):
         assert sorted(d.columns) == sorted(names) and d.count() > 0
 
 
+def test_quality_fences_follow_the_group(spark):
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
+    text = lambda n, symbols=0: " ".join(noise(n if k % 2 else n + 1) + "#" * (k < symbols) for k in range(120))
+    rows = []
+    for i in range(400):  # code has a symbol in 10 to 60 of 120 words, prose in up to 3; names are longer than prose's words
+        rows += [(i, text(5, i % 4), "en", "prose"), (1000 + i, text(5, 10 + i % 50), "en", "code"), (2000 + i, text(rng.choice([9, 10]), 0), "fi", "names")]
+    rows += [(9001, text(5, 100), "en", "prose"), (9002, text(5, 100), "en", "code"), (9003, text(9), "en", "prose"), (9004, text(9), "fi", "names"), (9005, text(2), "fi", "names")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i].base_failed for i in got)
+    assert sum(not got[i].kept for i in range(400)) + sum(not got[1000 + i].kept for i in range(400)) + sum(not got[2000 + i].kept for i in range(400)) == 0
+    assert (got[9001].kept, got[9002].kept, got[9003].kept, got[9004].kept, got[9005].kept) == (False, True, False, True, False)
+
+
+def test_langid_fusion_equals_brute_force(spark):
+    names = ["aa", "bb", "cc"]
+    rng = np.random.default_rng(2)
+    table = np.log(rng.dirichlet(np.ones(langid.BUCKETS), 3))
+    word = lambda i: "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(5))
+    by_lang = {n: [] for n in names}
+    for i in range(3000):
+        by_lang[names[int(np.argmax(table @ langid.gram_counts(word(i))))]].append(word(i))
+    pages = []
+    for i in range(40):
+        pages.append(("http://hot.xx/", f'<html lang="bb"><p>{" ".join(by_lang["bb"][i : i + 4])}</p></html>'))
+        pages.append((f"http://h{i % 5}.yy/", f'<html lang="{names[i % 3]}"><p>{" ".join(by_lang[names[i % 3]][i : i + 3])}</p></html>'))
+    pages += [("http://hot.xx/", h) for h in [None, "", '<html lang="bb"><img src="a"></html>', "<p>1 2 3</p>"] * 60] + [(None, None), ("http://h1.yy/", '<html lang="zz"></html>')]
+    got = {r.page_id: r for r in langid.identify(spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string"), names, table).collect()}
+    rows = []
+    for url, page in pages:
+        c = langid.gram_counts(langid.visible(page))
+        ll = table @ c * min(1.0, langid.EFFECTIVE / max(c.sum(), 1))
+        said = page.split('lang="')[1][:2] if 'lang="' in (page or "") else ""
+        host = url.split("/")[2] if url else ""
+        rows.append((ll, int(np.argmax(ll)) if c.sum() else None, host, host.split(".")[-1], said if said in ("", *names) else "other"))
+    tally = lambda keep: np.bincount([r[1] for r in rows if r[1] is not None and keep(r)], minlength=3).astype(float)
+    n = tally(lambda r: True)
+    flat = n / n.sum() * 0.99 + 0.01 / 3
+    smooth = lambda up, c: (c + langid.STRENGTH * up) / (c.sum() + langid.STRENGTH)
+    for i, (ll, told, host, suffix, said) in enumerate(rows):
+        prior = smooth(smooth(flat, tally(lambda r: r[3] == suffix)), tally(lambda r: r[2] == host))
+        share = (tally(lambda r: r[4] == said) + 1) / (tally(lambda r: r[4] != "") + 2 + 3) if said else np.ones(3)
+        score = ll + np.log(prior) + np.log(share)
+        p = np.exp(score - score.max())
+        want = (names[int(np.argmax(score))], None if told is None else names[told])
+        assert (got[i].lang, got[i].text_lang) == want and abs(got[i].probability - 1 / p.sum()) < 2e-6
+    assert all(got[i].lang == "bb" for i in range(80, len(pages) - 2))
+
+
 def test_one_of_each_keeps_one_near_copy(spark, monkeypatch):
     monkeypatch.setattr(simhash, "COPY_TILE", 8)
     rng = random.Random(12)
@@ -229,20 +278,6 @@ def test_one_of_each_keeps_one_near_copy(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each(df).collect()) == sorted(set(root))
 
 
-def test_quality_fences_follow_the_group(spark):
-    rng = random.Random(8)
-    noise = lambda n: "".join(rng.choice("abcdefg") for _ in range(n))
-    text = lambda n, symbols=0: " ".join(noise(n if k % 2 else n + 1) + "#" * (k < symbols) for k in range(120))
-    rows = []
-    for i in range(400):  # code has a symbol in 10 to 60 of 120 words, prose in up to 3; names are longer than prose's words
-        rows += [(i, text(5, i % 4), "en", "prose"), (1000 + i, text(5, 10 + i % 50), "en", "code"), (2000 + i, text(rng.choice([9, 10]), 0), "fi", "names")]
-    rows += [(9001, text(5, 100), "en", "prose"), (9002, text(5, 100), "en", "code"), (9003, text(9), "en", "prose"), (9004, text(9), "fi", "names"), (9005, text(2), "fi", "names")]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert not any(got[i].base_failed for i in got)
-    assert sum(not got[i].kept for i in range(400)) + sum(not got[1000 + i].kept for i in range(400)) + sum(not got[2000 + i].kept for i in range(400)) == 0
-    assert (got[9001].kept, got[9002].kept, got[9003].kept, got[9004].kept, got[9005].kept) == (False, True, False, True, False)
-
-
 def test_pipeline_run_writes_each_stage(spark, monkeypatch):
     import corpus_pipeline
 
