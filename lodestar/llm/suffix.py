@@ -5,44 +5,50 @@ working from the largest group down; each suffix of a group points to the previo
 are regrouped right behind their old group, by how often they were hit. A second pass then emits every group's order
 from the order of the suffixes that end its Lyndon prefixes. Nothing is renamed or solved recursively.
 
-A corpus has no single suffix array here; strings that can share 400 bytes are brought together first:
-
-1. Each 400-byte window picks an anchor, its leftmost gram of smallest hash. Equal windows pick equal anchors at equal
-   offsets, so only anchors whose gram stands in two places go on (``anchors``, ``candidates``).
-2. Around each anchor, alike stretches of text collapse to one with a count (``contexts``).
-3. A stretch is cut into ranges of ``RANGE`` windows. All windows of a range share a core; ranges of equal cores form a
-   group, and a member is what stands left and right of the core. Cores become one symbol each, so a member is a short
-   string, and a window repeats if its suffix shares ``RANGE`` symbols with a neighbour in the suffix array, or if its
-   member stands for several stretches (``ranges``, ``judged``).
-4. Verdicts go back to the texts, whose windows' union is removed (``removals``).
-
-A core that over ``GROUP`` different members share is judged window by window, by counting equal windows: exact too, and no
-task holds the group. Equal texts are worked on once, with their number.
-
-Edge cases: null texts are empty; texts under 400 bytes lose nothing; overlapping copies count (a run of one letter is all
-repeats but for its own single window); rows alike in text lose the same; an empty table gives no rows; columns other
-than key and text aren't read by ``repeats``.
+A corpus has no single suffix array here; strings that can share ``length`` bytes are brought together first:
+
+1. Each window of ``length`` bytes picks an anchor, its leftmost gram of smallest hash. Equal windows pick equal anchors at
+   equal offsets, so only anchors whose gram stands in two places go on (``candidates``).
+2. The windows of an anchor lie in one stretch of text; equal stretches collapse to one with a count (``contexts``). What stands
+   twice repeats as a whole.
+3. Where a gram also has stretches that stand once, all its stretches are compared: a stretch is cut into ranges of ``RANGE`` windows. All windows of a range share a core; ranges of equal cores form a
+   group, and a member is what stands left and right of the core (``ranges``). Cores become one symbol each, so a member
+   is a short string, and a window repeats if its suffix shares ``RANGE`` symbols with a neighbour in the suffix array, or
+   if its member stands for several stretches (``judge``).
+4. A core that over ``HOT`` rows share is split into finer ranges, whose cores are longer, down to single windows; these go
+   the same way (``judged``), so no task holds a large group.
+5. Verdicts go back to the texts, whose windows' union is removed (``marked``, ``removals``).
+
+Stretches, cores and texts are told apart by 128-bit digests: exact but for their collisions. Equal texts are worked on once,
+with their number.
+
+Edge cases: null texts are empty; texts under ``length`` bytes lose nothing; overlapping copies count (a run of one letter is
+all repeats but for its own single window); rows alike in text lose the same; an empty table gives no rows; columns other
+than key and text aren't read by ``repeats``; ``deduped`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_texts, release, text_key, written
+from lodestar.llm.common import fresh, map_texts, text_key, written
 
 LENGTH = 400
+#: Bytes that 50 words take at least, about: what the pipeline cuts out, and what ``n_passages`` counts.
+PASSAGE = 200
 GRAM = 64
-RANGE = 32
-#: Windows of a text that are looked at together.
-SEGMENT = 1 << 20
-#: Members of a group that one suffix array takes; larger groups are counted window by window.
-GROUP = 500
+RANGE = 64
+#: Bytes of texts that are looked at together.
+SEGMENT = 1 << 19
+#: Rows of a core that are judged as they are; more are cut into ranges of an eighth.
+HOT = 1000
+FINER = 8
 #: Symbols of a suffix array, about.
 SYMBOLS = 100_000
 
@@ -120,9 +126,9 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.uint64((1 << 24) - 1)
 
 
-def grams(b: bytes) -> np.ndarray:
+def grams(b: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each GRAM bytes."""
-    h = np.lib.stride_tricks.as_strided(np.frombuffer(b, np.uint8)[:8].view("<u8"), shape=(len(b) - 7,), strides=(1,)) * _MUL
+    h = np.lib.stride_tricks.as_strided(b[:8].view("<u8"), shape=(len(b) - 7,), strides=(1,)) * _MUL
     k = 8
     while k < GRAM:
         h ^= h >> np.uint64(29)
@@ -133,295 +139,388 @@ def grams(b: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors_of(b: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Gram hashes, anchors and the first and last windows that picked them, a segment at a time."""
-    w = LENGTH - GRAM + 1
-    for start in range(0, len(b) - LENGTH + 1, SEGMENT):
-        h = grams(b[start : start + SEGMENT + LENGTH - 1])
-        x = (h & ~_BITS) | np.arange(len(h), dtype=np.uint64)
-        full = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max)
-        full[: len(x)] = x
-        full = full.reshape(-1, w)
-        ahead = np.minimum.accumulate(full, axis=1).ravel()
-        back = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
-        at = (np.minimum(back[: len(x) - w + 1], ahead[w - 1 : len(x)]) & _BITS).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        last = np.r_[first[1:], len(at)] - 1
-        yield h[at[first]].view(np.int64), at[first] + start, first + start, last + start
-
-
-def _rows(df: DataFrame, fn: Callable[[dict], Iterator[list]], schema: str, types: list[pa.DataType], at_once: int = 50_000) -> DataFrame:
-    """The rows (as lists of arrays, one a column) that ``fn`` makes of each row of ``df``."""
-    names = [x.split()[0] for x in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([x[i] for x in held]) for i in range(len(types))], names=names)
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i] for c in batch.schema.names}
-                for made in fn(row):
-                    held.append([pa.array(v, t) for v, t in zip(made, types, strict=True)])
-                    n += len(held[-1][0])
-                    if n >= at_once or len(held) > 2000:
-                        yield out()
-                        held, n = [], 0
-        if held:
-            yield out()
-
-    return df.mapInArrow(run, schema)
+def anchors_of(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts ``b[starts[i]:ends[i]]``: gram hashes, places of anchors, and the first and last windows that picked them."""
+    w = length - GRAM + 1
+    if len(b) < length:
+        none = np.empty(0, np.int64)
+        return none, none, none, none
+    h = grams(b)
+    x = (h & ~_BITS) | np.arange(len(h), dtype=np.uint64)
+    full = np.full(-(-len(x) // w) * w, np.iinfo(np.uint64).max)
+    full[: len(x)] = x
+    full = full.reshape(-1, w)
+    ahead = np.minimum.accumulate(full, axis=1).ravel()
+    back = np.minimum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    at = (np.minimum(back[: len(x) - w + 1], ahead[w - 1 : len(x)]) & _BITS).astype(np.int64)
+    # windows that lie inside a text; those of different texts have different anchors
+    edge = np.zeros(len(at) + 1, np.int32)
+    long = ends - starts >= length
+    np.add.at(edge, starts[long], 1)
+    np.add.at(edge, ends[long] - length + 1, -1)
+    window = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    at = at[window]
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else window
+    return h[at[new]].view(np.int64), at[new], window[new], window[np.r_[new[1:], len(at)] - 1] if len(at) else window
+
+
+def _pieces(column: pa.Array, segment: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The texts of a column in buffers of about ``segment`` bytes: bytes, rows, starts and ends. A longer text is cut into
+    stretches that overlap, so that each of its windows lies in one."""
+    binary = column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
+    offsets = np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1].astype(np.int64)
+    data = np.frombuffer(binary.buffers()[2] or b"", np.uint8)
+    rows, start = len(binary), 0
+    while start < rows:
+        end = max(int(np.searchsorted(offsets, offsets[start] + segment, "right")) - 1, start + 1)
+        yield data[offsets[start] : offsets[end]], np.arange(start, end), offsets[start:end] - offsets[start], offsets[start + 1 : end + 1] - offsets[start]
+        start = end
+
+
+def anchors_in(column: pa.Array, length: int, segment: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, gram, at, first, last of a column's texts, a buffer at a time."""
+    for b, rows, starts, ends in _pieces(column, segment):
+        if len(rows) > 1 or len(b) <= 2 * segment:
+            gram, at, first, last = anchors_of(b, starts, ends, length)
+            row = np.searchsorted(starts, first, "right") - 1
+            base = starts[row]
+            yield rows[row], gram, at - base, first - base, last - base
+            continue
+        found = []
+        for s in range(0, len(b) - length + 1, segment):
+            part = b[s : s + segment + length - 1]
+            found.append([x if i == 0 else x + s for i, x in enumerate(anchors_of(part, np.array([0]), np.array([len(part)]), length))])
+        gram, at, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+        # an anchor at a border was found from both sides
+        new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        yield np.full(len(new), rows[0]), gram[new], at[new], first[new], last[np.r_[new[1:], len(at)] - 1]
+
+
+def _lists(row: np.ndarray, n: int, values: np.ndarray) -> pa.Array:
+    """A list for each of ``n`` rows, of the values whose ``row`` (sorted) it is."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), pa.array(values, pa.int64()))
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each value of a list column, and the values."""
+    n = pc.list_value_length(column).fill_null(0).to_numpy()
+    return np.repeat(np.arange(len(column)), n), column.flatten()
+
+
+def _map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    return df.mapInArrow(lambda batches: (out for batch in batches for out in fn(batch)), schema)
 
 
 _I64, _BIN = pa.int64(), pa.binary()
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """gram, t1, t2, at, first, last of all texts (columns t1, t2, text)."""
-
-    def fn(row: dict) -> Iterator[list]:
-        b = (row["text"].as_py() or "").encode()
-        if len(b) >= LENGTH:
-            t1, t2 = row["t1"].as_py(), row["t2"].as_py()
-            for g, at, first, last in anchors_of(b):
-                yield [g, np.full(len(g), t1), np.full(len(g), t2), at, at - first, last - first]
-
-    return _rows(texts, fn, "gram long, t1 long, t2 long, at long, back int, more int", [_I64, _I64, _I64, _I64, pa.int32(), pa.int32()], 200_000)
+def candidates(texts: DataFrame, length: int) -> DataFrame:
+    """rid, t1, t2, n, text, grams: the different texts (columns t1, t2, text) with an anchor's gram that stands twice, their
+    number, and those grams."""
+    segment = SEGMENT
 
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column("text")
+        found = [*anchors_in(column, length, segment)]
+        row, gram = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([batch.column("t1"), batch.column("t2"), _lists(row, len(column), gram)], names=["t1", "t2", "grams"])
 
-def candidates(texts: DataFrame) -> DataFrame:
-    """rid, t1, t2, n, text, spots: the different texts with a gram that stands twice, their number, and the anchors there."""
-    found = written(anchors(texts), "suffix-anchors")
+    long = texts.filter(F.octet_length("text") >= length)
+    found = written(_map(long, fn, "t1 long, t2 long, grams array<long>"), "suffix-grams")
+    every = found.select("t1", "t2", F.explode("grams").alias("gram"))
     # a table of its own, so that the join below has a plain shuffle on either side, and a gram of very many places can be split
-    twice = written(found.groupBy("gram").count().filter("count > 1").select("gram"), "suffix-twice")
-    spots = found.join(twice, "gram", "left_semi").select("t1", "t2", "at", "back", "more").distinct()
-    spots = spots.groupBy("t1", "t2").agg(F.collect_list(F.struct("at", "back", "more")).alias("spots"))
-    each = texts.filter(F.octet_length("text") >= LENGTH).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
-    return written(each.join(spots, ["t1", "t2"]).withColumn("rid", F.monotonically_increasing_id()), "suffix-texts")
+    twice = written(every.groupBy("gram").count().filter("count > 1").select("gram"), "suffix-twice")
+    shared = every.join(twice, "gram", "left_semi").groupBy("t1", "t2").agg(F.collect_set("gram").alias("grams"))
+    each = long.join(shared, ["t1", "t2"]).groupBy("t1", "t2").agg(F.first("text").alias("text"), F.first("grams").alias("grams"), F.count(F.lit(1)).alias("n"))
+    return written(each.withColumn("rid", F.monotonically_increasing_id()), "suffix-texts")
 
 
 # ---- stretches around anchors ----
 
 
-def _stretches(row: dict) -> tuple[bytes, list[tuple[int, int, int, int, int, bytes]]]:
-    """The text, and (anchor, first and last range, start, end, hash) of the stretch around each anchor."""
-    from xxhash import xxh3_128_digest
-
-    b = row["text"].as_py().encode()
-    out = []
-    picked: dict[int, tuple[int, int]] = {}  # an anchor at a segment's border was found from both sides
-    for spot in row["spots"].as_py():
-        low, high = picked.get(spot["at"], (LENGTH, 0))
-        picked[spot["at"]] = min(low, spot["back"] - spot["more"]), max(high, spot["back"])
-    for at, (low, high) in picked.items():
-        low, high = low // RANGE, high // RANGE
-        start, end = max(0, at - high * RANGE - RANGE + 1), min(len(b), at - low * RANGE + LENGTH)
-        out.append((at, low, high, start, end, xxh3_128_digest(b[start:end] + struct.pack("<iii", at - start, low, high))))
-    return b, out
-
-
-def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _halves(digests: list[bytes]) -> list[np.ndarray]:
     both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return both[:, 0], both[:, 1]
-
-
-def contexts(texts: DataFrame) -> DataFrame:
-    """x1, x2 (128 bits of a stretch), rid, n (copies of the text), gram (64 bits of the anchor's gram), at, and how far the
-    stretch goes before and after the anchor."""
-    from xxhash import xxh64_intdigest
-
-    def fn(row: dict) -> Iterator[list]:
-        b, found = _stretches(row)
-        if found:
-            rid, n = row["rid"].as_py(), row["n"].as_py()
-            x1, x2 = _halves([x[-1] for x in found])
-            gram = np.array([xxh64_intdigest(b[x[0] : x[0] + GRAM]) for x in found], np.uint64).view(np.int64)
-            at, start, end = (np.array([x[i] for x in found]) for i in (0, 3, 4))
-            yield [x1, x2, np.full(len(x1), rid), np.full(len(x1), n), gram, at, at - start, end - at]
-
-    return _rows(texts, fn, "x1 long, x2 long, rid long, n long, gram long, at long, before long, after long", [_I64] * 8)
-
-
-def ranges(texts: DataFrame) -> DataFrame:
-    """c1, c2 (128 bits of a core), side, n, x1, x2, part: the ranges of the stretches in ``wanted`` (x1, x2, n), once each."""
-    from xxhash import xxh3_128_digest
-
-    def fn(row: dict) -> Iterator[list]:
-        wanted = {struct.pack("<qq", w["x1"], w["x2"]): w["n"] for w in row["wanted"].as_py()}
-        b, found = _stretches(row)
-        cores, sides, ns, xs, parts = [], [], [], [], []
-        for at, low, high, _, _, x in found:
-            if (n := wanted.pop(x, None)) is None:
-                continue
-            for k in range(low, high + 1):
-                a = at - k * RANGE  # the last window's start, and the core's
-                z = a - RANGE + 1 + LENGTH
-                if z > len(b) or a < 0:
-                    continue
-                left, right = b[max(0, a - RANGE + 1) : a], b[z : z + RANGE - 1]
-                cores.append(xxh3_128_digest(b[a:z] + bytes([k])))  # with its place, lest a text meet itself by two anchors
-                sides.append(bytes([len(left)]) + left + right)
-                ns.append(n)
-                xs.append(x)
-                parts.append(k)
-        if cores:
-            yield [*_halves(cores), sides, ns, *_halves(xs), parts]
-
-    return _rows(texts, fn, "c1 long, c2 long, side binary, n long, x1 long, x2 long, part int", [_I64, _I64, _BIN, _I64, _I64, _I64, pa.int32()])
+    return [both[:, 0], both[:, 1]]
+
+
+def contexts(texts: DataFrame, length: int) -> DataFrame:
+    """x1, x2 (128 bits of a stretch), gram, rid, n (copies of the text), the anchor's place ``at``, and ``low`` and ``high``, how far
+    before the anchor the last and the first window start that picked it."""
+    segment = SEGMENT
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        column = batch.column("text")
+        wanted = np.unique(batch.column("grams").flatten().to_numpy())
+        rid, n = (batch.column(c).to_numpy() for c in ("rid", "n"))
+        last, b = -1, b""
+        for row, gram, at, first, end in anchors_in(column, length, segment):
+            keep = np.isin(gram, wanted)
+            row, gram, at, first, end = row[keep], gram[keep], at[keep], first[keep], end[keep]
+            out = []
+            for r, a, s, e in zip(row.tolist(), at.tolist(), first.tolist(), (end + length).tolist(), strict=True):
+                if r != last:
+                    last, b = r, memoryview(column[r].as_buffer())
+                out.append(xxh3_128_digest(b[s:e], a - s))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (*_halves(out), gram, rid[row], n[row], at, (at - end).astype(np.int32), (at - first).astype(np.int32))], names=["x1", "x2", "gram", "rid", "n", "at", "low", "high"])
+
+    return _map(texts.select("text", "grams", "rid", "n"), fn, "x1 long, x2 long, gram long, rid long, n long, at long, low int, high int")
+
+
+def ranges(texts: DataFrame, length: int) -> DataFrame:
+    """c1, c2 (128 bits of a core), side, n, x1, x2, high: the ranges of the stretches in ``wanted`` (at, low, high, x1, x2, n).
+    ``high``: how far before the anchor a range's first window starts."""
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        column = batch.column("text")
+        row, stretches = _flat(batch.column("wanted"))
+        at, low, high, x1, x2, n = (stretches.field(c).to_numpy() for c in ("at", "low", "high", "x1", "x2", "n"))
+        for start in range(0, len(row), 20_000):
+            cores, sides, which, highs = [], [], [], []
+            last, b = -1, b""
+            for i in range(start, min(start + 20_000, len(row))):
+                if row[i] != last:
+                    last = row[i]
+                    b = column[int(last)].as_buffer().to_pybytes()
+                p, lo, hi = int(at[i]), int(low[i]), int(high[i])
+                for k in range(lo // RANGE, hi // RANGE + 1):
+                    a = p - k * RANGE  # the core's start
+                    z = a - RANGE + 1 + length
+                    first, final = min(hi, k * RANGE + RANGE - 1), max(lo, k * RANGE)
+                    cores.append(xxh3_128_digest(b[a:z], k))  # with its place, lest a text meet itself by two anchors
+                    sides.append(bytes((first - k * RANGE,)) + b[p - first : a] + b[z : p - final + length])
+                    which.append(i)
+                    highs.append(first)
+            if cores:
+                yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in _halves(cores)), pa.array(sides, _BIN), *(pa.array(v[which]) for v in (n, x1, x2)), pa.array(highs, pa.int32())], names=["c1", "c2", "side", "n", "x1", "x2", "high"])
+
+    return _map(texts.select("text", "wanted"), fn, "c1 long, c2 long, side binary, n long, x1 long, x2 long, high int")
 
 
 # ---- verdicts ----
 
 
-def repeated_windows(groups: list[list[tuple[bytes, int]]]) -> list[list[int]]:
-    """For each member (side, number) of each group, the bits of its windows that repeat, by one suffix array."""
+def repeated_windows(groups: list[list[tuple[bytes, int]]], width: int) -> list[list[int]]:
+    """For each member (side, number) of each group, the bits of its windows (of ``width`` symbols) that repeat, by one suffix
+    array. A member that stands for several stretches repeats with itself."""
     symbols, where = [], []
     for g, members in enumerate(groups):
         for m, (side, _) in enumerate(members):
             k = side[0]
-            where.append((len(symbols), g, m, k, max(0, min(k, len(side) - RANGE) + 1)))
+            where.append((len(symbols), g, m, len(side) - width + 1))
             symbols += [c + 2 for c in side[1 : k + 1]]
             symbols.append(258 + g)
             symbols += [c + 2 for c in side[k + 1 :]]
             symbols.append(1)
     s = np.array([*symbols, 0], np.int64)
     starts = np.full(len(s), -1, np.int64)
-    for w, (at, _, _, _, windows) in enumerate(where):
+    for w, (at, _, _, windows) in enumerate(where):
         starts[at : at + windows] = w
     sa = np.array(group_suffixes(s), np.int64)
     sa = sa[starts[sa] >= 0]
     out = [[0] * len(members) for members in groups]
     if len(sa):
-        rows = s[sa[:, None] + np.arange(RANGE)]
+        rows = s[sa[:, None] + np.arange(width)]
         twin = (rows[1:] == rows[:-1]).all(axis=1)
         again = np.r_[False, twin] | np.r_[twin, False]
         for i in sa[again].tolist():
-            at, g, m, _, _ = where[starts[i]]
+            at, g, m, _ = where[starts[i]]
             out[g][m] |= 1 << (i - at)
-    for at, g, m, _, windows in where:
+    for _, g, m, windows in where:
         if groups[g][m][1] > 1:
             out[g][m] = (1 << windows) - 1
     return out
 
 
-def _judge_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members in the order of their cores -> bits of each; suffix arrays of about SYMBOLS symbols."""
-    groups: list[list[tuple]] = []
-    size, last = 0, None
-
-    def out() -> pa.RecordBatch:
-        bits = repeated_windows([[(side, n) for side, n in g] for g in groups])
-        flat = [(*k, side, b) for k, g, bs in zip(keys, groups, bits, strict=True) for (side, _), b in zip(g, bs, strict=True)]
-        columns = [list(x) for x in zip(*flat, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, [_I64, _I64, _BIN, _I64], strict=True)], names=["c1", "c2", "side", "bits"])
-
-    keys: list[tuple] = []
-    for batch in batches:
-        for c1, c2, side, n in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "side", "n")), strict=True):
-            if (c1, c2) != last:
-                if size >= SYMBOLS:
-                    yield out()
-                    groups, keys, size = [], [], 0
-                groups.append([])
-                keys.append((c1, c2))
-                last = (c1, c2)
-            groups[-1].append((side, n))
-            size += len(side) + 1
-    if groups:
-        yield out()
-
-
-def judged(members: DataFrame) -> DataFrame:
-    """c1, c2, side, bits for each different (c1, c2, side) of ``members`` that has a window that repeats."""
-    each = written(members.groupBy("c1", "c2", "side").agg(F.sum("n").alias("n")), "suffix-members")
-    release(members.sparkSession)
-    sizes = each.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("sides"), F.sum("n").alias("all"))
-    each = each.join(sizes.filter("all > 1").select("c1", "c2", "sides"), ["c1", "c2"])
+def judge(members: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """``keep`` and ``bits`` of the rows of ``members`` (c1, c2, side, n) with a window that repeats: one shuffle by core, then
+    suffix arrays of about SYMBOLS symbols over the groups as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: list[list[list]] = []  # of each core, its different sides: side, number
+        kept: list[pa.RecordBatch] = []
+        places: list[tuple[int, int]] = []  # of each row
+        size, last = 0, None
+
+        def out() -> pa.RecordBatch:
+            # the windows of a core's only member repeat if it stands for several stretches
+            busy = {g: i for i, g in enumerate(i for i, g in enumerate(groups) if len(g) > 1)}
+            found = repeated_windows([groups[g] for g in busy], width) if busy else []
+            bits = np.array([found[busy[g]][m] if g in busy else (1 << len(groups[g][0][0]) - width + 1) - 1 if groups[g][0][1] > 1 else 0 for g, m in places], np.uint64).view(np.int64)
+            some = np.flatnonzero(bits)
+            rows = pa.Table.from_batches(kept).take(pa.array(some)).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in keep), pa.array(bits[some])], names=[*keep, "bits"])
+
+        for batch in batches:
+            begun = 0
+            for i, (c1, c2, side, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "side", "n")), strict=True)):
+                if (c1, c2) != last:
+                    last = c1, c2
+                    if size >= SYMBOLS:
+                        kept.append(batch.slice(begun, i - begun).select(keep))
+                        yield out()
+                        groups, kept, places, size, begun = [], [], [], 0, i
+                    groups.append([])
+                group = groups[-1]
+                if group and group[-1][0] == side:
+                    group[-1][1] += n
+                else:
+                    group.append([side, n])
+                    size += len(side) + 1
+                places.append((len(groups) - 1, len(group) - 1))
+            kept.append(batch.slice(begun).select(keep))
+        if places:
+            yield out()
+
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = each.filter(F.col("sides").between(2, GROUP)).select("c1", "c2", "side", "n").repartition(parts, "c1", "c2").sortWithinPartitions("c1", "c2", "side")
-    small = small.mapInArrow(_judge_groups, "c1 long, c2 long, side binary, bits long")
-    # a window of a member: the end of its left part, the core, the beginning of its right part
+    kinds = dict(members.dtypes)
+    names = dict.fromkeys(["c1", "c2", "side", "n", *keep])
+    sorted_ = members.select(*names).repartition(parts, "c1", "c2").sortWithinPartitions("c1", "c2", "side")
+    return sorted_.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "bits long"]))
+
+
+def finer(members: DataFrame, width: int) -> DataFrame:
+    """The members (c1, c2, side, n) cut into ranges of an eighth of the width: u1, u2 (the finer range's core), ``inner`` (its
+    side), ``first`` (the bit of its first window), and the members' columns. What all windows of a finer range share of
+    the sides goes into the core."""
+    step = width // FINER
     left = F.conv(F.hex(F.substring("side", 1, 1)), 16, 10).cast("int")
-    last = F.least(left, F.octet_length("side") - RANGE)
-    large = each.filter((F.col("sides") > GROUP) & (last >= 0)).select("c1", "c2", "side", "n", left.alias("k"), F.explode(F.sequence(F.lit(0), last)).alias("e"))
-    large = large.withColumn("window", F.substring(F.col("side"), F.col("e") + 2, F.lit(RANGE - 1)))
-    large = large.withColumn("cut", F.col("k") - F.col("e"))
-    often = large.groupBy("c1", "c2", "cut", "window").agg(F.sum("n").alias("m")).filter("m > 1")
-    large = large.join(often, ["c1", "c2", "cut", "window"]).groupBy("c1", "c2", "side").agg(F.bit_or(F.expr("shiftleft(1L, e)")).alias("bits"))
-    # a group of one member that stands for several stretches: all its windows repeat
-    alike = each.filter("sides = 1").select("c1", "c2", "side", (F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(last + 1, F.lit(0))) - 1).alias("bits"))
-    return small.unionByName(alike).filter("bits > 0").unionByName(large)
-
-
-def repeats(df: DataFrame, text: str = "text") -> DataFrame:
+    m = members.withColumn("__left", left).withColumn("__right", F.octet_length("side") - 1 - F.col("__left"))
+    # windows by how many symbols of the left part they take: from ``low`` to ``__left``
+    m = m.withColumn("__low", F.lit(width - 1) - F.col("__right"))
+    m = m.withColumn("__j", F.explode(F.sequence(F.floor(F.col("__low") / step).cast("int"), F.floor(F.col("__left") / step).cast("int"))))
+    first = F.least(F.col("__left"), F.col("__j") * step + step - 1)  # the most symbols that a window here takes
+    final = F.greatest(F.col("__low"), F.col("__j") * step)
+    shared_left, shared_right = F.col("__j") * step, F.lit(width - step) - F.col("__j") * step
+    cut = lambda start, n: F.substring(F.col("side"), start, n)
+    core = [F.col("__j"), cut(F.col("__left") - shared_left + 2, shared_left), cut(F.col("__left") + 2, shared_right)]
+    outer_left = cut(F.col("__left") - first + 2, first - shared_left)
+    outer_right = cut(F.col("__left") + 2 + shared_right, F.lit(width - 1) - final - shared_right)
+    inner = F.concat(F.unhex(F.lpad(F.hex(first - shared_left), 2, "0")), outer_left, outer_right)
+    u1, u2 = F.xxhash64("c1", "c2", *core), F.xxhash64(F.lit(7), "c1", "c2", *core)
+    return m.select(*members.columns, u1.alias("u1"), u2.alias("u2"), inner.alias("inner"), (F.col("__left") - first).alias("first"))
+
+
+def judged(members: DataFrame, keep: list[str], width: int = 0) -> DataFrame:
+    """``keep`` and ``bits`` of the rows of ``members`` (a written table) with a window that repeats. A core that over ``HOT`` rows
+    share is split: its members are cut into finer ranges, whose cores say more, and these are judged likewise; at a width
+    of one window a core is the whole window, and equal rows are one."""
+    width = width or RANGE
+    hot = written(members.groupBy("c1", "c2").count().filter(F.col("count") > HOT).select("c1", "c2"), "suffix-hot") if width > 1 else None
+    if hot is None or hot.isEmpty():
+        return judge(members, keep, width)
+    some = judge(members.join(hot, ["c1", "c2"], "left_anti"), keep, width)
+    rows = members.join(hot, ["c1", "c2"], "left_semi")
+    each = written(rows.groupBy("c1", "c2", "side").agg(F.sum("n").alias("n")), "suffix-members")
+    fine = finer(each, width)
+    inner = fine.groupBy("u1", "u2", "inner").agg(F.sum("n").alias("n")).select(F.col("u1").alias("c1"), F.col("u2").alias("c2"), F.col("inner").alias("side"), "n")
+    inner = judged(written(inner, "suffix-finer"), ["c1", "c2", "side"], width // FINER)
+    inner = inner.select(F.col("c1").alias("u1"), F.col("c2").alias("u2"), F.col("side").alias("inner"), F.col("bits").alias("__b"))
+    bits = fine.join(inner, ["u1", "u2", "inner"]).groupBy("c1", "c2", "side").agg(F.bit_or(F.call_function("shiftleft", F.col("__b"), F.col("first"))).alias("bits"))
+    return some.unionByName(rows.join(bits, ["c1", "c2", "side"]).select(*keep, "bits"))
+
+
+def marked(texts: DataFrame, length: int) -> DataFrame:
+    """The texts (rid, t1, t2, n, text, grams) with a window that repeats, and ``marks``: start of a range of windows, bits of
+    those that repeat."""
+    found = written(contexts(texts, length), "suffix-contexts")
+    each = found.groupBy("x1", "x2", "gram", "low", "high").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "at")).alias("p"))
+    each = written(each.select("x1", "x2", "gram", "low", "high", "n", "p.*"), "suffix-stretches")
+    # a stretch that stands twice repeats as a whole; one that stands once is compared with all others of its gram
+    single = each.groupBy("gram").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") == 1).alias("single")).filter("all > 1 and single > 0")
+    wanted = each.join(single.select("gram"), "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "low", "high", "x1", "x2", "n")).alias("wanted"))
+    members = written(ranges(texts.join(wanted, "rid"), length), "suffix-ranges")
+    bits = judged(members, ["x1", "x2", "high", "n"]).filter("n = 1").select("x1", "x2", "high", "bits")
+    windows = F.expr("transform(sequence(0, (high - low) div 64), i -> struct(high - 64 * i as high, shiftrightunsigned(-1L, greatest(0, 63 - high + 64 * i + low)) as bits))")
+    whole = each.filter("n > 1").select("x1", "x2", windows.alias("v"))
+    verdicts = written(bits.groupBy("x1", "x2").agg(F.collect_list(F.struct("high", "bits")).alias("v")).unionByName(whole), "suffix-verdicts")
+    marks = found.select("x1", "x2", "rid", "at").join(verdicts, ["x1", "x2"])
+    marks = marks.select("rid", F.transform("v", lambda v: F.struct((F.col("at") - v["high"]).alias("start"), v["bits"].alias("bits"))).alias("m"))
+    marks = marks.groupBy("rid").agg(F.flatten(F.collect_list("m")).alias("marks"))
+    return texts.select("rid", "t1", "t2", "text").join(marks, "rid")
+
+
+def removals(texts: DataFrame, length: int) -> DataFrame:
+    """t1, t2, n_removed, n_spans, spans and kept of marked texts."""
+
+    def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column, marks = batch.column("text"), batch.column("marks")
+        for i in range(len(column)):
+            b = np.frombuffer(column[i].as_buffer(), np.uint8)
+            mark = marks[i].values
+            bits = np.unpackbits(mark.field("bits").to_numpy().view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            which, off = np.nonzero(bits)
+            edges = np.zeros(len(b) + 1, np.int32)
+            at = np.unique(mark.field("start").to_numpy()[which] + off)
+            edges[at] += 1
+            edges[at + length] -= 1  # both without doubles
+            gone = np.cumsum(edges[:-1]) > 0
+            turns = np.flatnonzero(np.diff(np.r_[False, gone, False])).reshape(-1, 2)
+            spans = [{"start": s, "end": e} for s, e in turns.tolist()]
+            values = ([batch.column("t1")[i].as_py()], [batch.column("t2")[i].as_py()], [int(gone.sum())], [len(spans)], [spans], [b[~gone].tobytes()])
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types.values(), strict=True)], names=[*types])
+
+    types = {"t1": _I64, "t2": _I64, "n_removed": _I64, "n_spans": _I64, "spans": pa.list_(pa.struct([("start", _I64), ("end", _I64)])), "kept": _BIN}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for made in fn(batch):
+                held.append(made)
+                size += made.nbytes
+                if size > 4_000_000:
+                    yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held, size = [], 0
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    return texts.select("text", "marks", "t1", "t2").mapInArrow(run, "t1 long, t2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+
+
+# ---- the operator ----
+
+
+def _texts(df: DataFrame, text: str) -> DataFrame:
+    return df.select(*text_key(F.coalesce(F.col(text), F.lit(""))), F.col(text).alias("text"))
+
+
+def repeats(df: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per different text (t1, t2) with something to remove: n_removed, n_spans, spans (start and end of each run, in bytes)
     and kept (the remaining bytes)."""
-    texts = candidates(df.select(*text_key(F.coalesce(F.col(text), F.lit(""))), F.col(text).alias("text")))
-    release(df.sparkSession)
-    found = written(contexts(texts), "suffix-contexts")
-    each = written(found.groupBy("x1", "x2").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"), F.min("gram").alias("gram")), "suffix-stretches")
-    release(df.sparkSession)
-    # a stretch that stands twice repeats as a whole; where a gram also has single ones, their windows are compared with it
-    open_grams = each.groupBy("gram").agg(F.count(F.lit(1)).alias("all"), F.sum((F.col("n") == 1).cast("int")).alias("single")).filter("all > 1 and single > 0").select("gram")
-    wanted = each.join(open_grams, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("x1", "x2", "n")).alias("wanted"))
-    members = written(ranges(texts.join(wanted, "rid").select("text", "spots", "wanted")), "suffix-ranges")
-    release(df.sparkSession)
-    bits = judged(members.select("c1", "c2", "side", "n"))
-    verdicts = members.filter("n = 1").join(bits, ["c1", "c2", "side"]).select("x1", "x2", "part", F.conv(F.hex(F.substring("side", 1, 1)), 16, 10).cast("int").alias("k"), "bits")
-    verdicts = verdicts.groupBy("x1", "x2").agg(F.collect_list(F.struct("part", "k", "bits")).alias("v"))
-    whole = each.filter("n > 1").select("x1", "x2", F.lit(None).cast("array<struct<part:int,k:int,bits:bigint>>").alias("v"))
-    verdicts = written(verdicts.unionByName(whole), "suffix-verdicts")
-    release(df.sparkSession)
-    marks = found.join(verdicts, ["x1", "x2"]).groupBy("rid").agg(F.collect_list(F.struct("at", "before", "after", "v")).alias("marks"))
-    return removals(texts.join(marks, "rid").select("t1", "t2", "text", "marks"))
-
-
-def removals(marked: DataFrame) -> DataFrame:
-    def fn(row: dict) -> Iterator[list]:
-        b = row["text"].as_py().encode()
-        starts = np.zeros(len(b) + 1, bool)
-        for mark in row["marks"].as_py():
-            if mark["v"] is None:
-                starts[mark["at"] - mark["before"] : mark["at"] + mark["after"] - LENGTH + 1] = True
-            for v in mark["v"] or ():
-                first, bits = mark["at"] - v["part"] * RANGE - v["k"], v["bits"]
-                while bits:
-                    low = bits & -bits
-                    starts[first + low.bit_length() - 1] = True
-                    bits ^= low
-        at = np.flatnonzero(starts)
-        edges = np.zeros(len(b) + 1, np.int64)
-        edges[at] += 1
-        np.subtract.at(edges, at + LENGTH, 1)
-        gone = np.cumsum(edges)[:-1] > 0
-        turns = np.flatnonzero(np.diff(np.r_[False, gone, False]))
-        spans = [{"start": a, "end": z} for a, z in turns.reshape(-1, 2).tolist()]
-        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
-        yield [[row["t1"].as_py()], [row["t2"].as_py()], [int(gone.sum())], [len(spans)], [spans], [kept]]
-
-    span = pa.list_(pa.struct([("start", _I64), ("end", _I64)]))
-    return _rows(marked, fn, "t1 long, t2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary", [_I64, _I64, _I64, _I64, span, _BIN], 500)
-
-
-def dedup(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = repeats(df, text).select("t1", "t2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return removals(marked(candidates(_texts(df, text), length), length), length)
+
+
+def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, passage: int = PASSAGE) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256 by strings of ``length`` bytes; n_passages: n_spans, or where that is 0
+    the runs of strings of ``passage`` bytes that also start elsewhere; has_repeat: n_passages > 0."""
+    texts = candidates(_texts(df, text), min(length, passage))
+    found = written(removals(marked(texts, length), length).select("t1", "t2", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")), "suffix-removed")
+    # texts that lost nothing, and all that share a gram with them: the anchors of longer strings are among those of shorter ones
+    clean = texts.join(found, ["t1", "t2"], "left_anti").select(F.explode("grams").alias("gram")).distinct()
+    open_ = texts.select("rid", F.explode("grams").alias("gram")).join(clean, "gram").groupBy("rid").agg(F.collect_list("gram").alias("grams"))
+    texts = written(texts.drop("grams").join(open_, "rid"), "suffix-open")
+    short = removals(marked(texts, passage), passage).select("t1", "t2", F.col("n_spans").alias("n_passages"))
     raw = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw.cast("binary"), 256).alias("__whole"), *text_key(raw))
-    joined = rows.join(found, ["t1", "t2"], "left")
-    return joined.select(key, "n_bytes", *(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "__whole").alias("kept_sha256"))
+    joined = rows.join(found.join(short, ["t1", "t2"], "full_outer"), ["t1", "t2"], "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    joined = joined.select(key, "n_bytes", n("n_removed").alias("n_removed"), n("n_spans").alias("n_spans"), F.coalesce("kept_sha256", "__whole").alias("kept_sha256"), F.when(n("n_spans") > 0, n("n_spans")).otherwise(n("n_passages")).alias("n_passages"))
+    return joined.withColumn("has_repeat", F.col("n_passages") > 0)
 
 
-def deduped(df: DataFrame, text: str = "text") -> DataFrame:
+def deduped(df: DataFrame, text: str = "text", length: int = PASSAGE) -> DataFrame:
     """The rows of ``df`` with what repeats cut out of their texts; a character cut in two goes as a whole."""
-    found = repeats(df, text).select("t1", "t2", "kept")
+    found = repeats(df, text, length).select("t1", "t2", "kept")
 
     def start() -> Callable[[list], dict[str, list]]:
         return lambda values: {"__kept": [v.decode("utf-8", "ignore") for v in values]}
 
-    found = map_texts(found, ["t1", "t2"], "kept", start, {"__kept": "string"})
-    t1, t2 = text_key(F.coalesce(F.col(text), F.lit("")))
-    joined = df.withColumns({"__t1": t1, "__t2": t2}).join(found, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
-    return joined.select(*(F.coalesce("__kept", text).alias(c) if c == text else F.col(c) for c in df.columns))
+    t1, t2, kept = fresh(df, "t1", "t2", "kept")
+    found = map_texts(found, ["t1", "t2"], "kept", start, {"__kept": "string"}).toDF(t1, t2, kept)
+    k1, k2 = text_key(F.coalesce(F.col(text), F.lit("")))
+    joined = df.join(found, (k1 == F.col(t1)) & (k2 == F.col(t2)), "left")
+    return joined.select(*(F.coalesce(F.col(kept), F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))

@@ -72,16 +72,35 @@ def brute_repeats(texts, length=400):
         yield len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize(("group", "segment"), [(500, 1 << 20), (2, 300)])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, group, segment):
-    monkeypatch.setattr(suffix, "GROUP", group)
+@pytest.mark.parametrize(("hot", "segment"), [(1000, 1 << 19), (2, 300)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, segment):
+    monkeypatch.setattr(suffix, "HOT", hot)
     monkeypatch.setattr(suffix, "SEGMENT", segment)
     rng = random.Random(5)
     noise = lambda n, a="abcd é": "".join(rng.choice(a) for _ in range(n))
     base = [noise(900), noise(900)]
     texts = [noise(rng.randrange(200)) + rng.choice(base)[rng.randrange(300) : rng.randrange(500, 900)] + noise(rng.randrange(200)) for _ in range(25)]
+    texts += [noise(rng.randrange(60)) + base[0][400:650] + noise(rng.randrange(60)) for _ in range(12)]
     texts += ["a" * 1000, "ab" * 300, "q" * 401, base[0], base[0], *UGLY]
-    got = {r.doc_id: tuple(r)[1:] for r in suffix.dedup(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("t1", "t2", "kept", "__kept")})
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.dedup(df).collect()}
+    short = [*brute_repeats(texts, suffix.PASSAGE)]
+    assert [got[i][:4] for i in range(len(texts))] == [*brute_repeats(texts)]
+    assert [got[i][4:] for i in range(len(texts))] == [(got[i][2] or s[2], s[2] > 0) for i, s in enumerate(short)]
+    cut = suffix.deduped(df)
+    assert cut.columns == df.columns
+    for r in cut.collect():
+        n, gone, spans, _ = short[r.doc_id]
+        assert (r.text is None) == (texts[r.doc_id] is None) and 0 <= n - gone - len((r.text or "").encode()) <= 2 * spans
+
+
+def test_one_core_with_thousands_of_members_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "HOT", 300)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    core = noise(390)
+    texts = [noise(30) + core + noise(30) for _ in range(5000)]
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix.dedup(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [*brute_repeats(texts)]
 
 
