@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import n_words, written
+from lodestar.llm.common import fresh, n_words, written
 
 CAP = 3
 BLOCK = 4096
@@ -140,9 +140,11 @@ def mix_documents(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def mixed_rows(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", cap: float = CAP) -> DataFrame:
     """The documents themselves, each as often as the mix takes it. Rows alike in key, text and source are one unit here,
     which is taken or left as a whole."""
-    names = documents.columns
-    marked = documents.withColumns({"__k1": F.xxhash64(key, text, source), "__k2": F.xxhash64(F.lit(7), text, key, source)})
-    rows = marked.select("__k1", "__k2", F.col(source).alias("source"), n_words(F.col(text)).alias("__size"))
+    k1, k2, n = fresh(documents, "__k1", "__k2", "copies")
+    marked = documents.withColumns({k1: F.xxhash64(key, text, source), k2: F.xxhash64(F.lit(7), text, key, source)})
+    rows = marked.select(F.col(k1).alias("__k1"), F.col(k2).alias("__k2"), F.col(source).alias("source"), n_words(F.col(text)).alias("__size"))
     units = rows.groupBy("__k1", "__k2", "source").agg(F.sum("__size").alias("size"))
-    copies = mix(units, ["__k1", "__k2"], cap).filter("copies > 0").select("__k1", "__k2", "copies")
-    return marked.join(copies, ["__k1", "__k2"]).select(*names, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("__copy")).select(*names)
+    copies = mix(units, ["__k1", "__k2"], cap).filter("copies > 0").select("__k1", "__k2", "copies").toDF(k1, k2, n)
+    each = marked.join(copies, [k1, k2])
+    every = each.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int"))))
+    return every.select(*(F.col(f"`{c}`") for c in documents.columns))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import SPACE, written
+from lodestar.llm.common import SPACE, fresh, written
 
 MIN_WORDS = 50
 SPREADS = 3.0
@@ -115,7 +115,8 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str,
 
 
 def passing(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The rows of ``df`` that are kept, with all their columns."""
-    marked = df.withColumns({"__k1": F.xxhash64(key, text, *by), "__k2": F.xxhash64(F.lit(7), text, key, *by)})
-    good = judge(marked, key, text, by, ("__k1", "__k2")).filter("kept").select("__k1", "__k2").distinct()
-    return marked.join(good, ["__k1", "__k2"], "left_semi").select(*df.columns)
+    """The rows of ``df`` that are kept, with all their columns, whatever their names."""
+    k1, k2 = fresh(df, "__k1", "__k2")
+    marked = df.withColumns({k1: F.xxhash64(key, text, *by), k2: F.xxhash64(F.lit(7), text, key, *by)})
+    good = judge(marked, key, text, by, (k1, k2)).filter("kept").select(k1, k2).distinct()
+    return marked.join(good, [k1, k2], "left_semi").select(*(F.col(f"`{c}`") for c in df.columns))

@@ -21,7 +21,6 @@ other than key and text aren't read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import map_texts, written
+from lodestar.llm.common import fresh, map_texts, written
 
 #: Fingerprints of a tile, about.
 TILE = 8192
@@ -100,23 +99,30 @@ def spanning_links(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> lis
     return out
 
 
-def links(fps: DataFrame, radius: int = 3) -> DataFrame:
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _steps(q: int, radius: int) -> list[tuple[int, ...]]:
+    """All vectors of ``q`` integers whose absolute values sum to ``radius`` at most."""
+    if not q:
+        return [()]
+    return [(x, *rest) for x in range(-radius, radius + 1) for rest in _steps(q - 1, radius - abs(x))]
+
+
+def links(fps: DataFrame, radius: int = 3, q: int = 0) -> DataFrame:
     """Links ``u``, ``v`` that connect all distinct fingerprints ``fp`` within ``radius`` bits, directly or by way of others."""
     n = fps.count()
-    q = 2 if n < 1_000_000 else 4 if n < 100_000_000 else 8
+    q = q or (2 if n < 1_000_000 else 4 if n < 100_000_000 else 8)
     bits = 64 // q
     counts = [F.bit_count(F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit((1 << bits) - 1))).cast("long") for i in range(q)]
     place = sum((c * (128**i) for i, c in enumerate(counts)), F.lit(0).cast("long"))
     placed = fps.select("fp", place.alias("place"))
-    # at most (64 / q + 1) ** q places: 1,089 for q = 2 and 83,521 for q = 4
-    sizes = placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("subs"))
-    tiles = (
-        placed.join(sizes, "place")
-        .groupBy("place", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int").alias("sub"))
-        .agg(F.collect_list("fp").alias("fps"))
-    )
-    tiles = written(tiles, "simhash-tiles")
-    steps = [d for d in product(range(-radius, radius + 1), repeat=q) if sum(map(abs, d)) <= radius]
+    sizes = written(placed.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("subs")), "simhash-places")
+    subbed = placed.join(sizes, "place").select("fp", "place", F.pmod(F.xxhash64("fp"), F.col("subs")).cast("int").alias("sub"))
+    # dealt by both, as a place may hold any number of tiles
+    tiles = written(_dealt(subbed, "place", "sub").groupBy("place", "sub").agg(F.collect_list("fp").alias("fps")), "simhash-tiles")
+    steps = _steps(q, radius)
     shifts = sorted({s for d in steps if (s := sum(x * 128**i for i, x in enumerate(d))) >= 0})
     left = tiles.select(F.col("place").alias("p"), F.col("sub").alias("s"), F.col("fps").alias("a"), F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
     left = left.withColumn("place", F.col("p") + F.col("shift")).join(sizes, "place")
@@ -181,9 +187,10 @@ def candidates(nodes: DataFrame, name: str, forest: bool) -> DataFrame:
     copies; or of these a spanning forest of each pair of tiles. Tiles are cut by bands of that number: copies are in
     the same band or in neighbouring ones. At this radius population counts would skip next to nothing."""
     banded = nodes.withColumn("place", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(BAND)).cast("int"))
-    sizes = banded.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / COPY_TILE).cast("int").alias("subs"))  # 50 bands or so
+    sizes = written(banded.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / COPY_TILE).cast("int").alias("subs")), f"{name}-places")  # 50 bands or so
     fields = ("node", "label", "fp", "n")
-    tiles = banded.join(sizes, "place").groupBy("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub")).agg(F.collect_list(F.struct(*fields)).alias("__t"))
+    subbed = banded.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), *fields)
+    tiles = _dealt(subbed, "place", "sub").groupBy("place", "sub").agg(F.collect_list(F.struct(*fields)).alias("__t"))
     tiles = written(tiles.select("place", "sub", *(F.col(f"__t.{c}").alias(c) for c in fields)), f"{name}-tiles")
     left = tiles.select(F.col("place").alias("p"), F.col("sub").alias("s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(F.lit(0), F.lit(1))).alias("shift"))
     left = left.withColumn("place", F.col("p") + F.col("shift")).join(sizes, "place")
@@ -278,8 +285,9 @@ def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> Dat
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` with one row of each group of near copies (``copy_roots``): the one of the smallest key (then of the
-    smallest hash)."""
-    marked = df.withColumns({"__k1": F.xxhash64(key, text), "__k2": F.xxhash64(F.lit(7), text, key)})
-    found = copy_roots(marked, key, text, ("__k1", "__k2"))
-    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, "__k1", "__k2")).alias("x")).select("x.__k1", "x.__k2")
-    return marked.join(first, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).select(*df.columns)
+    smallest hash). Columns keep their names and values whatever they are called."""
+    k1, k2 = fresh(df, "__k1", "__k2")
+    marked = df.withColumns({k1: F.xxhash64(key, text), k2: F.xxhash64(F.lit(7), text, key)})
+    found = copy_roots(marked, key, text, (k1, k2))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col(key).isNull(), key, k1, k2)).alias("x")).select(f"x.{k1}", f"x.{k2}")
+    return marked.join(first, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*(F.col(f"`{c}`") for c in df.columns))

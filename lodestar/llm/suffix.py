@@ -432,7 +432,8 @@ def marked(texts: DataFrame, length: int) -> DataFrame:
     each = written(each.select("x1", "x2", "gram", "low", "high", "n", "p.*"), "suffix-stretches")
     # a stretch that stands twice repeats as a whole; one that stands once is compared with all others of its gram
     single = each.groupBy("gram").agg(F.count(F.lit(1)).alias("all"), F.count_if(F.col("n") == 1).alias("single")).filter("all > 1 and single > 0")
-    wanted = each.join(single.select("gram"), "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "low", "high", "x1", "x2", "n")).alias("wanted"))
+    single = written(single.select("gram"), "suffix-single")  # a table of its own, for the join's sake as above
+    wanted = each.join(single, "gram", "left_semi").groupBy("rid").agg(F.collect_list(F.struct("at", "low", "high", "x1", "x2", "n")).alias("wanted"))
     members = written(ranges(texts.join(wanted, "rid"), length), "suffix-ranges")
     bits = judged(members, ["x1", "x2", "high", "n"]).filter("n = 1").select("x1", "x2", "high", "bits")
     windows = F.expr("transform(sequence(0, (high - low) div 64), i -> struct(high - 64 * i as high, shiftrightunsigned(-1L, greatest(0, 63 - high + 64 * i + low)) as bits))")
