@@ -28,9 +28,9 @@ from lodestar.llm.common import map_texts
 
 NONE = 1 << 62
 #: Strings between white space whose encodings a Python worker keeps at a time, before a batch.
-CACHED_WORDS = 800_000
-#: Characters of text for which one output batch is built.
-BATCH_CHARS = 2_000_000
+CACHED_WORDS = 250_000
+#: Bytes of text for which one output batch is built.
+BATCH_BYTES = 1_000_000
 #: Beyond this, Unicode tables of different versions could differ; str.split() also splits at U+001C to U+001F.
 BEYOND = re.compile("[^\u0000-\u001b\u0020-\u017f]")
 #: U+0000 to U+017F by class, as the tokenizer's pattern sees them.
@@ -262,7 +262,7 @@ def encode(df: DataFrame, path: str, text: str = "text", decoded: str | None = N
 
         return run
 
-    return map_texts(df, [c for c in df.columns if c not in (*out, *drop)], text, start, out, BATCH_CHARS)
+    return map_texts(df, [c for c in df.columns if c not in (*out, *drop)], text, start, out, BATCH_BYTES)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -273,4 +273,4 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         c = codec(path)
         return lambda values: {out: [c.decode(x or b"") for x in values]}
 
-    return map_texts(df, [c for c in df.columns if c != out], ids, start, {out: "string"}, BATCH_CHARS)
+    return map_texts(df, [c for c in df.columns if c != out], ids, start, {out: "string"}, BATCH_BYTES)

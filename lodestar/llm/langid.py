@@ -30,18 +30,37 @@ from pyspark.sql import functions as F
 from lodestar.llm.common import map_texts, written
 
 FIT_ROWS = 2000
+#: Languages that the model tells apart at most, the most frequent ones: a label column may hold anything.
+LANGUAGES = 500
 BUCKETS = 1 << 14
 EFFECTIVE = 40.0
 STRENGTH = 20.0
 
-_HIDDEN = re.compile(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->|<div class=\"ad\".*?</div>")
-_TAG = re.compile(r"(?s)<[^>]*>")
+_HIDING = re.compile(r"<(?:(script|style|nav|head)\b|!--)", re.I)
+_ENDS = {x: re.compile(rf"</{x}\s*>", re.I).search for x in ("script", "style", "nav", "head")}
+_TAG = re.compile(r"<[^<>]*>")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def visible(page: str | None) -> str:
-    """The text of a page without markup, scripts, styles, head and navigation."""
-    return markup.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page or "")))
+    """The text of a page without markup, scripts, styles, head, navigation and comments. One scan forward: an element that isn't
+    closed hides nothing, and isn't looked for again."""
+    page = page or ""
+    out, at, open_ = [], 0, set()
+    for m in iter(lambda: _HIDING.search(page, at), None):
+        kind = (m[1] or "").lower()
+        end = None
+        if kind not in open_:
+            if kind:
+                end = found.end() if (found := _ENDS[kind](page, m.end())) else None
+            elif (found := page.find("-->", m.end())) >= 0:
+                end = found + 3
+            if end is None:
+                open_.add(kind)
+        out.append(page[at : m.start() if end else m.end()])
+        at = end or m.end()
+    out.append(page[at:])
+    return markup.unescape(_TAG.sub(" ", " ".join(out)))
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -58,7 +77,7 @@ def fit(documents: DataFrame, lang: str = "lang", text: str = "text", rows: int
     """Languages and log-likelihoods (language, bucket): BUCKETS numbers a language come to the driver."""
     known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     keys = written(known.select("lang", "h").distinct(), "langid-texts")
-    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     # only hashes low enough to be among the first reach the window, about 2 * rows a language whatever its size
     low = keys.join(F.broadcast(sizes), "lang").filter((F.col("h") / F.lit(2.0**64) + 0.5) * F.col("n") <= 2 * rows)
     picked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= rows).select("lang", "h")
@@ -101,7 +120,7 @@ def _argmax(values: Column, names: list[str]) -> Column:
 def identify(pages: DataFrame, names: list[str], table: np.ndarray, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Per page: key, lang, probability, text_lang, declared, suffix."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?i)<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     rows = pages.select(F.col(key), F.col(html).alias("__html"), host.alias("host"), declared.alias("declared"))
     rows = rows.withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1))
     rows = rows.withColumn("declared", F.when(F.col("declared") == "", "").when(F.col("declared").isin(names), F.col("declared")).otherwise("other"))

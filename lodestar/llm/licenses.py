@@ -6,8 +6,9 @@ words stand consecutively. A notice with up to ``errors`` edits stands near an e
 substring search, and only the text around a seed goes to the regex library, whose bounded-error matching (inserted,
 deleted and replaced characters) verifies it and reports the span. A span must begin and end at word borders.
 
-Edge cases: null and empty texts have no words and no labels, null places and score 0. Overlapping places all count.
-Columns other than the key and the text aren't read.
+Edge cases: null and empty texts have no words and no labels, null places and score 0. Overlapping places all count; places of
+a notice with edits don't overlap each other. Rows alike get the same answer, null keys stay null, an empty table gives no
+rows. Columns other than the key and the text aren't read.
 """
 
 from __future__ import annotations
@@ -82,17 +83,20 @@ class Scanner:
 
     def windows(self, line: bytes) -> dict[int, list[tuple[int, int]]]:
         """For each notice, the merged stretches of the text in which a seed lets it stand."""
-        out: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self.seeds.iter(line.decode("latin-1")):
             for k, at in where:
                 raw, _, errors, _ = self.notices[k]
                 a = end - size + 1 - at - errors - 1
-                b = a + len(raw) + 2 * errors + 2
-                found = out.setdefault(k, [])
-                if found and a <= found[-1][1]:
-                    found[-1] = (min(a, found[-1][0]), max(b, found[-1][1]))
+                found.setdefault(k, []).append((a, a + len(raw) + 2 * errors + 2))
+        out: dict[int, list[tuple[int, int]]] = {}
+        for k, stretches in found.items():
+            merged = out[k] = []
+            for a, b in sorted(stretches):  # a seed that ends later may begin its stretch earlier
+                if merged and a <= merged[-1][1]:
+                    merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
                 else:
-                    found.append((a, b))
+                    merged.append((a, b))
         return out
 
     def fuzzy(self, line: bytes) -> list[tuple[int, int, str, float]]:

@@ -38,7 +38,7 @@ LEAST_SPREAD = {"symbol_rate": (0.15, False, True), "dup_line_rate": (0.15, Fals
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("lang", "source"), n: int = 3) -> DataFrame:
     """key, ``keep`` and the measures of each row's text. Words in repeated n-word windows are counted in one sort: a window is
     a long, the high bits of its hash before its place, so equal windows stand side by side. Places take the fewest bits
-    that hold them; the hash keeps 54 of its 64 bits in a text of 1,000 words."""
+    that hold them; the hash keeps 54 of its 64 bits in a text of 1,000 words. Words are compared too, so the count is exact."""
     df = df.select(F.col(key), *keep, F.coalesce(F.col(text), F.lit("")).alias("__t"))
     df = df.withColumn("__w", F.array_remove(F.split("__t", SPACE), ""))
     df = df.withColumn("__l", F.filter(F.split("__t", "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]"))))
@@ -57,10 +57,18 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple
     last = F.size("__w") - n
     df = df.withColumn("__o", F.when(last > 0, F.sort_array(F.transform(F.sequence(F.lit(0), last), place))).otherwise(F.array().cast("array<long>")))
     twin = lambda a, b: F.call_function("shiftrightunsigned", a.bitwiseXOR(b), F.col("__bits")) == 0
-    twins = F.filter("__o", lambda x, i: ((i > 0) & twin(x, F.get("__o", F.greatest(i - 1, F.lit(0))))) | twin(x, F.get("__o", i + 1)))
-    at = F.transform(twins, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1))
+    df = df.withColumn("__twins", F.filter("__o", lambda x, i: ((i > 0) & twin(x, F.get("__o", F.greatest(i - 1, F.lit(0))))) | twin(x, F.get("__o", i + 1))))
+    spot = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("__bits")) - 1).cast("int")
+    # neighbours of equal bits and other words, as very long texts may have: then the windows themselves are compared
+    words = lambda x: F.array(*(F.get("__w", spot(x) + k) for k in range(n)))
+    false = F.filter("__twins", lambda x, i: (i > 0) & twin(x, F.get("__twins", F.greatest(i - 1, F.lit(0)))) & (words(x) != words(F.get("__twins", F.greatest(i - 1, F.lit(0))))))
+    window = lambda x: F.struct(words(x).alias("w"), spot(x).alias("i"))
+    same = lambda x, y: F.coalesce(x["w"] == y["w"], F.lit(False))
+    slow = F.array_sort(F.transform("__twins", window))
+    true = F.flatten(F.transform(F.array(slow), lambda s: F.transform(F.filter(s, lambda x, i: ((i > 0) & same(x, F.get(s, F.greatest(i - 1, F.lit(0))))) | same(x, F.get(s, i + 1))), lambda x: x["i"])))
+    at = F.when(F.size(false) > 0, true).otherwise(F.transform("__twins", spot))
     covered = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*(i + k for k in range(n))))))
-    return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("__w", "__o", "__bits")
+    return df.withColumn("n_repeat_words", F.size(covered).cast("long")).drop("__w", "__o", "__bits", "__twins")
 
 
 def _measures() -> dict[str, Column]:

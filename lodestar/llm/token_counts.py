@@ -8,7 +8,7 @@ ordinals, and the last separator's place so far gives what a document carries in
 
 Edge cases: null and empty texts are documents of no tokens; a separator at a block's border, blocks without separators
 and a file's end without one (the rest counts as a document that isn't ended) are all counted; an empty table gives no
-rows; columns other than key and text aren't read.
+rows; rows alike count apart, null keys stay null; columns other than key and text aren't read.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import written
+from lodestar.llm.common import slices, written
 
 BLOCK = 1 << 16
+#: Bytes of texts that are encoded at a time.
+TEXT_BYTES = 1_000_000
 _encoders: dict = {}
 
 
@@ -61,12 +63,13 @@ def token_files(df: DataFrame, ranks: str, pattern: str, separator: int, key: st
             )
 
         for batch in batches:
-            texts, keys = batch.column(text).to_pylist(), batch.column(key)
-            for i in range(0, len(texts), 500):
-                flat = np.concatenate([rest, *(np.array([*encode(t or ""), separator], "<u4") for t in texts[i : i + 500])])
+            keys = batch.column(key)
+            for i, end in slices(batch.column(text), TEXT_BYTES):
+                texts = batch.column(text).slice(i, end - i).to_pylist()
+                flat = np.concatenate([rest, *(np.array([*encode(t or ""), separator], "<u4") for t in texts)])
                 whole = len(flat) // BLOCK
-                yield out([flat[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in range(whole)], keys.slice(i, 500))
-                rest, block, ordinal = flat[whole * BLOCK :], block + whole, ordinal + len(texts[i : i + 500])
+                yield out([flat[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in range(whole)], keys.slice(i, end - i))
+                rest, block, ordinal = flat[whole * BLOCK :], block + whole, ordinal + end - i
         if len(rest):
             yield out([rest.tobytes()], keys.slice(0, 0))
 
@@ -74,8 +77,9 @@ def token_files(df: DataFrame, ranks: str, pattern: str, separator: int, key: st
     return made.filter("payload is not null").select("file", "block", "payload"), made.filter("payload is null").select("file", "ordinal", key)
 
 
-def counts(blocks: DataFrame, separator: int) -> DataFrame:
-    """file, ordinal, n_tokens, ended for each document of the files (file, block, payload: 32-bit little-endian ids)."""
+def counts(blocks: DataFrame, separator: int, all_ended: bool = False) -> DataFrame:
+    """file, ordinal, n_tokens, ended for each document of the files (file, block, payload: 32-bit little-endian ids).
+    ``all_ended``: every file is known to end with a separator, so nothing is left after the last."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,6 +100,8 @@ def counts(blocks: DataFrame, separator: int) -> DataFrame:
     carried = F.col("start") - F.col("open")
     ended = found.filter("ends > 0").select("file", "ordinal", F.posexplode(F.concat(F.array(carried + F.col("first")), "inner")).alias("i", "n_tokens"))
     ended = ended.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"), "n_tokens", F.lit(True).alias("ended"))
+    if all_ended:
+        return ended
     rest = found.groupBy("file").agg(F.sum("ends").alias("ordinal"), (F.sum("n") - F.coalesce(F.max(F.col("start") + F.col("last") + 1), F.lit(0))).alias("n_tokens"))
     return ended.unionByName(rest.filter("n_tokens > 0").withColumn("ended", F.lit(False)))
 
@@ -103,4 +109,4 @@ def counts(blocks: DataFrame, separator: int) -> DataFrame:
 def count_documents(df: DataFrame, ranks: str, pattern: str, separator: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and n_tokens of each document: written to token files, counted there, and told apart by their ordinals."""
     blocks, listed = token_files(df, ranks, pattern, separator, key, text)
-    return listed.join(counts(blocks, separator), ["file", "ordinal"]).select(key, "n_tokens")
+    return listed.join(counts(blocks, separator, all_ended=True), ["file", "ordinal"]).select(key, "n_tokens")
