@@ -188,8 +188,7 @@ def test_langid_held_out(spark):
 
 
 def test_topk_shards_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD", 40)
-    monkeypatch.setattr(topk, "QUERIES", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1500)
     rng = np.random.default_rng(1)
     v = np.floor(256 * rng.normal(size=(400, 16)))
     rows = [(i, (x / 256).tolist()) for i, x in enumerate(v)]
@@ -199,7 +198,7 @@ def test_topk_shards_and_blocks(spark, monkeypatch):
 
 
 def test_topk_edges(spark):
-    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [-1.0, 0.1]), (50, [1.0, 1.0]), (5, [1.0])]
+    rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, None), (3, [float("nan"), 1.0]), (4, [-1.0, 0.1]), (50, [1.0, 1.0]), (5, [1.0]), (None, [9.0, 9.0])]
     got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 3).collect()
     assert sorted(tuple(r) for r in got if r.query_id == 50) == [(50, 1, 0, 98304), (50, 2, 1, 98304), (50, 3, 1, 98304)]
 
