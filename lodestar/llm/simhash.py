@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fresh, map_texts, written
@@ -40,8 +40,8 @@ HASHES = 1 << 15
 COPY_LEAST = (4, 5)
 COPY_WIDTH = 5
 COPY_RADIUS = 12
-#: Nodes of a tile, and the width of a band of shingle counts in logarithms: a little over ln(5 / 4).
-COPY_TILE = 4096
+#: Bytes of a tile, about, and the width of a band of shingle counts in logarithms: a little over ln(5 / 4).
+COPY_TILE = 1 << 22
 BAND = 0.2235
 
 
@@ -182,74 +182,115 @@ def alike(n_both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return COPY_LEAST[1] * n_both >= COPY_LEAST[0] * (n_a + n_b - n_both)
 
 
-def candidates(nodes: DataFrame, name: str, forest: bool) -> DataFrame:
-    """Pairs ``u``, ``v`` of nodes of different ``label`` within ``COPY_RADIUS`` bits whose numbers of shingles allow for
-    copies; or of these a spanning forest of each pair of tiles. Tiles are cut by bands of that number: copies are in
-    the same band or in neighbouring ones. At this radius population counts would skip next to nothing."""
+def tile_pairs(nodes: DataFrame, fields: tuple[str, ...], bytes_: Column, name: str) -> DataFrame:
+    """Pairs of tiles of ``nodes`` (with ``node`` and ``n``, its number of shingles) that can hold copies of each other: ``fields``
+    of either side as lists (those of the left one end in ``_a``), and ``same`` for a tile with itself. Tiles are cut by bands of ``n``:
+    copies are in the same band or in neighbouring ones. (At this radius population counts would skip next to nothing.)"""
     banded = nodes.withColumn("place", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(BAND)).cast("int"))
-    sizes = written(banded.groupBy("place").agg(F.ceil(F.count(F.lit(1)) / COPY_TILE).cast("int").alias("subs")), f"{name}-places")  # 50 bands or so
-    fields = ("node", "label", "fp", "n")
+    sizes = written(banded.groupBy("place").agg(F.ceil(F.sum(bytes_) / COPY_TILE).cast("int").alias("subs")), f"{name}-places")  # 50 bands or so
     subbed = banded.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), *fields)
     tiles = _dealt(subbed, "place", "sub").groupBy("place", "sub").agg(F.collect_list(F.struct(*fields)).alias("__t"))
     tiles = written(tiles.select("place", "sub", *(F.col(f"__t.{c}").alias(c) for c in fields)), f"{name}-tiles")
-    left = tiles.select(F.col("place").alias("p"), F.col("sub").alias("s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(F.lit(0), F.lit(1))).alias("shift"))
-    left = left.withColumn("place", F.col("p") + F.col("shift")).join(sizes, "place")
-    left = left.withColumn("sub", F.explode(F.sequence(F.when(F.col("shift") == 0, F.col("s")).otherwise(F.lit(0)), F.col("subs") - 1)))
-    same = ((F.col("shift") == 0) & (F.col("s") == F.col("sub"))).alias("same")
-    pairs = left.join(tiles, ["place", "sub"]).select(*(f"{c}_a" for c in fields), *fields, same)
+    left = tiles.select(F.col("place").alias("__p"), F.col("sub").alias("__s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(F.lit(0), F.lit(1))).alias("shift"))
+    left = left.withColumn("place", F.col("__p") + F.col("shift")).join(sizes, "place")
+    left = left.withColumn("sub", F.explode(F.sequence(F.when(F.col("shift") == 0, F.col("__s")).otherwise(F.lit(0)), F.col("subs") - 1)))
+    same = ((F.col("shift") == 0) & (F.col("__s") == F.col("sub"))).alias("same")
+    return left.join(tiles, ["place", "sub"]).select(*(f"{c}_a" for c in fields), *fields, same)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                node_a, label_a, fp_a, n_a, node, label, fp, n = (np.asarray(x, np.int64) for x in row[:8])
-                x, y = fp_a.view(np.uint64), fp.view(np.uint64)
-                component, out = np.arange(len(y)), []
-                for start in range(0, len(x), STRIP):
-                    i, j = np.nonzero(np.bitwise_count(x[start : start + STRIP, None] ^ y[None, :]) <= COPY_RADIUS)
-                    i += start
-                    ok = (label_a[i] != label[j]) & alike(np.minimum(n_a[i], n[j]), n_a[i], n[j])
-                    if row.same:
-                        ok &= i < j
-                    i, j = i[ok], j[ok]
-                    if not forest:
-                        out.append((i, j))
-                        continue
-                    for r in np.unique(i).tolist():
-                        js = j[i == r]
-                        if row.same:
-                            js = np.r_[r, js]
-                        labels, first = np.unique(component[js], return_index=True)
-                        first = first[js[first] != r] if row.same else first
-                        out.append((np.full(len(first), r), js[first]))
-                        if len(labels) > 1:
-                            component[np.isin(component, labels)] = labels[0]
-                if out and len(i := np.concatenate([o[0] for o in out])):
-                    yield pd.DataFrame({"u": node_a[i], "v": node[np.concatenate([o[1] for o in out])]})
 
-    return pairs.mapInPandas(run, "u long, v long")
+def _near(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of two tiles (fp, n) within ``COPY_RADIUS`` bits whose numbers of shingles allow for copies."""
+    (x, n_a), (y, n_b) = a, b
+    for start in range(0, len(x), STRIP):
+        i, j = np.nonzero(np.bitwise_count(x[start : start + STRIP, None] ^ y[None, :]) <= COPY_RADIUS)
+        i += start
+        ok = alike(np.minimum(n_a[i], n_b[j]), n_a[i], n_b[j])
+        if same:
+            ok &= i < j
+        if ok.any():
+            yield i[ok], j[ok]
 
 
-def copies(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``u``, ``v`` whose sets of shingles are alike, by exact counts."""
-    both = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
+def _column(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
+    return batch.column(name)[row].values
+
+
+def _numbers(batch: pa.RecordBatch, row: int, side: str) -> list[np.ndarray]:
+    fp, n = (_column(batch, f"{c}{side}", row).to_numpy() for c in ("fp", "n"))
+    return [fp.view(np.uint64), n]
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """The nodes (node, fp, n) that are within reach of another one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a"), batch.column("b"), strict=True):
-                a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                keep.append(bool(alike(len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b))))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for r in range(batch.num_rows):
+                a, b = _numbers(batch, r, "_a"), _numbers(batch, r, "")
+                hit = [np.zeros(len(x[0]), bool) for x in (a, b)]
+                for i, j in _near(a, b, batch.column("same")[r].as_py()):
+                    hit[0][i] = True
+                    hit[1][j] = True
+                found = [_column(batch, c, r).to_numpy()[h] for c, h in zip(("node_a", "node"), hit, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["node"])
+
+    return tile_pairs(nodes, ("node", "fp", "n"), F.lit(24), "copies").mapInArrow(run, "node long").distinct()
 
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+def _bitmaps(sets: pa.Array, bits: int) -> np.ndarray:
+    """For each set of shingles, the bits at its members modulo ``bits``, as rows of 64-bit words."""
+    out = np.zeros((len(sets), bits // 8), np.uint8)
+    for i, s in enumerate(sets):
+        at = np.frombuffer(s.as_buffer(), "<u8") & np.uint64(bits - 1)
+        np.bitwise_or.at(out[i], (at >> np.uint64(3)).astype(np.int64), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def copies(sets: DataFrame) -> DataFrame:
+    """Links ``u``, ``v`` that connect all nodes (node, fp, n, s: the shingles' hashes) whose sets are alike by exact counts, directly
+    or by way of others: a spanning forest of each pair of tiles, so no more links than nodes, however large a group of
+    near copies is. A pair that is joined already isn't compared. Of the rest, most that aren't copies are told by bitmaps:
+    the bits of one set that the other one hasn't are members that it lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b, same = _numbers(batch, r, "_a"), _numbers(batch, r, ""), batch.column("same")[r].as_py()
+                s_a, s_b = _column(batch, "s_a", r), _column(batch, "s", r)
+                if not len(s_a) or not len(s_b):
+                    continue
+                bits = 64 << int(max(a[1].max(), b[1].max()) // 8).bit_length()
+                map_a = _bitmaps(s_a, bits)
+                map_b = map_a if same else _bitmaps(s_b, bits)
+                # a forest over the nodes of both tiles
+                label = np.arange(len(s_a) if same else len(s_a) + len(s_b))
+                shift, links = 0 if same else len(s_a), []
+                for i, j in _near(a, b, same):
+                    open_ = label[i] != label[j + shift]
+                    i, j = i[open_], j[open_]
+                    for at in range(0, len(i), 4096):
+                        p, q = i[at : at + 4096], j[at : at + 4096]
+                        lacks = np.bitwise_count(map_a[p] & ~map_b[q]).sum(axis=1, dtype=np.int64)
+                        ok = alike(np.minimum(a[1][p] - lacks, np.minimum(a[1][p], b[1][q])), a[1][p], b[1][q])
+                        for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
+                            if label[x] == label[y + shift]:
+                                continue
+                            one, other = (np.frombuffer(s.as_buffer(), "<u8") for s in (s_a[x], s_b[y]))
+                            if alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)):
+                                links.append((x, y))
+                                label[label == label[y + shift]] = label[x]
+                if links:
+                    x, y = np.array(links).T
+                    yield pa.RecordBatch.from_arrays([pa.array(_column(batch, c, r).to_numpy()[k]) for c, k in (("node_a", x), ("node", y))], names=["u", "v"])
+
+    return tile_pairs(sets, ("node", "fp", "n", "s"), 8 * F.col("n") + 24, "copies-sets").mapInArrow(run, "u long, v long")
 
 
 def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     """Each row's ``key``, ``keep`` and ``root``: a number that stands for all rows that links between texts, of at least
-    ``COPY_LEAST`` in common and within ``COPY_RADIUS`` bits, join to it. Texts with the same words are one node.
-
-    Two rounds: the first checks a spanning forest of the candidates, which joins most of a large group by few pairs; the
-    second checks every candidate pair that isn't joined yet, so no link is missed."""
+    ``COPY_LEAST`` in common and within ``COPY_RADIUS`` bits, join to it. Texts with the same words are one node. A first pass over
+    tiles of fingerprints finds the nodes that have another one within reach; only their sets of shingles go into tiles of
+    their own, where pairs are checked."""
 
     def start() -> Callable[[list], dict[str, list]]:
         from xxhash import xxh3_128_intdigest
@@ -266,19 +307,12 @@ def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> Dat
     of = F.min(F.struct(*keep)).alias("__of")
     nodes = rows.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), of)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
-
-    def found(labelled: DataFrame, name: str, forest: bool) -> DataFrame:
-        pairs = written(candidates(labelled, name, forest), f"{name}-pairs")
-        ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-        wanted = nodes.join(ends, "node").select("node", "__of.*")
-        texts = df.join(wanted, list(keep)).dropDuplicates(["node"])
-        sets = lambda: (lambda ts: {"s": [shingle_set(t).tobytes() for t in ts]})
-        return written(copies(pairs, written(map_texts(texts, ["node"], text, sets, {"s": "binary"}), f"{name}-sets")), f"{name}-links")
-
-    first = found(nodes.select("node", F.col("node").alias("label"), "fp", "n"), "copies-first", True)
-    labels = written(components(first), "copies-labels")
-    labelled = nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "fp", "n")
-    roots = components(first.union(found(labelled, "copies-all", False)))
+    wanted = nodes.join(candidates(nodes), "node", "left_semi").select("node", "fp", "n", *(F.col(f"__of.{c}").alias(f"__{i}") for i, c in enumerate(keep)))
+    texts = df.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("__text"))
+    texts = texts.join(wanted, [f"__{i}" for i in range(len(keep))]).dropDuplicates(["node"])
+    sets = lambda: (lambda ts: {"s": [shingle_set(t).tobytes() for t in ts]})
+    sets = written(map_texts(texts, ["node", "fp", "n"], "__text", sets, {"s": "binary"}), "copies-sets")
+    roots = components(copies(sets))
     named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     return rows.join(named, ["h1", "h2"]).select(key, *keep, "root")
 

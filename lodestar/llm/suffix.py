@@ -421,6 +421,7 @@ def judged(members: DataFrame, keep: list[str], width: int = 0) -> DataFrame:
     inner = judged(written(inner, "suffix-finer"), ["c1", "c2", "side"], width // FINER)
     inner = inner.select(F.col("c1").alias("u1"), F.col("c2").alias("u2"), F.col("side").alias("inner"), F.col("bits").alias("__b"))
     bits = fine.join(inner, ["u1", "u2", "inner"]).groupBy("c1", "c2", "side").agg(F.bit_or(F.call_function("shiftleft", F.col("__b"), F.col("first"))).alias("bits"))
+    bits = written(bits, "suffix-bits")  # a side may be that of very many rows: a plain join can be split
     return some.unionByName(rows.join(bits, ["c1", "c2", "side"]).select(*keep, "bits"))
 
 

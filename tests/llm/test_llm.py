@@ -272,7 +272,7 @@ def test_langid_fusion_equals_brute_force(spark):
 
 
 def test_one_of_each_keeps_one_near_copy(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "COPY_TILE", 8)
+    monkeypatch.setattr(simhash, "COPY_TILE", 5000)
     rng = random.Random(12)
     words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
     texts = [None, "", " ", "one two", "One  two"]
