@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,18 +13,36 @@ def pack_bits(flags: Column) -> Column:
     return F.aggregate(flags, F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(x.cast("long")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once a row, also where ``use`` reads it in a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def median_hash(block: Column) -> Column:
     """Bit i: value i exceeds the median of all values but the first (64 values, row by row)."""
-    median = F.element_at(F.array_sort(F.slice(block, 2, 63)), 32)
-    return pack_bits(F.transform(block, lambda x: x > median))
+    median = F.element_at(F.sort_array(F.slice(block, 2, 63)), 32)
+    return once(median, lambda m: pack_bits(F.transform(block, lambda x: x > m)))
 
 
-def gradient_hash(block: Column, width: int = 8) -> Column:
-    """A bit for each value but the last of a row: the next one is larger."""
-    places = [i for i in range(width * width) if i % width < width - 1]
+def gradient_hash(block: Column, width: int = 9, height: int = 8) -> Column:
+    """A bit for each value but the last of a row (``width`` values, row by row): the next one is larger. 9 by 8 values make 64 bits."""
+    places = [r * width + c for r in range(height) for c in range(width - 1)]
     return pack_bits(F.array(*(F.get(block, F.lit(i + 1)) > F.get(block, F.lit(i)) for i in places)))
 
 
+def softmax(scores: Column) -> Column:
+    """Shares of 1 in proportion to the exponentials of an array's values."""
+    add = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    powers = once(F.array_max(scores), lambda m: F.transform(scores, lambda x: F.exp(x.cast("double") - m)))
+    return once(powers, lambda p: F.transform(p, lambda x: x / add(p)))
+
+
+def largest(scores: Column, k: int) -> Column:
+    """Places (from 0) and values of an array's k largest values, largest first, ties to the earlier place."""
+    placed = F.transform(scores, lambda x, i: F.struct((-x.cast("double")).alias("v"), i.alias("place")))
+    return F.transform(F.slice(F.array_sort(placed), 1, k), lambda p: F.struct(p["place"].alias("place"), (-p["v"]).alias("value")))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)).cast("int")
 

@@ -1,18 +1,27 @@
 """Lookups: Hamming top-k, re-ranking by cosine, fast path, margins, boosts, rotations.
 
-Every search meets a stated set of queries with all rows, in blocks: rows are dealt into shards by a hash, the queries go
-to each shard, an equi-join on the shard pairs them, and each shard keeps its k best rows a query before the shards
-merge. No side is broadcast unless Spark knows it to be small, and no task holds more than its shard.
+Every search meets a stated set of queries with all rows. Distances are worked out for a block of queries and a batch of rows
+at a time, and only k rows a query leave it, so no pair is ever a row of a table. Up to ``QUERIES`` queries are counted, then
+broadcast, and the rows stay where they are; more are dealt into blocks, the rows into shards, and each pair of a shard and
+a block is one keyed group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions.vectors import cosine, hamming, rotate
+from lodestar.functions.vectors import rotate
 
-ROWS_A_SHARD = 100_000
+#: Queries that are broadcast, or that a block holds.
+QUERIES = 10_000
+ROWS_A_SHARD = 50_000
+#: Queries that are compared with a batch of rows at a time.
+STRIP = 64
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -20,15 +29,92 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
-def knn(queries: DataFrame, rows: DataFrame, distance: Column, k: int, query: str = "query_id", row: str = "vec_id", keep: Column | None = None) -> DataFrame:
-    """The k rows of the smallest ``distance`` for each query, ties to the smaller row id, ranked from 1."""
-    shards = max(1, -(-rows.count() // ROWS_A_SHARD))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(row), F.lit(shards)))
-    sent = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    met = dealt.join(sent, "shard").withColumn("dist", distance)
-    met = met.filter(keep) if keep is not None else met
-    order = [F.col("dist"), F.col(row)]
-    return top_k(top_k(met, [query, "shard"], order, k, "near"), [query], order, k).drop("shard", "near")
+def _matrix(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False).reshape(len(flat), -1)
+
+
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    v = _matrix(column, np.float64)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-8)
+
+
+def nearest_of(q: pa.Table, r: pa.Table, k: int, by: str, query: str, row: str, differ: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of queries and rows, and the distance, of each query's k nearest rows; ties to the smaller row id."""
+    ids = r.column(row).to_numpy()
+    if by == "hash":
+        a, b = (_matrix(t.column(c), np.int64).view(np.uint64) for t, c in ((q, "query_hash"), (r, "hash")))
+    else:
+        a, b = _units(q.column("query_embedding")), _units(r.column("embedding")).T
+    pairs = [(q.column(x).to_numpy(), r.column(y).to_numpy()) for x, y in differ]
+    found = []
+    for start in range(0, len(a), STRIP):
+        part = a[start : start + STRIP]
+        if by == "hash":
+            dist = sum(np.bitwise_count(part[:, None, h] ^ b[None, :, h]).astype(np.int32) for h in range(part.shape[1]))
+        else:
+            dist = -np.round(np.clip(part @ b, -1, 1), 6)
+        out = np.zeros(dist.shape, bool)
+        for x, y in pairs:
+            out |= x[start : start + STRIP, None] == y[None, :]
+        for i in range(len(part)):
+            at = np.flatnonzero(~out[i])
+            d = dist[i, at]
+            if len(at) > k:
+                near = d <= np.partition(d, k - 1)[k - 1]
+                at, d = at[near], d[near]
+            first = np.lexsort((ids[at], d))[:k]
+            found.append((np.full(len(first), start + i), at[first], d[first]))
+    if not found:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def knn(queries: DataFrame, rows: DataFrame, k: int, by: str = "hash", query: str = "query_id", row: str = "vec_id", differ: tuple[tuple[str, str], ...] = (("query_id", "vec_id"),), keep: tuple[str, ...] = (), sims: bool = False) -> DataFrame:
+    """The k nearest rows for each query, ties to the smaller row id, ranked from 1: query, row, ``dist``, ``keep`` (columns of
+    either side), ``sim`` if asked for, ``rank``.
+
+    ``by`` hash: bits that differ in all hashes of the arrays ``query_hash`` and ``hash`` together. ``by`` cosine: ``dist`` is less
+    the cosine of ``query_embedding`` and ``embedding`` at 6 places. ``differ``: columns in which a pair must not agree.
+    ``sims``: the cosine too, of the rows that are found. Rows and queries with null in a hash or vector aren't told apart from
+    others; filter them first."""
+    vectors = {"hash"} if by == "hash" else set()
+    vectors |= {"embedding"} if by == "cosine" or sims else set()
+    mine, theirs = [x for x, _ in differ], [y for _, y in differ]
+    q = queries.select(*dict.fromkeys([query, *mine, *(c for c in keep if c in queries.columns), *(f"query_{c}" for c in sorted(vectors))]))
+    r = rows.select(*dict.fromkeys([row, *theirs, *(c for c in keep if c in rows.columns), *sorted(vectors)]))
+    sources = {query: q, row: r} | {c: q if c in q.columns else r for c in keep}
+    kinds = {c: next(t for n, t in df.dtypes if n == c) for c, df in sources.items()} | {"dist": "int" if by == "hash" else "double"} | ({"sim": "double"} if sims else {})
+    names = [*sources]
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j, dist = nearest_of(a, b, k, by, query, row, list(differ))
+        out = {c: (a.column(c).take(pa.array(i)) if c in a.column_names else b.column(c).take(pa.array(j))) for c in names}
+        out["dist"] = pa.array(dist, pa.int32() if by == "hash" else pa.float64())
+        if sims:
+            x, y = _units(a.column("query_embedding")), _units(b.column("embedding"))
+            out["sim"] = pa.array(np.round(np.clip((x[i] * y[j]).sum(axis=1), -1, 1), 6))
+        return pa.table(out)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
+    n = queries.count()
+    if n <= QUERIES:
+        held = queries.sparkSession.sparkContext.broadcast(q.toArrow())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from meet(held.value, pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+        found = r.mapInArrow(run, schema)
+    else:
+        blocks, shards = -(-n // QUERIES), max(1, -(-rows.count() // ROWS_A_SHARD))
+        every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(int(m) - 1))).alias(name)
+        dealt = lambda c, m, name: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias(name)
+        sent = q.select("*", dealt(query, blocks, "__block"), every(shards, "__shard"))
+        kept = r.select("*", dealt(row, shards, "__shard"), every(blocks, "__block"))
+        at = ("__shard", "__block")
+        found = sent.groupBy(*at).cogroup(kept.groupBy(*at)).applyInArrow(meet, schema)
+    return top_k(found, [query], [F.col("dist"), F.col(row)], k)
 
 
 def rotations(queries: DataFrame, block: str, query: str = "query_id") -> DataFrame:
@@ -44,24 +130,20 @@ def margins(ranked: DataFrame, value: str, query: str, rank: str, out: str, defa
     return ranked.groupBy(query).agg(F.coalesce(gap, F.lit(default)).alias(out))
 
 
-def rerank(candidates: DataFrame, boost: Column, k: int, margin: float = 0.05, add: float = 0.10, query: str = "query_id", row: str = "vec_id") -> DataFrame:
-    """Candidates (with ``sim`` and ``dist``) by similarity; where ranks 1 and 2 are closer than ``margin``, rows for which
-    ``boost`` holds gain ``add`` first."""
-    by_sim = Window.partitionBy(query).orderBy(F.desc("sim"), "dist", row)
-    ranked = candidates.withColumn("r", F.row_number().over(by_sim))
-    gaps = margins(ranked.filter("r <= 2"), "sim", query, "r", "margin", 1.0)
-    scored = ranked.join(gaps, query).withColumn("score", F.round(F.col("sim") + F.when((F.round("margin", 6) < margin) & F.coalesce(boost, F.lit(False)), add).otherwise(0.0), 6))
+def rerank(candidates: DataFrame, boosts: list[Column], k: int, margin: float = 0.05, add: float = 0.10, query: str = "query_id", row: str = "vec_id") -> DataFrame:
+    """Candidates (with ``sim`` and ``dist``) by similarity, in as many rounds as ``boosts``: where ranks 1 and 2 are closer than
+    ``margin``, rows for which the round's boost holds gain ``add``; the next round looks at the order that results."""
+    scored = candidates.withColumn("score", F.round("sim", 6))
+    order = Window.partitionBy(query).orderBy(F.desc("score"), "dist", row)
+    whole = Window.partitionBy(query)
+    for boost in boosts:
+        ranked = scored.withColumn("r", F.row_number().over(order))
+        first, second = (F.max(F.when(F.col("r") == n, F.col("score"))).over(whole) for n in (1, 2))
+        tight = F.round(F.coalesce(first - second, F.lit(1.0)), 6) < margin
+        scored = ranked.withColumn("score", F.round(F.col("score") + F.when(tight & F.coalesce(boost, F.lit(False)), add).otherwise(0.0), 6)).drop("r")
     return top_k(scored, [query], [F.desc("score"), F.col("dist"), F.col(row)], k)
 
 
-def hash_distance() -> Column:
-    return hamming(F.col("hash"), F.col("query_hash"))
-
-
-def similarity() -> Column:
-    return cosine(F.col("embedding"), F.col("query_embedding"))
-
-
 def dual_route(modern: DataFrame, whole: DataFrame, confidence: float = 0.70, query: str = "query_id") -> DataFrame:
     """One row a query: the path taken and its distances. Both sides are ranked lists (``dist``, ``rank``) with the predicted
     ``frame`` and its ``conf``. A query of low confidence tries both and keeps the closer one (ties: modern); any other takes

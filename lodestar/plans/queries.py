@@ -34,9 +34,18 @@ def _query(sql: str):
 # ---- views ----
 
 
+def _wide(e):
+    """9 by 8 values: each row of 8 and the value that follows it."""
+    return F.array(*(F.get(e, F.lit((8 * r + c) % 64)) for r in range(8) for c in range(9)))
+
+
+def _hashes(e):
+    return F.array(V.median_hash(e), V.gradient_hash(_wide(e)))
+
+
 def _hashed(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings", ["vec_id", "embedding", "label"])
-    return e.select("vec_id", "label", "embedding", V.median_hash(F.col("embedding")).alias("hash"))
+    return e.select("vec_id", "label", "embedding", _hashes(F.col("embedding")).alias("hash"))
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
@@ -44,8 +53,8 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"), F.col("hash").alias("query_hash"))
 
 
-def _near(s: SparkSession, d: str, k: int) -> DataFrame:
-    return R.knn(_asked(s, d), _hashed(s, d), R.hash_distance(), k, keep=F.col("vec_id") != F.col("query_id"))
+def _near(s: SparkSession, d: str, k: int, sims: bool = False) -> DataFrame:
+    return R.knn(_asked(s, d), _hashed(s, d), k, keep=("label", "query_label"), sims=sims)
 
 
 def _cards(s: SparkSession, d: str) -> DataFrame:
@@ -61,12 +70,20 @@ def _cards(s: SparkSession, d: str) -> DataFrame:
     )
 
 
-HASHED = """h0 as (select vec_id, label, embedding, list_sort(embedding[2:64])[32] as med from embeddings),
-h as (select vec_id, label, embedding, list_transform(embedding, lambda x: case when x > med then 1 else 0 end) as bits from h0)"""
+def _bits_sql(e: str, med: str) -> str:
+    return f"list_concat(list_transform({e}, lambda x: case when x > {med} then 1 else 0 end), list_transform(range(64), lambda i: case when {e}[(i + 1) % 64 + 1] > {e}[i + 1] then 1 else 0 end))"
+
+
+HASHED = f"""h0 as (select vec_id, label, embedding, list_sort(embedding[2:64])[32] as med from embeddings),
+h as (select vec_id, label, embedding, {_bits_sql("embedding", "med")} as bits from h0)"""
 DIST = "list_sum(list_transform(list_zip(q.bits, c.bits), lambda z: abs(z[1] - z[2])))::int"
 COS = "round(greatest(-1.0, least(1.0, list_dot_product(q.embedding::double[], c.embedding::double[]) / (greatest(sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])), 1e-8) * greatest(sqrt(list_dot_product(c.embedding::double[], c.embedding::double[])), 1e-8)))), 6)"
 
 
+# fixed value: candidates by hash that are re-ranked
+CANDIDATES = 500
+
+
 def _near_sql(k: int) -> str:
     return f"""{HASHED},
 near as (select * from (select q.vec_id as query_id, q.label as query_label, c.vec_id, c.label, {DIST} as dist, {COS} as sim,
@@ -87,14 +104,18 @@ SHUFFLE = "((({k})::bigint * 48271 + 42 * 16807) % 2147483647)"
 # ---- hashes and retrieval ----
 
 
-@_query(f"with {HASHED}, p as (select vec_id, list_reduce(list_transform(bits, lambda b: b::hugeint), lambda a, b: a * 2 + b) as u from h) select vec_id, {FOLD} as hash from p")
+def _packed_sql(half: str) -> str:
+    return f"with {HASHED}, p as (select vec_id, list_reduce(list_transform(bits[{half}], lambda b: b::hugeint), lambda a, b: a * 2 + b) as u from h) select vec_id, {FOLD} as hash from p"
+
+
+@_query(_packed_sql("1:64"))
 def phash_bits(s, d):
-    return _hashed(s, d).select("vec_id", "hash")
+    return _hashed(s, d).select("vec_id", F.col("hash")[0].alias("hash"))
 
 
-@_query("with p as (select vec_id, list_reduce(list_transform(list_filter(range(64), lambda i: i % 8 < 7), lambda i: case when embedding[i + 2] > embedding[i + 1] then 1::bigint else 0::bigint end), lambda a, b: a * 2 + b) as hash from embeddings) select vec_id, hash from p")
+@_query(_packed_sql("65:128"))
 def dhash_bits(s, d):
-    return table(s, d, "embeddings").select("vec_id", V.gradient_hash(F.col("embedding")).alias("hash"))
+    return _hashed(s, d).select("vec_id", F.col("hash")[1].alias("hash"))
 
 
 @_query(f"with {_near_sql(10)} select query_id, vec_id, dist, rank from near")
@@ -110,13 +131,13 @@ def fast_path_decisions(s, d):
     return best.join(gaps, "query_id").select("query_id", "best", "gap", ((F.col("best") <= 4) & (F.col("gap") >= 8)).alias("fast"), F.round(1.0 / (1 + F.col("best")), 6).cast("double").alias("score"))
 
 
-@_query(f"with {_near_sql(50)}, r as (select query_id, vec_id, sim, dist, row_number() over (partition by query_id order by sim desc, dist, vec_id)::int as place from near) select * from r where place <= 10")
+@_query(f"with {_near_sql(CANDIDATES)}, r as (select query_id, vec_id, sim, dist, row_number() over (partition by query_id order by sim desc, dist, vec_id)::int as place from near) select * from r where place <= 10")
 def cosine_rerank(s, d):
-    near = _near(s, d, 50).withColumn("sim", R.similarity())
+    near = _near(s, d, CANDIDATES, sims=True)
     return R.top_k(near, ["query_id"], [F.desc("sim"), F.col("dist"), F.col("vec_id")], 10, "place").select("query_id", "vec_id", "sim", "dist", "place")
 
 
-_TWO = f"""with {_near_sql(50)}, r as (select *, row_number() over (partition by query_id order by sim desc, dist, vec_id) as r from near),
+_TWO = f"""with {_near_sql(CANDIDATES)}, r as (select *, row_number() over (partition by query_id order by sim desc, dist, vec_id) as r from near),
 m as (select query_id, coalesce(max(sim) filter (r = 1) - max(sim) filter (r = 2), 1.0) as margin from r group by 1),
 s as (select r.query_id, r.vec_id, r.dist, round(r.sim + case when round(m.margin, 6) < 0.05 and r.label in (0, 1, 2) then 0.10 else 0.0 end, 6) as score from r join m using (query_id)),
 k as (select *, row_number() over (partition by query_id order by score desc, dist, vec_id)::int as place from s) select * from k where place <= 5"""
@@ -124,27 +145,27 @@ k as (select *, row_number() over (partition by query_id order by score desc, di
 
 @_query(_TWO)
 def two_stage_retrieval(s, d):
-    near = _near(s, d, 50).withColumn("sim", R.similarity()).drop("rank")
-    best = R.rerank(near, F.col("label").isin(0, 1, 2), 5)
+    near = _near(s, d, CANDIDATES, sims=True).drop("rank")
+    best = R.rerank(near, [F.col("label").isin(0, 1, 2)], 5)
     return best.select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
 
 
 @_query(
     f"""with {HASHED}, t as (select vec_id as query_id, embedding, t.turn from embeddings, (values (0), (1), (2), (3)) t(turn) where vec_id % 20 = 0),
 b as (select query_id, turn, list_transform(range(64), lambda i: embedding[1 + case turn when 0 then i when 1 then (i % 8) * 8 + 7 - i // 8 when 2 then 63 - i else (7 - i % 8) * 8 + i // 8 end]) as block from t),
-q as (select query_id, turn, list_transform(block, lambda x: case when x > list_sort(block[2:64])[32] then 1 else 0 end) as bits from b),
+q as (select query_id, turn, {_bits_sql("block", "med")} as bits from (select *, list_sort(block[2:64])[32] as med from b)),
 e as (select q.query_id, q.turn, min({DIST}) as dist from q join h c on c.vec_id <> q.query_id group by 1, 2)
 select query_id, min(dist) as best, arg_min(turn, dist * 10 + turn)::int as turn from e group by 1"""
 )
 def tta_min_distance(s, d):
-    turned = R.rotations(_asked(s, d), "query_embedding").select(F.struct("query_id", "turn").alias("key"), "query_id", "turn", V.median_hash(F.col("block")).alias("query_hash"))
-    near = R.knn(turned, _hashed(s, d).select("vec_id", "hash"), R.hash_distance(), 1, query="key", keep=F.col("vec_id") != F.col("query_id"))
+    turned = R.rotations(_asked(s, d), "query_embedding").select((F.col("query_id") * 4 + F.col("turn")).alias("key"), "query_id", "turn", _hashes(F.col("block")).alias("query_hash"))
+    near = R.knn(turned, _hashed(s, d), 1, query="key", keep=("query_id", "turn"))
     return near.groupBy("query_id").agg(F.min("dist").alias("best"), F.min_by("turn", F.col("dist") * 10 + F.col("turn")).alias("turn"))
 
 
 @_query(f"with h as (select vec_id, label, embedding from embeddings), s as (select q.vec_id as query_id, c.vec_id, {COS} as sim from h q join h c on q.label <> c.label where q.vec_id % 20 = 0), r as (select *, row_number() over (partition by query_id order by sim desc, vec_id)::int as rank from s) select * from r where rank <= 10")
 def hard_negatives(s, d):
-    near = R.knn(_asked(s, d), _hashed(s, d).drop("hash"), -R.similarity(), 10, keep=F.col("label") != F.col("query_label"))
+    near = R.knn(_asked(s, d), _hashed(s, d), 10, "cosine", differ=(("query_label", "label"),))
     return near.select("query_id", "vec_id", (-F.col("dist")).alias("sim"), F.col("rank").cast("int").alias("rank"))
 
 
@@ -315,15 +336,15 @@ def detection_stats(s, d):
 
 @_query(_TWO.replace("r.label in (0, 1, 2)", "r.label in (r.query_label, (r.query_label + 1) % 10)"))
 def tie_break_boost(s, d):
-    near = _near(s, d, 50).withColumn("sim", R.similarity()).drop("rank")
+    near = _near(s, d, CANDIDATES, sims=True).drop("rank")
     predicted = F.array(F.col("query_label"), (F.col("query_label") + 1) % 10)
-    return R.rerank(near, F.array_contains(predicted, F.col("label")), 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
+    return R.rerank(near, [F.array_contains(predicted, F.col("label"))], 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
 
 
 _SIDE = """{n} as (select query_id, min(dist) as d1, max(dist) filter (rank = 2) as d2 from (select q.vec_id as query_id, {dist} as dist,
   row_number() over (partition by q.vec_id order by {dist}, c.vec_id) as rank from {n}_h q join {n}_h c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0) where rank <= 2 group by 1)"""
-_DUAL = f"""with m_h as (select vec_id, list_transform(embedding, lambda x: case when x > list_sort(embedding[2:64])[32] then 1 else 0 end) as bits from embeddings),
-w_h as (select vec_id, list_transform(list_reverse(embedding), lambda x: case when x > list_sort(list_reverse(embedding)[2:64])[32] then 1 else 0 end) as bits from embeddings),
+_DUAL = f"""with sides as (select vec_id, embedding as m, list_reverse(embedding) as w, list_sort(embedding[2:64])[32] as m_med, list_sort(list_reverse(embedding)[2:64])[32] as w_med from embeddings),
+m_h as (select vec_id, {_bits_sql("m", "m_med")} as bits from sides), w_h as (select vec_id, {_bits_sql("w", "w_med")} as bits from sides),
 {_SIDE.format(n="m", dist=DIST)}, {_SIDE.format(n="w", dist=DIST)},
 b as (select query_id, case when query_id % 3 = 0 then 'modern' when query_id % 3 = 1 then 'fullart' else 'special' end as frame, (query_id % 100) < 70 as unsure, m.d1 as m1, m.d2 as m2, w.d1 as w1, w.d2 as w2 from m join w using (query_id)),
 t as (select *, case when unsure then m1 <= w1 else frame = 'modern' end as tm from b),
@@ -336,16 +357,16 @@ select query_id, concat(case when not unsure then 'single' when tm then 'paralle
 def dual_routing(s, d):
     sides = []
     for block in (F.col("embedding"), F.reverse("embedding")):
-        rows = table(s, d, "embeddings").select("vec_id", V.median_hash(block).alias("hash"))
+        rows = table(s, d, "embeddings").select("vec_id", _hashes(block).alias("hash"))
         frame = F.when(F.col("vec_id") % 3 == 0, "modern").when(F.col("vec_id") % 3 == 1, "fullart").otherwise("special")
         asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash"), frame.alias("frame"), ((F.col("vec_id") % 100) / 100).alias("conf"))
-        sides.append(R.knn(asked, rows, R.hash_distance(), 2, keep=F.col("vec_id") != F.col("query_id")))
+        sides.append(R.knn(asked, rows, 2, keep=("frame", "conf")))
     return R.dual_route(*sides)
 
 
 @_query("with n as (select q.label, arg_min(c.label, round(-(" + COS + "), 6) * 1e9 + c.vec_id / 1e6) as guess from embeddings q join embeddings c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0 group by q.vec_id, q.label) select label, guess, count(*) as n, round(count(*) / sum(count(*)) over (partition by label), 6) as share from n group by 1, 2")
 def per_class_accuracy(s, d):
-    near = R.knn(_asked(s, d), _hashed(s, d).drop("hash"), -R.similarity(), 1, keep=F.col("vec_id") != F.col("query_id"))
+    near = R.knn(_asked(s, d), _hashed(s, d), 1, "cosine", keep=("label", "query_label"))
     return E.confusion(near.select(F.col("query_label").alias("label"), F.col("label").alias("guess")), "label", "guess")
 
 
