@@ -72,3 +72,21 @@ def fuzzy_titles(titles: DataFrame, catalog: DataFrame, query: str, name: str, m
 def overwritten(value: Column, fields: Column, name: str) -> Column:
     """The field of a map where the map has it, even if null there; else ``value``."""
     return F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), F.element_at(fields, F.lit(name))).otherwise(value)
+
+
+def top_values(df: DataFrame, fields: str, name: str, k: int) -> DataFrame:
+    """The k most frequent values of a field of a map, ties by value (null last). ``<missing>`` where the map hasn't the field; a field that is there
+    and null is a value of its own."""
+    value = F.when(F.coalesce(F.map_contains_key(fields, name), F.lit(False)), F.element_at(fields, F.lit(name))).otherwise("<missing>")
+    return df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("value")).limit(k)
+
+
+def encoded(df: DataFrame, dictionary: DataFrame, column: str, label: str = "label") -> DataFrame:
+    """Each row with its value's label from a dictionary; null where the dictionary hasn't the value."""
+    return df.join(dictionary.select(column, label), column, "left")
+
+
+def labelled(df: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Each row with its label's columns and ``warning``, which tells rows without a label."""
+    joined = df.join(labels.withColumn("__has", F.lit(True)), key, "left")
+    return joined.withColumn("warning", F.when(F.col("__has").isNull(), "label missing")).drop("__has")

@@ -6,9 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def report(df: DataFrame, by: list[str], hit: Column, value: str) -> DataFrame:
-    """Count, hits, their share and the mean of ``value`` for each cell, each row and column, and overall."""
-    return df.cube(*by).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("hits"), F.round(100.0 * F.count_if(hit) / F.count(F.lit(1)), 4).cast("double").alias("hit_pct"), F.round(F.coalesce(F.avg(value), F.lit(0.0)), 4).alias("mean_value"))
+def report(df: DataFrame, by: list[str], hits: dict[str, Column], value: str) -> DataFrame:
+    """Count, per cent of rows for which each of ``hits`` holds and the mean of ``value``, for each cell, each row and column, and
+    overall; empty cells have no row."""
+    shares = [F.round(100.0 * F.count_if(hit) / F.count(F.lit(1)), 4).cast("double").alias(name) for name, hit in hits.items()]
+    return df.cube(*by).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), *shares, F.round(F.coalesce(F.avg(value), F.lit(0.0)), 4).alias("mean_value"))
+
+
+def lists(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
+    """The sorted values of each group as an array; for groups that are small by nature (``sampling.numbered`` has no such limit)."""
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias(out))
+
+
+def total(timings: Column) -> Column:
+    """The sum of a map's values; null ones count 0."""
+    return F.aggregate(F.map_values(timings), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+
+
+def status(pct: Column) -> Column:
+    return F.when(pct > 80, "OK").when(pct > 0, "PARTIAL").otherwise("MISSING")
 
 
 def histogram(df: DataFrame, by: list[str], column: str) -> DataFrame:

@@ -156,3 +156,10 @@ def dual_route(modern: DataFrame, whole: DataFrame, confidence: float = 0.70, qu
     best, gap = pick("modern", "whole"), F.coalesce(pick("modern2", "whole2") - pick("modern", "whole"), F.lit(0))
     route = F.when(~unsure, "single").when(takes_modern, "parallel_modern").otherwise("parallel_whole")
     return both.select(query, F.concat(route, F.when((best <= 4) & (gap >= 8), "+fast_hash").otherwise("")).alias("route"), F.when(unsure, F.when(takes_modern, "modern").otherwise("fullart")).otherwise(F.col("frame")).alias("effective_frame"), best.alias("winning_dist"), F.when(unsure, pick("whole", "modern")).alias("losing_dist"))
+
+
+def displayed(ranked: DataFrame, catalog: DataFrame, row: str, fields: list[str], upper: list[str] = ()) -> DataFrame:
+    """Ranked rows with the catalog's fields for display: ``?`` where one is absent, those of ``upper`` in capitals."""
+    joined = ranked.join(catalog.select(row, *fields), row, "left")
+    shown = {f: F.coalesce(F.col(f), F.lit("?")) for f in fields}
+    return joined.withColumns({f: F.upper(c) if f in upper else c for f, c in shown.items()})

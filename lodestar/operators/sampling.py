@@ -18,6 +18,12 @@ def quota_sample(df: DataFrame, by: list[str], key: str, quota: int, seed: int =
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= quota)
 
 
+def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42, place: str = "place") -> DataFrame:
+    """``n`` rows, all as likely, without replacement, numbered in shuffled order. Tasks keep ``n`` rows each before they meet."""
+    first = df.orderBy(shuffled(key, seed), key).limit(n)
+    return first.withColumn(place, F.row_number().over(Window.orderBy(shuffled(key, seed), key)))  # n rows
+
+
 def numbered(df: DataFrame, by: str, key: str, seed: int = 42, place: str = "place", size: str = "size") -> DataFrame:
     """Each row's place (from 1, in shuffled order) in its group and the group's size. Places are counted within buckets of the
     rank key first, so that a large group is spread over many tasks."""

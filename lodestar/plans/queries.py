@@ -201,10 +201,22 @@ def metadata_profile(s, d):
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.map_contains_key("m", "k")).alias("with_k"), F.count_if(F.map_contains_key("m", "z")).alias("with_z"))
 
 
-@_query(f"with {CARDS} select coalesce(layout, '<missing>') as value, count(*) as n from cards group by 1 order by n desc, value limit 15")
+@_query("with v as (select case when p_size % 7 = 0 then '<missing>' when p_size % 7 = 2 then null else p_type end as value from part) select value, count(*) as n from v group by 1 order by n desc, value nulls last limit 15")
 def top_values(s, d):
-    v = _cards(s, d).select(F.coalesce("layout", F.lit("<missing>")).alias("value"))
-    return v.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(15)
+    kind = F.col("p_size") % 7
+    fields = F.when(kind == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("type"), F.when(kind != 2, F.col("p_type"))))
+    return C.top_values(table(s, d, "part").select(fields.alias("fields")), "fields", "type", 15)
+
+
+@_query("select p_partkey, n.label from part left join (select p_brand, (row_number() over (order by p_brand) - 1)::int as label from part where p_brand <> 'Brand#11' group by 1 having count(*) >= 20) n using (p_brand)")
+def dictionary_encode(s, d):
+    part = table(s, d, "part").select("p_partkey", "p_brand")
+    return C.encoded(part, S.dictionary(part.filter("p_brand <> 'Brand#11'"), "p_brand", 20), "p_brand").select("p_partkey", "label")
+
+
+@_query("select d.doc_id, l.quality, case when l.doc_id is null then 'label missing' end as warning from documents d left join labels l using (doc_id)")
+def label_join_warnings(s, d):
+    return C.labelled(table(s, d, "documents").select("doc_id"), table(s, d, "labels").select("doc_id", "quality"), "doc_id").select("doc_id", "quality", "warning")
 
 
 @_query("select doc_id, source from documents where doc_id in (select doc_id from labels)")
@@ -293,13 +305,42 @@ def triplet_loss_eval(s, d):
     return t.select(F.col("vec_id").alias("anchor"), "pos", "neg", F.round(loss, 5).alias("loss"))
 
 
+@_query(f"select count(*) as n, round(avg(loss), 5) as mean_loss from ({_TRIPLET})")
+def triplet_loss_mean(s, d):
+    return triplet_loss_eval(s, d).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 5).alias("mean_loss"))
+
+
 # ---- evaluation ----
 
 
-@_query("select event_type, (user_id % 3)::bigint as frame, grouping_id(event_type, user_id % 3)::int as level, count(*) as n, count(*) filter (value > 50) as hits, round(100.0 * count(*) filter (value > 50) / count(*), 4)::double as hit_pct, round(avg(value), 4) as mean_value from events group by cube(event_type, user_id % 3)")
+@_query("select event_type, (user_id % 3)::bigint as frame, grouping_id(event_type, user_id % 3)::int as level, count(*) as n, " + ", ".join(f"round(100.0 * count(*) filter ({c}) / count(*), 4)::double as {name}" for name, c in (("top1", "value > 50"), ("top5", "value > 20"), ("frame_ok", "event_id % 3 = user_id % 3"))) + ", round(avg(value), 4) as mean_value from events group by cube(event_type, user_id % 3)")
 def benchmark_cube(s, d):
-    e = table(s, d, "events").select("event_type", (F.col("user_id") % 3).alias("frame"), "value")
-    return E.report(e, ["event_type", "frame"], F.col("value") > 50, "value")
+    e = table(s, d, "events").select("event_type", (F.col("user_id") % 3).alias("frame"), "event_id", "value")
+    return E.report(e, ["event_type", "frame"], {"top1": F.col("value") > 50, "top5": F.col("value") > 20, "frame_ok": F.col("event_id") % 3 == F.col("frame")}, "value")
+
+
+@_query("select event_type, user_id, list_sort(list(round(value, 3))) as values from events group by 1, 2")
+def value_lists(s, d):
+    return E.lists(table(s, d, "events").select("event_type", "user_id", F.round("value", 3).alias("value")), ["event_type", "user_id"], "value", "values").select("event_type", "user_id", "values")
+
+
+@_query("select event_id, round(value + (event_id % 10) / 2 + coalesce(case when user_id % 2 = 0 then value / 4 end, 0), 6) as total from events")
+def timing_totals(s, d):
+    v, none = F.col("value"), F.lit(None).cast("double")
+    timings = F.create_map(F.lit("detect"), v, F.lit("hash"), (F.col("event_id") % 10) / 2, F.lit("ocr"), F.when(F.col("user_id") % 2 == 0, v / 4).otherwise(none))
+    return table(s, d, "events").select("event_id", F.round(E.total(timings), 6).alias("total"))
+
+
+@_query("select event_type, round(100.0 * count(*) filter (value > 50) / count(*), 4)::double as pct, case when 100.0 * count(*) filter (value > 50) / count(*) > 80 then 'OK' when count(*) filter (value > 50) > 0 then 'PARTIAL' else 'MISSING' end as status from events group by 1")
+def status_labels(s, d):
+    pct = 100.0 * F.count_if(F.col("value") > 50) / F.count(F.lit(1))
+    return table(s, d, "events").groupBy("event_type").agg(F.round(pct, 4).cast("double").alias("pct"), E.status(pct).alias("status"))
+
+
+@_query("select vec_id, list_transform(list_sort(list_transform(embedding, lambda x, i: {'v': -x::double, 'place': i - 1}))[1:3], lambda p: p.place::int) as places, round(1 / list_sum(list_transform(embedding, lambda x: exp(x::double - list_max(embedding)::double))), 6) as top_share from embeddings")
+def softmax_topk(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return e.select("vec_id", F.transform(V.largest(F.col("embedding"), 3), lambda p: p["place"]).alias("places"), F.round(F.array_max(V.softmax(F.col("embedding"))), 6).alias("top_share"))
 
 
 @_query("select event_type, user_id % 4 as route, count(*) as n from events group by 1, 2")
@@ -318,17 +359,21 @@ def running_best(s, d):
     return E.running_best(days, "day", "best")
 
 
+# fixed values: tokens in and out of a call, and their prices
+TOKENS_IN, TOKENS_OUT, PRICE_IN, PRICE_OUT = 1568, 10, 3e-6, 1.5e-5
+
+
 @_query("with a as (select event_type, avg(value) filter (user_id % 2 = 0) as ours, avg(value) filter (user_id % 2 = 1) as theirs, count(*) as n from events group by 1) select event_type, round(theirs / nullif(ours, 0), 4) as speedup, case when ours - theirs > 1 then 'ahead' when theirs - ours > 1 then 'behind' else 'level' end as verdict, round((1568 * 3e-6 + 10 * 1.5e-5) * n, 6)::double as cost from a")
 def speedup_gap(s, d):
     a = table(s, d, "events").groupBy("event_type").agg(F.avg(F.when(F.col("user_id") % 2 == 0, F.col("value"))).alias("ours"), F.avg(F.when(F.col("user_id") % 2 == 1, F.col("value"))).alias("theirs"), F.count(F.lit(1)).alias("n"))
-    return a.select("event_type", F.round(F.col("theirs") / F.nullif("ours", F.lit(0)), 4).alias("speedup"), E.verdict(F.col("ours"), F.col("theirs")).alias("verdict"), F.round(F.lit(1568 * 3e-6 + 10 * 1.5e-5) * F.col("n"), 6).alias("cost"))
+    return a.select("event_type", F.round(F.col("theirs") / F.nullif("ours", F.lit(0)), 4).alias("speedup"), E.verdict(F.col("ours"), F.col("theirs")).alias("verdict"), F.round(F.lit(TOKENS_IN * PRICE_IN + TOKENS_OUT * PRICE_OUT) * F.col("n"), 6).alias("cost"))
 
 
-@_query("with p as (select event_type, value >= 25 and value <= 235 as valid, value from events) select event_type, count(*) as n, count(*) filter (valid) as detected, round(count(*) filter (valid) / count(*), 6) as rate, round(coalesce(avg(value) filter (valid), 0), 4) as mean_conf, round(coalesce(max(value) filter (valid), 0), 4) as best_conf from p group by 1")
+@_query("with p as (select event_type, value >= 25 and value <= 235 as valid, value from events) select event_type, count(*) as n, count(*) filter (valid) as detected, round(count(*) filter (valid) / count(*), 6) as rate, round(coalesce(avg(value) filter (valid), 0), 4) as mean_conf, round(coalesce(max(value) filter (valid), 0), 4) as best_conf, round(coalesce(min(value) filter (valid), 0), 4) as least_conf from p group by 1")
 def detection_stats(s, d):
     p = table(s, d, "events").select("event_type", F.col("value").between(25, 235).alias("valid"), "value")
     ok = F.when(F.col("valid"), F.col("value"))
-    return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("detected"), F.round(F.count_if("valid") / F.count(F.lit(1)), 6).alias("rate"), F.round(F.coalesce(F.avg(ok), F.lit(0.0)), 4).alias("mean_conf"), F.round(F.coalesce(F.max(ok), F.lit(0.0)), 4).alias("best_conf"))
+    return p.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("valid").alias("detected"), F.round(F.count_if("valid") / F.count(F.lit(1)), 6).alias("rate"), F.round(F.coalesce(F.avg(ok), F.lit(0.0)), 4).alias("mean_conf"), F.round(F.coalesce(F.max(ok), F.lit(0.0)), 4).alias("best_conf"), F.round(F.coalesce(F.min(ok), F.lit(0.0)), 4).alias("least_conf"))
 
 
 # ---- routing, boosts, negatives, geometry ----
@@ -341,6 +386,28 @@ def tie_break_boost(s, d):
     return R.rerank(near, [F.array_contains(predicted, F.col("label"))], 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
 
 
+_ROUND = """m{n} as (select query_id, coalesce(max(score) filter (r = 1) - max(score) filter (r = 2), 1.0) as margin from r{n} group by 1),
+s{n} as (select r.* exclude (score, r), round(score + case when round(m.margin, 6) < 0.05 and {boost} then 0.10 else 0.0 end, 6) as score from r{n} r join m{n} m using (query_id)),
+r{next} as (select *, row_number() over (partition by query_id order by score desc, dist, vec_id) as r from s{n})"""
+
+
+@_query(f"""with {_near_sql(CANDIDATES)}, r1 as (select *, round(sim, 6) as score, row_number() over (partition by query_id order by sim desc, dist, vec_id) as r from near),
+{_ROUND.format(n=1, next=2, boost="r.label in (r.query_label, (r.query_label + 1) % 10)")}, {_ROUND.format(n=2, next=3, boost="r.vec_id % 7 = r.query_id % 7")}
+select query_id, vec_id, dist, score, r::int as place from r3 where r <= 5""")
+def title_boost(s, d):
+    near = _near(s, d, CANDIDATES, sims=True).drop("rank")
+    predicted = F.array(F.col("query_label"), (F.col("query_label") + 1) % 10)
+    by_title = F.col("vec_id") % 7 == F.col("query_id") % 7  # stands for the catalog rows of the title that was read
+    return R.rerank(near, [F.array_contains(predicted, F.col("label")), by_title], 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
+
+
+@_query(f"with {_near_sql(3)} select query_id, rank, coalesce(p_name, '?') as name, upper(coalesce(p_brand, '?')) as \"set\", coalesce(case when p_size % 5 > 0 then p_type end, '?') as type_line from near left join part on p_partkey = vec_id + 1")
+def display_rows(s, d):
+    part = table(s, d, "part").select((F.col("p_partkey") - 1).alias("vec_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("set"), F.when(F.col("p_size") % 5 > 0, F.col("p_type")).alias("type_line"))
+    near = _near(s, d, 3).select("query_id", "vec_id", F.col("rank").cast("int").alias("rank"))
+    return R.displayed(near, part, "vec_id", ["name", "set", "type_line"], upper=["set"]).select("query_id", "rank", "name", "set", "type_line")
+
+
 _SIDE = """{n} as (select query_id, min(dist) as d1, max(dist) filter (rank = 2) as d2 from (select q.vec_id as query_id, {dist} as dist,
   row_number() over (partition by q.vec_id order by {dist}, c.vec_id) as rank from {n}_h q join {n}_h c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0) where rank <= 2 group by 1)"""
 _DUAL = f"""with sides as (select vec_id, embedding as m, list_reverse(embedding) as w, list_sort(embedding[2:64])[32] as m_med, list_sort(list_reverse(embedding)[2:64])[32] as w_med from embeddings),
@@ -397,6 +464,21 @@ def difficulty_mixture(s, d):
     return table(s, d, "documents").select("doc_id", S.mixture("doc_id", [("easy", 30), ("medium", 40), ("hard", 30)]).alias("difficulty"))
 
 
+@_query(f"with u as (select doc_id, {SHUFFLE.format(k='doc_id')} % 100 as u from documents) select doc_id, case when u < 50 then 'easy' else 'mixed' end as identifier, case when u < 60 then 'easy' else 'mixed' end as detector from u")
+def easy_mixtures(s, d):
+    return table(s, d, "documents").select("doc_id", S.mixture("doc_id", [("easy", 50), ("mixed", 50)]).alias("identifier"), S.mixture("doc_id", [("easy", 60), ("mixed", 40)]).alias("detector"))
+
+
+@_query(f"select doc_id, place from (select doc_id, row_number() over (order by {SHUFFLE.format(k='doc_id')}, doc_id) as place from documents) where place <= 100")
+def uniform_sample(s, d):
+    return S.uniform_sample(table(s, d, "documents").select("doc_id"), "doc_id", 100)
+
+
+@_query(f"select doc_id, row_number() over (order by {SHUFFLE.format(k='doc_id')}, doc_id) as place from documents")
+def global_shuffle(s, d):
+    return S.numbered(table(s, d, "documents").select("doc_id", F.lit(0).alias("one")), "one", "doc_id").select("doc_id", "place")
+
+
 @_query(f"with r as (select source, doc_id, row_number() over (partition by source order by {SHUFFLE.format(k='doc_id')}, doc_id) as r, count(*) over (partition by source) as n from documents), t as (select *, r <= greatest(1, floor(n * 0.8)) as train from r) select doc_id, train, concat('real_', doc_id, '_r', lpad(cast(copy as varchar), 2, '0')) as name from t, unnest(range(0, case when train then 10 else 3 end)) u(copy)")
 def replicated_split(s, d):
     rows = S.numbered(table(s, d, "documents").select("source", "doc_id"), "source", "doc_id").withColumn("train", F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("size") * 0.8)))

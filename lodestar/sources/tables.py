@@ -30,6 +30,23 @@ def images(spark: SparkSession, path: str, extensions: Iterable[str] = ("jpg", "
     return found.select("path", F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("id"), "content")
 
 
+def images_of(found: DataFrame, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """``wanted`` with the path and the content of each row's image, null where there is none."""
+    return wanted.join(found.select(F.col("id").alias(key), "path", "content"), key, "left")
+
+
+def label_map(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON object file -> {corners_normalized: points} as rows of file and corners; a file without that field has null corners."""
+    whole = spark.read.text(path, wholetext=True)
+    entries = F.from_json("value", "map<string,struct<corners_normalized:array<array<double>>>>")
+    return whole.select(F.explode(entries).alias("file", "label")).select("file", F.col("label.corners_normalized").alias("corners"))
+
+
+def cached(spark: SparkSession, path: str, column: str, values: Iterable[str]) -> DataFrame:
+    """The rows of a Parquet table whose column is one of ``values``; the filter reaches the scan."""
+    return spark.read.parquet(path).filter(F.col(column).isin([*values]))
+
+
 def corner_labels(df: DataFrame, corners: str = "corners") -> DataFrame:
     """Oriented-box label lines, ``0 x1 y1 ... x4 y4`` with six places, from an array of 4 points."""
     points = F.array_join(F.transform(F.flatten(corners), lambda x: F.format_string("%.6f", x.cast("double"))), " ")
