@@ -80,9 +80,17 @@ def replicate(df: DataFrame, times: Column, out: str = "copy") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(1), times)))
 
 
-def next_of_group(df: DataFrame, by: str, key: str, out: str) -> DataFrame:
-    """Each row's successor within its group in the order of keys (the last one's is the first): another row of the group, or
-    itself if it is alone."""
-    w = Window.partitionBy(by).orderBy(key)
-    first = F.min(key).over(Window.partitionBy(by))
-    return df.withColumn(out, F.coalesce(F.lead(key).over(w), first))
+def next_of_group(df: DataFrame, by: str, key: str, out: str, buckets: int = 64) -> DataFrame:
+    """Each row's successor within its group in the order of numeric keys (the last one's is the first): another row of the group, or
+    itself if it is alone. A group is cut into ranges of keys, so that a large one is spread over many tasks; the last row of a range
+    is followed by the first of the next."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
+    rows = df.withColumn("__b", F.floor((F.col(key) - F.lit(low or 0)) / width).cast("int"))
+    firsts = rows.groupBy(by, "__b").agg(F.min(key).alias("__m"))  # a row a group and range
+    in_order = Window.partitionBy(by).orderBy("__b")
+    after = F.coalesce(F.lead("__m").over(in_order), F.first("__m").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select(F.col(by).alias("__g"), F.col("__b").alias("__gb"), after.alias("__after"))
+    led = rows.withColumn("__next", F.lead(key).over(Window.partitionBy(by, "__b").orderBy(key)))
+    joined = led.join(firsts, led[by].eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__gb")))
+    return joined.withColumn(out, F.coalesce("__next", "__after")).drop("__b", "__next", "__g", "__gb", "__after")

@@ -295,12 +295,12 @@ def triplet_loss_eval(s, d):
     from pyspark.sql import Window
 
     e = table(s, d, "embeddings").select("vec_id", "label", "embedding")
-    anchors = S.next_of_group(e, "label", "vec_id", "pos")
+    anchors = S.next_of_group(e.select("vec_id", "label"), "label", "vec_id", "pos")  # vectors come later
     firsts = e.groupBy("label").agg(F.min("vec_id").alias("first"))
     other = firsts.withColumn("neg", F.coalesce(F.lead("first").over(Window.orderBy("label")), F.min("first").over(Window.partitionBy()))).select("label", "neg")
     a = e.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("pe"))
     b = e.select(F.col("vec_id").alias("neg"), F.col("embedding").alias("ne"))
-    t = anchors.join(other, "label").join(a, "pos").join(b, "neg")
+    t = anchors.join(other, "label").join(e.select("vec_id", "embedding"), "vec_id").join(a, "pos").join(b, "neg")
     loss = F.greatest(F.lit(0.0), V.distance(F.col("embedding"), F.col("pe")) - V.distance(F.col("embedding"), F.col("ne")) + 0.3)
     return t.select(F.col("vec_id").alias("anchor"), "pos", "neg", F.round(loss, 5).alias("loss"))
 
