@@ -26,8 +26,9 @@ def median_hash(block: Column) -> Column:
 
 def gradient_hash(block: Column, width: int = 9, height: int = 8) -> Column:
     """A bit for each value but the last of a row (``width`` values, row by row): the next one is larger. 9 by 8 values make 64 bits."""
-    places = [r * width + c for r in range(height) for c in range(width - 1)]
-    return pack_bits(F.array(*(F.get(block, F.lit(i + 1)) > F.get(block, F.lit(i)) for i in places)))
+    place = lambda i: (i + F.floor(i / (width - 1))).cast("int")
+    bits = lambda v: F.transform(F.sequence(F.lit(0), F.lit(height * (width - 1) - 1)), lambda i: F.get(v, place(i) + 1) > F.get(v, place(i)))
+    return once(block, lambda v: pack_bits(bits(v)))
 
 
 def softmax(scores: Column) -> Column:

@@ -1,7 +1,7 @@
 """Lookups: Hamming top-k, re-ranking by cosine, fast path, margins, boosts, rotations.
 
 Every search meets a stated set of queries with all rows. Distances are worked out for a block of queries and a batch of rows
-at a time, and only k rows a query leave it, so no pair is ever a row of a table. Up to ``QUERIES`` queries are counted, then
+at a time, and only k rows a query leave it, so no pair is ever a row of a table. Up to ``QUERIES`` queries are
 broadcast, and the rows stay where they are; more are dealt into blocks, the rows into shards, and each pair of a shard and
 a block is one keyed group.
 """
@@ -97,9 +97,9 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, by: str = "hash", query: st
         return pa.table(out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    n = queries.count()
-    if n <= QUERIES:
-        held = queries.sparkSession.sparkContext.broadcast(q.toArrow())
+    few = q.limit(QUERIES + 1).toArrow()
+    if len(few) <= QUERIES:
+        held = queries.sparkSession.sparkContext.broadcast(few)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -107,7 +107,7 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, by: str = "hash", query: st
 
         found = r.mapInArrow(run, schema)
     else:
-        blocks, shards = -(-n // QUERIES), max(1, -(-rows.count() // ROWS_A_SHARD))
+        blocks, shards = -(-q.count() // QUERIES), max(1, -(-rows.count() // ROWS_A_SHARD))
         every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(int(m) - 1))).alias(name)
         dealt = lambda c, m, name: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias(name)
         sent = q.select("*", dealt(query, blocks, "__block"), every(shards, "__shard"))

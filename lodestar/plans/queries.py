@@ -36,7 +36,7 @@ def _query(sql: str):
 
 def _wide(e):
     """9 by 8 values: each row of 8 and the value that follows it."""
-    return F.array(*(F.get(e, F.lit((8 * r + c) % 64)) for r in range(8) for c in range(9)))
+    return F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.get(e, ((8 * F.floor(i / 9) + i % 9) % 64).cast("int")))
 
 
 def _hashes(e):
