@@ -41,7 +41,7 @@ COPY_LEAST = (4, 5)
 COPY_WIDTH = 5
 COPY_RADIUS = 12
 #: Bytes of a tile, about, and the width of a band of shingle counts in logarithms: a little over ln(5 / 4).
-COPY_TILE = 1 << 22
+COPY_TILE = 1 << 20
 BAND = 0.2235
 
 
@@ -182,22 +182,39 @@ def alike(n_both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return COPY_LEAST[1] * n_both >= COPY_LEAST[0] * (n_a + n_b - n_both)
 
 
-def tile_pairs(nodes: DataFrame, fields: tuple[str, ...], bytes_: Column, name: str) -> DataFrame:
-    """Pairs of tiles of ``nodes`` (with ``node`` and ``n``, its number of shingles) that can hold copies of each other: ``fields``
-    of either side as lists (those of the left one end in ``_a``), and ``same`` for a tile with itself. Tiles are cut by bands of ``n``:
-    copies are in the same band or in neighbouring ones. (At this radius population counts would skip next to nothing.)"""
-    banded = nodes.withColumn("place", F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(BAND)).cast("int"))
-    sizes = written(banded.groupBy("place").agg(F.ceil(F.sum(bytes_) / COPY_TILE).cast("int").alias("subs")), f"{name}-places")  # 50 bands or so
-    subbed = banded.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), *fields)
+def tile_pairs(nodes: DataFrame, place: Column, shifts: tuple[int, ...], fields: tuple[str, ...], bytes_: Column, name: str) -> DataFrame:
+    """Pairs of tiles of ``nodes`` that can hold copies of each other: ``fields`` of either side as lists (those of the left one end in
+    ``_a``), and ``same`` for a tile with itself. Tiles are cut by ``place``; a place meets those that ``shifts`` lead to."""
+    placed = nodes.select(place.alias("place"), *fields)
+    sizes = written(placed.groupBy("place").agg(F.ceil(F.sum(bytes_) / COPY_TILE).cast("int").alias("subs")), f"{name}-places")
+    subbed = placed.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), *fields)
     tiles = _dealt(subbed, "place", "sub").groupBy("place", "sub").agg(F.collect_list(F.struct(*fields)).alias("__t"))
     tiles = written(tiles.select("place", "sub", *(F.col(f"__t.{c}").alias(c) for c in fields)), f"{name}-tiles")
-    left = tiles.select(F.col("place").alias("__p"), F.col("sub").alias("__s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(F.lit(0), F.lit(1))).alias("shift"))
+    left = tiles.select(F.col("place").alias("__p"), F.col("sub").alias("__s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
     left = left.withColumn("place", F.col("__p") + F.col("shift")).join(sizes, "place")
     left = left.withColumn("sub", F.explode(F.sequence(F.when(F.col("shift") == 0, F.col("__s")).otherwise(F.lit(0)), F.col("subs") - 1)))
     same = ((F.col("shift") == 0) & (F.col("__s") == F.col("sub"))).alias("same")
     return left.join(tiles, ["place", "sub"]).select(*(f"{c}_a" for c in fields), *fields, same)
 
 
+class _Forest:
+    """Which nodes of two tiles are joined already: the nodes of the right one come after those of the left one, unless it's the same."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def root(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def _near(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of the pairs of two tiles (fp, n) within ``COPY_RADIUS`` bits whose numbers of shingles allow for copies."""
     (x, n_a), (y, n_b) = a, b
@@ -220,21 +237,29 @@ def _numbers(batch: pa.RecordBatch, row: int, side: str) -> list[np.ndarray]:
     return [fp.view(np.uint64), n]
 
 
+def _links(batch: pa.RecordBatch, row: int, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    x, y = np.array(pairs).T
+    return pa.RecordBatch.from_arrays([pa.array(_column(batch, c, row).to_numpy()[k]) for c, k in (("node_a", x), ("node", y))], names=["u", "v"])
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
-    """The nodes (node, fp, n) that are within reach of another one."""
+    """Links ``u``, ``v`` that connect all nodes (node, fp, n) within reach of each other, directly or by way of others: a spanning
+    forest of each pair of tiles. Tiles are cut by bands of ``n``, the number of shingles: copies are in the same band or
+    in neighbouring ones. (At this radius population counts would skip next to nothing.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                a, b = _numbers(batch, r, "_a"), _numbers(batch, r, "")
-                hit = [np.zeros(len(x[0]), bool) for x in (a, b)]
-                for i, j in _near(a, b, batch.column("same")[r].as_py()):
-                    hit[0][i] = True
-                    hit[1][j] = True
-                found = [_column(batch, c, r).to_numpy()[h] for c, h in zip(("node_a", "node"), hit, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["node"])
+                a, b, same = _numbers(batch, r, "_a"), _numbers(batch, r, ""), batch.column("same")[r].as_py()
+                shift = 0 if same else len(a[0])
+                forest, found = _Forest(shift + len(b[0])), []
+                for i, j in _near(a, b, same):
+                    found += [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y + shift)]
+                if found:
+                    yield _links(batch, r, found)
 
-    return tile_pairs(nodes, ("node", "fp", "n"), F.lit(24), "copies").mapInArrow(run, "node long").distinct()
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(BAND)).cast("int")
+    return tile_pairs(nodes, band, (0, 1), ("node", "fp", "n"), F.lit(24), "copies").mapInArrow(run, "u long, v long")
 
 
 def _bitmaps(sets: pa.Array, bits: int) -> np.ndarray:
@@ -247,50 +272,46 @@ def _bitmaps(sets: pa.Array, bits: int) -> np.ndarray:
 
 
 def copies(sets: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` that connect all nodes (node, fp, n, s: the shingles' hashes) whose sets are alike by exact counts, directly
-    or by way of others: a spanning forest of each pair of tiles, so no more links than nodes, however large a group of
-    near copies is. A pair that is joined already isn't compared. Of the rest, most that aren't copies are told by bitmaps:
-    the bits of one set that the other one hasn't are members that it lacks."""
+    """Links ``u``, ``v`` that connect all nodes (node, group, fp, n, s: the shingles' hashes) whose sets are alike by exact counts,
+    directly or by way of others: a spanning forest of each pair of tiles, so no more links than nodes, however large a group
+    of near copies is. Only nodes of a group meet. A pair that is joined already isn't compared. Of the rest, most that
+    aren't copies are told by bitmaps: the bits of one set that the other one hasn't are members that it lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 a, b, same = _numbers(batch, r, "_a"), _numbers(batch, r, ""), batch.column("same")[r].as_py()
                 s_a, s_b = _column(batch, "s_a", r), _column(batch, "s", r)
-                if not len(s_a) or not len(s_b):
+                if same and len(s_a) < 2:
                     continue
                 bits = 64 << int(max(a[1].max(), b[1].max()) // 8).bit_length()
                 map_a = _bitmaps(s_a, bits)
                 map_b = map_a if same else _bitmaps(s_b, bits)
-                # a forest over the nodes of both tiles
-                label = np.arange(len(s_a) if same else len(s_a) + len(s_b))
-                shift, links = 0 if same else len(s_a), []
+                shift = 0 if same else len(s_a)
+                forest, found = _Forest(shift + len(s_b)), []
                 for i, j in _near(a, b, same):
-                    open_ = label[i] != label[j + shift]
-                    i, j = i[open_], j[open_]
                     for at in range(0, len(i), 4096):
                         p, q = i[at : at + 4096], j[at : at + 4096]
                         lacks = np.bitwise_count(map_a[p] & ~map_b[q]).sum(axis=1, dtype=np.int64)
-                        ok = alike(np.minimum(a[1][p] - lacks, np.minimum(a[1][p], b[1][q])), a[1][p], b[1][q])
+                        ok = alike(np.minimum(a[1][p] - lacks, b[1][q]), a[1][p], b[1][q])
                         for x, y in zip(p[ok].tolist(), q[ok].tolist(), strict=True):
-                            if label[x] == label[y + shift]:
+                            if forest.root(x) == forest.root(y + shift):
                                 continue
                             one, other = (np.frombuffer(s.as_buffer(), "<u8") for s in (s_a[x], s_b[y]))
                             if alike(len(np.intersect1d(one, other, assume_unique=True)), len(one), len(other)):
-                                links.append((x, y))
-                                label[label == label[y + shift]] = label[x]
-                if links:
-                    x, y = np.array(links).T
-                    yield pa.RecordBatch.from_arrays([pa.array(_column(batch, c, r).to_numpy()[k]) for c, k in (("node_a", x), ("node", y))], names=["u", "v"])
+                                forest.join(x, y + shift)
+                                found.append((x, y))
+                if found:
+                    yield _links(batch, r, found)
 
-    return tile_pairs(sets, ("node", "fp", "n", "s"), 8 * F.col("n") + 24, "copies-sets").mapInArrow(run, "u long, v long")
+    return tile_pairs(sets, F.col("group"), (0,), ("node", "fp", "n", "s"), 8 * F.col("n") + 24, "copies-sets").mapInArrow(run, "u long, v long")
 
 
 def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     """Each row's ``key``, ``keep`` and ``root``: a number that stands for all rows that links between texts, of at least
     ``COPY_LEAST`` in common and within ``COPY_RADIUS`` bits, join to it. Texts with the same words are one node. A first pass over
-    tiles of fingerprints finds the nodes that have another one within reach; only their sets of shingles go into tiles of
-    their own, where pairs are checked."""
+    tiles of fingerprints finds groups of nodes within reach of each other; only their sets of shingles go into tiles of
+    their own, group by group, where pairs are checked."""
 
     def start() -> Callable[[list], dict[str, list]]:
         from xxhash import xxh3_128_intdigest
@@ -307,11 +328,14 @@ def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> Dat
     of = F.min(F.struct(*keep)).alias("__of")
     nodes = rows.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), of)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
-    wanted = nodes.join(candidates(nodes), "node", "left_semi").select("node", "fp", "n", *(F.col(f"__of.{c}").alias(f"__{i}") for i, c in enumerate(keep)))
+    # groups of nodes within reach, of which most are small: only inside them do sets of shingles meet
+    reach = written(components(candidates(nodes)), "copies-reach")
+    group = reach.select("node", F.col("root").alias("group")).union(reach.select("root", "root").distinct())
+    wanted = nodes.join(group, "node").select("node", "group", "fp", "n", *(F.col(f"__of.{c}").alias(f"__{i}") for i, c in enumerate(keep)))
     texts = df.select(*(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").alias("__text"))
     texts = texts.join(wanted, [f"__{i}" for i in range(len(keep))]).dropDuplicates(["node"])
     sets = lambda: (lambda ts: {"s": [shingle_set(t).tobytes() for t in ts]})
-    sets = written(map_texts(texts, ["node", "fp", "n"], "__text", sets, {"s": "binary"}), "copies-sets")
+    sets = written(map_texts(texts, ["node", "group", "fp", "n"], "__text", sets, {"s": "binary"}), "copies-sets")
     roots = components(copies(sets))
     named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
     return rows.join(named, ["h1", "h2"]).select(key, *keep, "root")
