@@ -2,15 +2,18 @@
 
 Per document: words, their characters, symbols, repeated lines and repeated 3-word windows. Fixed rules (``base_failed``) go
 first: under 50 words, or over half the words in repeated windows. The rest is judged against its own kind: for each
-language and source, mergeable KLL quantile sketches of three rates (symbols a word, repeated lines a line, words in
+language and source, mergeable quantile sketches of three rates (symbols a word, repeated lines a line, words in
 repeated windows a word) and of the mean word length are built with partial aggregation, and a document is rejected if
 a value lies beyond a Tukey fence of its group, more than ``SPREADS`` interquartile ranges outside the quartiles. Rates are
-mostly 0, so their quartiles are those of the values above 0. Quartiles are smoothed by the language's own, worth ``PRIOR``
+mostly 0, so quartiles are those of the values above 0. Quartiles are smoothed by the language's own, worth ``PRIOR``
 rows. Only where there is no scale to learn (no spread, or the measure is above 0 in less than ``LEAST_SHARE`` of the rows,
 smoothed likewise) does ``LEAST_SPREAD`` set the fence.
 
-Sketches are small, hold any number of rows and merge in any order, so a source with a third of all rows costs no task
-more than its share. The thresholds are one row a group and meet the documents in a join on (lang, source).
+A sketch is a histogram on a logarithmic scale: counts of the values between powers of ``GAMMA``, so a quantile is exact
+in rank and within (GAMMA - 1) / (GAMMA + 1) of its value. Sketches of a language are the sums of its sources'. Counts
+merge in any order to the same numbers, so reruns, other partitions and lost executors change no verdict. A sketch has some
+thousand bins a decade at most and holds any number of rows, and counts are summed before the shuffle, so a source with a
+third of all rows costs no task more than its share. The thresholds are one row a group and meet the documents in a join.
 
 Edge cases: null texts have no words and fail; null languages and sources are groups of their own; repeated rows are
 judged alike; an empty table gives no rows; columns other than key, text, lang and source aren't read.
@@ -18,15 +21,17 @@ judged alike; an empty table gives no rows; columns other than key, text, lang a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import SPACE, fresh, written
 
 MIN_WORDS = 50
 SPREADS = 3.0
-#: Accuracy of the sketches: about 1.3 / K ** 0.9 in rank.
-SKETCH_K = 400
+#: Bins of the sketches grow by this factor: quantiles are within 0.05 % of their value.
+GAMMA = 1.001
 #: Rows of the language that a group's quartiles are smoothed by.
 PRIOR = 100
 #: A measure that fewer rows than this share have at all is judged by the floor.
@@ -78,19 +83,32 @@ def _measures() -> dict[str, Column]:
     return {"symbol_rate": rate("n_symbols", "n_words"), "dup_line_rate": rate("n_dup_lines", "n_lines"), "repeat_rate": rate("n_repeat_words", "n_words"), "word_length": rate("word_chars", "n_words")}
 
 
-def _sketches(rows: DataFrame, by: tuple[str, ...], tag: str) -> DataFrame:
-    """Per group: its size and, for each measure, the size and the quartiles of its values (above 0, where it is mostly 0), from mergeable sketches."""
-    scaled = {m: F.when(F.col(m) > 0, F.col(m)) if some_zero else F.col(m) for m, (_, _, some_zero) in LEAST_SPREAD.items()}
-    found = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.count(x).alias(f"n_{m}") for m, x in scaled.items()), *(F.kll_sketch_agg_double(x, F.lit(SKETCH_K)).alias(m) for m, x in scaled.items()))
-    quartile = lambda m, x: F.when(F.col(f"n_{m}") > 0, F.kll_sketch_get_quantile_double(m, F.lit(x)))
-    quartiles = {f"{tag}_{m}_{i}": quartile(m, x) for m in scaled for i, x in ((1, 0.25), (3, 0.75))}
-    return found.select(*by, F.col("n").alias(f"{tag}_n"), *(F.col(f"n_{m}").alias(f"{tag}_n_{m}") for m in scaled), *(x.alias(c) for c, x in quartiles.items()))
+def sketches(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """Per group and measure ``__m``: how many rows ``__n`` have a value in each bin ``__b`` (null: 0)."""
+    place = lambda m: F.when(F.col(m) > 0, F.ceil(F.ln(m) / F.lit(math.log(GAMMA))).cast("int"))
+    values = F.array(*(F.struct(F.lit(m).alias("__m"), place(m).alias("__b")) for m in LEAST_SPREAD))
+    return rows.select(*by, F.inline(values)).groupBy(*by, "__m", "__b").agg(F.count(F.lit(1)).alias("__n"))
+
+
+def _quartiles(bins: DataFrame, by: tuple[str, ...], tag: str) -> DataFrame:
+    """Per group: its size and, for each measure, how many values above 0 it has and their quartiles."""
+    above = F.when(F.col("__b").isNotNull(), F.col("__n"))
+    group = Window.partitionBy(*by, "__m")  # the bins of one sketch
+    bins = bins.withColumns({"__above": above, "__upto": F.sum(above).over(group.orderBy("__b")), "__all": F.sum(above).over(group)})
+    of = lambda m, x: F.when(F.col("__m") == m, x)
+    # null bins come first and have reached no count
+    quartile = lambda m, i: F.pow(F.lit(GAMMA), F.min(of(m, F.when(4 * F.col("__upto") >= i * F.col("__all"), F.col("__b"))))) * (2 / (1 + GAMMA))
+    found = {f"{tag}_n_{m}": F.coalesce(F.sum(of(m, F.col("__above"))), F.lit(0)) for m in LEAST_SPREAD}
+    found |= {f"{tag}_{m}_{i}": quartile(m, i) for m in LEAST_SPREAD for i in (1, 3)}
+    return bins.groupBy(*by).agg(F.sum(of("word_length", F.col("__n"))).alias(f"{tag}_n"), *(x.alias(c) for c, x in found.items()))
 
 
 def thresholds(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Per group: the fences of each measure, from merged quantile sketches of the rows that the fixed rules let pass, and
     whether the measure adapts (else its fence is the floor)."""
-    groups, wide = _sketches(rows, by, "g"), _sketches(rows, by[:1], "l").withColumnRenamed(by[0], "__wide")
+    bins = written(sketches(rows, by), "quality-sketches")
+    wide = bins.groupBy(by[0], "__m", "__b").agg(F.sum("__n").alias("__n"))
+    groups, wide = _quartiles(bins, by, "g"), _quartiles(wide, by[:1], "l").withColumnRenamed(by[0], "__wide")
     both = groups.join(wide, groups[by[0]].eqNullSafe(F.col("__wide")))
     fences = []
     for m, (least, _, some_zero) in LEAST_SPREAD.items():
@@ -109,8 +127,7 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str,
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = features(df, key, text, (*by, *extra)).withColumn("base_failed", failed)
     rows = written(rows.withColumns(_measures()), "quality")
-    # written, as the sketches are randomised: every reader of the result gets one verdict
-    fences = written(thresholds(rows.filter(~F.col("base_failed")), by), "quality-fences")
+    fences = thresholds(rows.filter(~F.col("base_failed")), by)
     fences = fences.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in fences.columns if c not in by))
     same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in by]
     inside = F.lit(True)
