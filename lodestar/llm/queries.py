@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, langid, licenses, mixing, quality, sharding, simhash, suffix, token_counts, topk
+from lodestar.llm import bpe, langid, licenses, mixing, oracles, quality, sharding, simhash, suffix, token_counts, topk
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,18 +65,9 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
-TOPK_SQL = """
-with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(x::double * 256) as bigint)) as v, row_number() over () as r
-           from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, q.r as qr, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
-      from e q join e c on q.r <> c.r where q.vec_id % 50 = 0),
-k as (select *, row_number() over (partition by qr order by score desc, vec_id) as rank from s)
-select query_id, rank::int as rank, vec_id, score from k where rank <= 5
-"""
-
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_topk": TOPK_SQL}
+    return {"op3_suffix_dedup": oracles.SUFFIX, "op6_quality": oracles.QUALITY, "op10_topk": oracles.TOPK}
