@@ -319,7 +319,10 @@ def test_quality_has_one_verdict(spark):
 
 
 def test_quality_verdicts_are_the_same_in_any_partitioning(spark):
-    df = spark.createDataFrame([(i, " ".join("abcdefghijk"[: 1 + (i * j) % 11] + "#" * (j % 9 < i % 3) for j in range(60 + i % 50)), ("en", None)[i % 2], "st"[i % 7 == 0]) for i in range(2000)], "doc_id long, text string, lang string, source string")
+    rng = random.Random(11)
+    words = lambda i: ("".join(rng.choice("abcdefg") for _ in range(rng.randrange(3, 9 + i % 3))) + "#" * (rng.random() < i % 40 / 40) for _ in range(60 + i % 50))
+    rows = [(i, " ".join(words(i)) if i % 50 else "#x " + "#" * 400 + " ".join(words(i)), ("en", None)[i % 2], "st"[i % 7 == 0]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     verdicts = [sorted((r.doc_id, r.kept) for r in quality.judge(d).collect()) for d in (df, df.repartition(7), df.repartitionByRange(3, F.desc("doc_id")))]
     assert verdicts[0] == verdicts[1] == verdicts[2] and len({k for _, k in verdicts[0]}) == 2
 
