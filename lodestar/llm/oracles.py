@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestar.llm import quality, suffix
+from lodestar.llm import contamination, quality, suffix, variants
 
 TOPK = """
 with e as (select vec_id, list_transform(embedding, lambda x: cast(floor(x::double * 256) as bigint)) as v, row_number() over () as r
@@ -88,3 +88,64 @@ from f left join fences on f.lang is not distinct from fences.lang and f.source
 
 
 QUALITY = _quality()
+
+
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaks(span: int) -> str:
+    words = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    windows = "select {keep}, i, n, array_to_string(ws[i:i + n - 1], ' ') as w from (select {keep}, ws, n, unnest(range(1, len(ws) - n + 2)) as i from {rows})"
+    return f"""
+with d as (select doc_id, row_number() over () as r, regexp_extract_all({_lower("text")}, {words}) as ws from documents),
+b as (select item_id::varchar as item, regexp_extract_all({_lower("text")}, {words}) as ws from benchmark),
+items as (select item, ws, least(len(ws), {span}) as n from b where len(ws) > 0),
+known as (select distinct item, n, w from ({windows.format(keep="item", rows="items")})),
+sized as (select r, ws, n from d join (select distinct n from known) s on s.n <= len(d.ws)),
+hits as materialized (select r, i, n, item from ({windows.format(keep="r", rows="sized")}) join known using (n, w)),
+places as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from hits) group by r),
+found as (select r, count(distinct item) as n_items, coalesce(string_agg(distinct item, ',' order by item), '') as ids from hits group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       n_hit is not null as contaminated
+from d left join places using (r) left join found using (r)
+"""
+
+
+LEAKS = _leaks(contamination.SPAN)
+
+
+def _crc_table() -> list[int]:
+    """What the eight steps of crc32's polynomial make of each byte."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def _variants(every: int) -> str:
+    least, times = variants.LEAST_LETTERS, variants.TIMES
+    crc = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, strlen(x) // 2), lambda i: ('0x' || substring(x, 2 * i + 1, 2))::int::bigint)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295::bigint)"
+    return f"""
+with recursive crcs as materialized (select {_crc_table()}::bigint[] as t),
+d as (select coalesce(doc_id::varchar, '') as id, regexp_extract_all({_lower("text")}, '[a-z\u00C0-\u00FF]{{{least},}}') as ws from documents),
+seen as (select id, w, count(*) as n from (select id, unnest(ws) as w from d) group by id, w),
+hashed as (select w, n, {crc} as h from (select w, n, hex(encode(id || ':' || w)) as x from seen), crcs),
+kept as (select case when h % {every} = 0 then w[:h % length(w)] || w[h % length(w) + 2:] else w end as word, n from hashed),
+words as materialized (select word, sum(n)::bigint as n from kept where length(word) >= {least} group by word having sum(n) >= {variants.LEAST_COUNT}),
+cuts as materialized (select word, i, word[:i - 1] || word[i + 1:] as rest from (select word, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as materialized (
+  select distinct a.word as u, a.rest as v from cuts a join words b on a.rest = b.word
+  union select b.word, a.word from cuts a join words b on a.rest = b.word
+  union select a.word, b.word from cuts a join cuts b on a.i = b.i and a.rest = b.rest and a.word <> b.word),
+near as (select u as word, count(*) as n_near, arg_min(v, (-n, v)) as best, max(n) as best_n from pairs join words w on w.word = pairs.v group by u),
+forms as materialized (select w.word, n, coalesce(n_near, 0)::bigint as n_near, case when best_n >= {times} * n then best end as form, case when best_n >= {times} * n then best_n end as form_n from words w left join near using (word)),
+chain(word, reached, step) as (select word, word, 0 from forms union all select c.word, f.form, step + 1 from chain c join forms f on f.word = c.reached where f.form is not null),
+roots as (select word, arg_max(reached, step) as root from chain group by word)
+select word, form, root, n, n_near, form_n::bigint as form_n from forms join roots using (word)
+"""
+
+
+VARIANTS = _variants(31)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, langid, licenses, mixing, oracles, quality, sharding, simhash, suffix, token_counts, topk
+from lodestar.llm import alignment, bpe, contamination, langid, licenses, mixing, oracles, quality, sharding, simhash, suffix, token_counts, topk, variants
 from lodestar.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -65,9 +65,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(variants.word_counts(table(spark, sf_dir, "documents"), every=31))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_suffix_dedup": oracles.SUFFIX, "op6_quality": oracles.QUALITY, "op10_topk": oracles.TOPK}
+    return {"op3_suffix_dedup": oracles.SUFFIX, "op6_quality": oracles.QUALITY, "op10_topk": oracles.TOPK, "op11_decontamination": oracles.LEAKS, "op12_variants": oracles.VARIANTS}
