@@ -5,8 +5,9 @@ its prefix. Of these, dynamic programming picks the two that don't overlap and a
 edit spoils one pivot at most, so of two words within one edit, the one whose prefix ends earlier in that order
 has a pivot that stands in the other's prefix. Its place is limited too: an edit behind the first pivot leaves all
 letters up to and with it as they are, an edit before that leaves all letters from the second pivot on. So a word asks for two
-keys (its head up to the first pivot, its tail from the second one), and is found under a head and a tail for each gram of
-its prefix. Asking and being found is an equi-join on hashes of these, and each pair that meets is verified by edit distance.
+keys (its head up to the first pivot, its tail from the second one), for each length within one of its own, and is found under
+a head and a tail for each gram of its prefix. Asking and being found is an equi-join on hashes of these; pairs that meet are
+compared by bits that tell which letters stand in either an odd number of times, then verified by edit distance.
 
 Bigrams count by one of 2 ** 16 numbers, so their frequencies are a table of bounded size in any alphabet; bigrams that
 share a number count as equal, which costs a comparison and no result.
@@ -41,6 +42,8 @@ LEAST_COUNT = 2
 TIMES = 10
 #: Numbers of bigrams.
 GRAMS = 1 << 16
+#: What part of the words that agree in a stretch of letters also agree in one more, about: weighs pivots.
+LETTER = 0.3
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
 
@@ -122,25 +125,34 @@ def prefix(ranks: list[int]) -> tuple[list[int], tuple[int, int]]:
     return places, (rank, place)
 
 
-def pivots(places: list[int], costs: list[int]) -> tuple[int, int]:
-    """The two of ``places`` (in order, three at least) that don't overlap and cost least together. ``one`` is the cheapest single
-    gram that ends before the place at hand, ``two`` the cheapest pair so far."""
-    one: tuple[int, int] | None = None
-    two: tuple[int, int, int] | None = None
-    waiting: list[tuple[int, int]] = []
+def pivots(places: list[int], costs: list[int], length: int) -> tuple[int, int]:
+    """The two of ``places`` (in order, three at least) that don't overlap and cost least together: a gram costs as many words as hold it,
+    less for each letter that its key holds besides. ``one`` is the cheapest single gram that ends before the place at hand,
+    ``two`` the cheapest pair so far."""
+    one: tuple[float, int] | None = None
+    two: tuple[float, int, int] | None = None
+    waiting: list[tuple[float, int]] = []
     for i in places:
         while waiting and waiting[0][1] + 2 <= i:
             one = min(filter(None, (one, waiting.pop(0))))
         if one:
-            pair = (one[0] + costs[i], one[1], i)
+            pair = (one[0] + costs[i] * LETTER ** min(length - 2 - i, 50), one[1], i)
             two = min(two, pair) if two else pair
-        waiting.append((costs[i], i))
+        waiting.append((costs[i] * LETTER ** min(i, 50), i))
     return two[1], two[2]
 
 
+def letters(words: list[str]) -> np.ndarray:
+    """64 bits a word: which of its letters, by 64 numbers, stand in it an odd number of times. An edit changes two at most."""
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    bits = np.uint64(1) << (points * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+    ends = np.cumsum([len(w) for w in words])
+    return np.bitwise_xor.reduceat(bits, np.concatenate([[0], ends[:-1]])).view(np.int64) if words else np.zeros(0, np.int64)
+
+
 def keys(words: DataFrame, counts: np.ndarray) -> DataFrame:
-    """``key``, ``word``, ``last`` (where the prefix ends, as one number) and ``asks``: the keys that words are found under and those
-    that they ask for."""
+    """``key``, ``word``, ``letters``, ``last`` (where the prefix ends, as one number) and ``asks``: the keys that words are found under
+    and those that they ask for. Keys are hashes of a head or a tail and of the length of the word that is found there."""
     # ranks are dense and don't depend on ties in the counts
     order = np.argsort(counts, kind="stable")
     rank = np.empty(GRAMS, np.int64)
@@ -154,31 +166,33 @@ def keys(words: DataFrame, counts: np.ndarray) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.column(0).slice(start, 4096).to_pylist()
-                out: tuple[list, list, list, list] = ([], [], [], [])
+                found, asked, lasts = [], [], []
+                many = []  # keys that each word is found under
                 for w, numbers in zip(part, gram_numbers(part), strict=True):
                     places, (r, p) = prefix(ranks[numbers].tolist())
-                    one, two = pivots(places, costs[numbers].tolist())
-                    asked = [(w[: one + 2], 0), (w[two:], 1)]
-                    for asks, wanted in ((True, asked), (False, [x for i in places for x in ((w[: i + 2], 0), (w[i:], 1))])):
-                        for text, seed in wanted:
-                            out[0].append(xxh64_intdigest(text, seed))
-                            out[1].append(w)
-                            out[2].append(r << 32 | p)
-                            out[3].append(asks)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(out[0], np.uint64).view(np.int64)), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], names=["key", "word", "last", "asks"])
+                    one, two = pivots(places, costs[numbers].tolist(), len(w))
+                    for n in (len(w) - 1, len(w), len(w) + 1):
+                        asked += (xxh64_intdigest(w[: one + 2], 2 * n), xxh64_intdigest(w[two:], 2 * n + 1))
+                    for i in places:
+                        found += (xxh64_intdigest(w[: i + 2], 2 * len(w)), xxh64_intdigest(w[i:], 2 * len(w) + 1))
+                    many.append(2 * len(places))
+                    lasts.append(r << 32 | p)
+                at = np.repeat(np.arange(len(part)), 6), np.repeat(np.arange(len(part)), many)
+                for asks, key, i in ((True, asked, at[0]), (False, found, at[1])):
+                    columns = [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(part, pa.string()).take(pa.array(i)), pa.array(letters(part)[i]), pa.array(np.array(lasts, np.int64)[i]), pa.repeat(asks, len(i))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "letters", "last", "asks"])
 
-    return words.select("word").mapInArrow(run, "key long, word string, last long, asks boolean")
+    return words.select("word").mapInArrow(run, "key long, word string, letters long, last long, asks boolean")
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """``u`` < ``v``: all pairs of distinct ``word``s (of four letters or more) that differ by one inserted, deleted or replaced code
     point, once each."""
     found = written(keys(words, gram_counts(words)), "variants-keys")
-    ask = found.filter("asks").select("key", F.col("word").alias("a"), F.col("last").alias("last_a"))
-    have = found.filter(~F.col("asks")).select("key", F.col("word").alias("b"), F.col("last").alias("last_b"))
-    near = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("last_a") <= F.col("last_b")) & (F.col("a") != F.col("b"))
-    met = ask.join(have, "key").filter(near & (F.levenshtein("a", "b", 1) == 1))
-    return met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    ask, have = (found.filter(F.col("asks") == x).select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("word", "letters", "last"))) for x, t in ((True, "a"), (False, "b")))
+    near = (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2) & (F.col("last_a") <= F.col("last_b"))
+    met = ask.join(have, "key").filter(near).filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    return met.select(F.least("word_a", "word_b").alias("u"), F.greatest("word_a", "word_b").alias("v")).distinct()
 
 
 def variants(words: DataFrame, times: int = TIMES) -> DataFrame:
