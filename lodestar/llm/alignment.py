@@ -23,10 +23,13 @@ held in arrays of some 100 bytes a token.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 import os
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -38,14 +41,14 @@ from lodestar.llm.bpe import byte_symbols
 from lodestar.llm.common import map_texts, written
 
 #: Chunks whose tokens a Python worker keeps.
-CACHED = 200_000
+CACHED = 300_000
 #: Bytes of text that are aligned at a time.
 BATCH_BYTES = 500_000
 #: Pairs of ids that are broadcast with their counts (32 bytes each): the most frequent ones.
 BROADCAST = 500_000
 #: A single space between characters that no version of Unicode takes for white space.
-CUT = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
-BEYOND = re.compile("[^\u0001-ſ]")
+CUT = re.compile("(?<=[^\\s\u180e\u200b\ufeff]) (?=[^\\s\u180e\u200b\ufeff])")
+BEYOND = re.compile("[^\u0001-\u017f]")
 
 
 class Tokenizer:
@@ -54,21 +57,32 @@ class Tokenizer:
     def __init__(self, tokens: list[bytes], encode: Callable[[list[str]], list[list[int]]]):
         self.tokens, self.encode = tokens, encode
         self.sizes = np.array([len(t) for t in tokens], np.int64)
-        self.cuts = not any(b" " in t.lstrip(b" ") for t in tokens)
-        self.known: dict[str, np.ndarray] = {}
+        self.cuts = not any(re.search(r"\S ", t.decode(errors="replace")) for t in tokens)
+        self.known: dict[str, bytes] = {}
+        #: Chunks whose tokens don't give them back.
+        self.odd: set[str] = set()
 
-    def ids(self, chunks: list[list[str]]) -> list[np.ndarray]:
-        """The ids of texts, each given by its chunks."""
+    def whole(self, text: str, ids: Iterable[int]) -> bool:
+        """Whether the tokens give back a space and the text."""
+        return b"".join(map(self.tokens.__getitem__, ids)) == f" {text}".encode()
+
+    def ids(self, texts: list[str | None], chunks: list[list[str]]) -> tuple[list[np.ndarray], list[bool]]:
+        """The ids of texts, each given with its chunks, and whether they give back the text."""
         if len(self.known) > CACHED:
             self.known.clear()
+            self.odd.clear()
         new = list({c for cs in chunks for c in cs}.difference(self.known))
-        self.known.update(zip(new, (np.array(x, np.int64) for x in self.encode(new)), strict=True))
+        for c, ids in zip(new, self.encode(new), strict=True):
+            self.known[c] = array("i", ids).tobytes()
+            if not self.whole(c, ids):
+                self.odd.add(c)
         known = self.known.__getitem__
-        out = [np.concatenate(list(map(known, cs))) if cs else np.zeros(0, np.int64) for cs in chunks]
+        out = [np.frombuffer(b"".join(map(known, cs)), np.int32) for cs in chunks]
+        good = [self.odd.isdisjoint(cs) or self.whole(t, ids.tolist()) for t, cs, ids in zip(texts, chunks, out, strict=True)]
         for c in new:  # whole texts aren't kept
             if len(c) > 100:
                 del self.known[c]
-        return out
+        return out, good
 
 
 def byte_level(path: str) -> Tokenizer:
@@ -106,17 +120,14 @@ def _split(text: str | None, cuts: bool) -> list[str]:
 def tokens_of(texts: list[str | None], a: Tokenizer, b: Tokenizer) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The ids of both sides; none where either doesn't give back the text."""
     chunks = [_split(t, a.cuts and b.cuts) for t in texts]
-    both = a.ids(chunks), b.ids(chunks)
-    for i, t in enumerate(texts):
-        whole = f" {t}".encode() if t else b""
-        if any(b"".join(map(side.tokens.__getitem__, ids[i].tolist())) != whole for side, ids in zip((a, b), both, strict=True)):
-            both[0][i] = both[1][i] = np.zeros(0, np.int64)
-    return both
+    (ids_a, good_a), (ids_b, good_b) = a.ids(texts, chunks), b.ids(texts, chunks)
+    good = list(map(operator.and_, good_a, good_b))
+    return tuple([x if ok else np.zeros(0, np.int32) for x, ok in zip(ids, good, strict=True)] for ids in (ids_a, ids_b))
 
 
 def _side(ids: list[np.ndarray], sizes: np.ndarray, name: str) -> pd.DataFrame:
     """A row a token: its document, its id, its start among the bytes of all documents of the batch, its end, its place."""
-    flat = np.concatenate([*ids, np.zeros(0, np.int64)])
+    flat = np.concatenate([*ids, np.zeros(0, np.int64)])  # long integers
     end = np.cumsum(sizes[flat])
     return pd.DataFrame({"doc": np.repeat(np.arange(len(ids)), [len(x) for x in ids]), "at": end - sizes[flat], f"end_{name}": end, name: flat, f"i_{name}": np.arange(len(flat))})
 
@@ -130,6 +141,12 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([left["i_a"], right["i_a"]]).astype(np.int64), np.concatenate([left["i_b"], right["i_b"]]).astype(np.int64)
 
 
+@functools.cache
+def _told(n: int) -> list[bytes]:
+    """How each of ``n`` ids reads before a comma, a bar, a semicolon and at the end."""
+    return [b"%d%s" % (i, mark) for i in range(n) for mark in (b",", b"|", b";", b"")]
+
+
 def groups_of(a: pd.DataFrame, b: pd.DataFrame, n: int) -> tuple[np.ndarray, list[bytes]]:
     """For each of ``n`` documents, the number of its groups and their text ``a1,a2|b1;...``."""
     shared = np.intersect1d(a["end_a"], b["end_b"], assume_unique=True)
@@ -142,7 +159,7 @@ def groups_of(a: pd.DataFrame, b: pd.DataFrame, n: int) -> tuple[np.ndarray, lis
     after = np.full(len(ids), 3)  # what follows a token: a comma, a bar, a semicolon, nothing
     same = group[1:] == group[:-1]
     after[:-1] = np.where(same, side[1:] != side[:-1], np.where(doc[1:] == doc[:-1], 2, 3))
-    text = np.char.add(ids.astype("S10"), np.array([b",", b"|", b";", b""])[after]).tolist() if len(ids) else []
+    text = list(map(_told(1 << int(ids.max()).bit_length()).__getitem__, (4 * ids + after).tolist())) if len(ids) else []
     cuts = np.cumsum(np.bincount(doc, minlength=n)).tolist()
     last = np.flatnonzero(np.diff(group, append=-1))
     return np.bincount(doc[last], minlength=n), [b"".join(text[x:y]) for x, y in zip([0, *cuts], cuts, strict=False)]
