@@ -17,7 +17,7 @@ forms are followed by doubling: a chain is no longer than the logarithm of the l
 
 Edge cases: null and empty texts have no words; a null key reads as the empty string where places are drawn by key; an empty
 table gives no rows; repeated rows count each time; other columns aren't read, whatever their names. Words may be
-of any length: heads and tails are hashed in one walk, and the edit distance stops at one.
+of any length: one that is longer than ``LONG`` is compared in one walk.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ TIMES = 10
 GRAMS = 1 << 16
 #: What part of the words that agree in a stretch of letters also agree in one more, about: weighs pivots.
 LETTER = 0.3
+#: Letters of the longest words whose edit distance is a built-in function, which takes time by the square of them.
+LONG = 200
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
 
@@ -185,13 +187,29 @@ def keys(words: DataFrame, counts: np.ndarray) -> DataFrame:
     return words.select("word").mapInArrow(run, "key long, word string, letters long, last long, asks boolean")
 
 
+def _one_edit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of words that one edit parts: what follows the first difference is equal but for it."""
+
+    def parted(a: str, b: str) -> bool:
+        x, y = (np.frombuffer(w.encode("utf-32-le", "surrogatepass"), "<u4") for w in (a, b))
+        n = min(len(x), len(y))
+        other = np.flatnonzero(x[:n] != y[:n])
+        i = int(other[0]) if len(other) else n
+        return a != b and np.array_equal(x[i + (len(x) >= len(y)) :], y[i + (len(y) >= len(x)) :])
+
+    for batch in batches:
+        yield batch.filter(pa.array([parted(a, b) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)], pa.bool_()))
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``u`` < ``v``: all pairs of distinct ``word``s (of four letters or more) that differ by one inserted, deleted or replaced code
     point, once each."""
     found = written(keys(words, gram_counts(words)), "variants-keys")
     ask, have = (found.filter(F.col("asks") == x).select("key", *(F.col(c).alias(f"{c}_{t}") for c in ("word", "letters", "last"))) for x, t in ((True, "a"), (False, "b")))
     near = (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= 2) & (F.col("last_a") <= F.col("last_b"))
-    met = ask.join(have, "key").filter(near).filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    short = ask.filter(F.length("word_a") <= LONG).join(have, "key").filter(near).select("word_a", "word_b").filter(F.levenshtein("word_a", "word_b", 1) == 1)
+    long = ask.filter(F.length("word_a") > LONG).join(have.filter(F.length("word_b") >= LONG), "key").filter(near).select("word_a", "word_b")
+    met = short.union(long.mapInArrow(_one_edit, "word_a string, word_b string"))
     return met.select(F.least("word_a", "word_b").alias("u"), F.greatest("word_a", "word_b").alias("v")).distinct()
 
 

@@ -57,7 +57,7 @@ def test_all_pairs(spark):
 
 def test_chains_ties_and_long_words(spark):
     counts = {"abcdefgh": 10**6, "abcdefgx": 10**5, "abcdefyx": 10**4, "abcdzzyx": 1, "abcdzfyx": 1000, "lonelyword": 5, "tietietie": 1, "tietietia": 10, "tietietib": 10}
-    counts |= {"q" * 600: 50, "q" * 599: 5, "q" * 300 + "r" + "q" * 300: 3}
+    counts |= {"q" * 600: 50, "q" * 599: 5, "q" * 300 + "r" + "q" * 300: 3, "p" * 200: 7, "p" * 201: 70, "p" * 202: 700, "p" * 100 + "r" + "p" * 100: 1}
     assert told(spark, counts) == plain(counts)
     assert dict((r[0], r[2]) for r in told(spark, counts))["abcdzzyx"] == "abcdefgh"
 
@@ -89,6 +89,11 @@ def test_counts(spark):
     assert variants.word_counts(df.limit(0), every=3).collect() == []
 
 
+def test_very_long_words(spark):
+    n = 300_000
+    assert [r[3:5] for r in told(spark, {"q" * n: 50, "q" * (n - 1): 5, "q" * 1000 + "r" + "q" * (n - 1001): 3, "r" * n: 1})] == [(5, 2), (50, 2), (3, 2), (1, 0)]
+
+
 def test_empty_vocabulary(spark):
     assert told(spark, {"oneword": 3}) == [("oneword", None, "oneword", 3, 0, None)]
     assert variants.variants(spark.createDataFrame([], "word string, n long")).collect() == []
