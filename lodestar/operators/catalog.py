@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# fixed values: layouts that don't render as a normal single-face card
+# fixed values: layouts that the first rule calls special
 SPECIAL_LAYOUTS = ["split", "flip", "saga", "class", "planar", "scheme", "leveler", "meld", "adventure", "mutate", "prototype", "case", "battle", "transform", "modal_dfc", "reversible_card", "double_faced_token", "art_series", "host", "augment"]
 # fixed values: plain layouts, and the effects that mean a full or an alternative art
 PLAIN_LAYOUTS = ["normal", "token", "emblem"]

@@ -13,8 +13,12 @@ def report(df: DataFrame, by: list[str], hits: dict[str, Column], value: str) ->
     return df.cube(*by).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), *shares, F.round(F.coalesce(F.avg(value), F.lit(0.0)), 4).alias("mean_value"))
 
 
-def lists(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """The sorted values of each group as an array; for groups that are small by nature (``sampling.numbered`` has no such limit)."""
+def lists(df: DataFrame, by: list[str], value: str, out: str, most: int = 1_000_000) -> DataFrame:
+    """The sorted values of each group as an array, for groups of ``most`` values at most: a first pass counts them, and a larger group is
+    an error (``sampling.numbered`` has no such limit)."""
+    largest = df.groupBy(*by).agg(F.count(value).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) > most:
+        raise ValueError(f"a group has {largest} values, more than {most}")
     return df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias(out))
 
 

@@ -76,13 +76,15 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, by: str = "hash", query: st
 
     ``by`` hash: bits that differ in all hashes of the arrays ``query_hash`` and ``hash`` together. ``by`` cosine: ``dist`` is less
     the cosine of ``query_embedding`` and ``embedding`` at 6 places. ``differ``: columns in which a pair must not agree.
-    ``sims``: the cosine too, of the rows that are found. Rows and queries with null in a hash or vector aren't told apart from
-    others; filter them first."""
+    ``sims``: the cosine too, of the rows that are found. Rows and queries without a hash or vector, or with a null in it, take no part."""
     vectors = {"hash"} if by == "hash" else set()
     vectors |= {"embedding"} if by == "cosine" or sims else set()
     mine, theirs = [x for x, _ in differ], [y for _, y in differ]
     q = queries.select(*dict.fromkeys([query, *mine, *(c for c in keep if c in queries.columns), *(f"query_{c}" for c in sorted(vectors))]))
     r = rows.select(*dict.fromkeys([row, *theirs, *(c for c in keep if c in rows.columns), *sorted(vectors)]))
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    for c in sorted(vectors):
+        q, r = q.filter(whole(f"query_{c}")), r.filter(whole(c))
     sources = {query: q, row: r} | {c: q if c in q.columns else r for c in keep}
     kinds = {c: next(t for n, t in df.dtypes if n == c) for c, df in sources.items()} | {"dist": "int" if by == "hash" else "double"} | ({"sim": "double"} if sims else {})
     names = [*sources]

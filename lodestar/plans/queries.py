@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions import geometry as G
+from lodestar.functions import images as I
+from lodestar.functions import models as M
+from lodestar.functions import titles as T
 from lodestar.functions import vectors as V
 from lodestar.operators import catalog as C
 from lodestar.operators import evaluate as E
 from lodestar.operators import retrieval as R
 from lodestar.operators import sampling as S
+from lodestar.operators import temporal as W
 from lodestar.sources.tables import table
+from lodestar.streaming import sessions as X
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -544,6 +549,137 @@ def clean_bypass(s, d):
     return part.select("p_partkey", G.clean_card(F.col("w"), F.col("h")).alias("clean"))
 
 
+# ---- rasters, candidates, classes: a text's bytes play an image, a byte a pixel ----
+
+BYTES = """d as materialized (select doc_id, row_number() over () as r, hex(encode(text)) as h from documents),
+s as (select r, ceil(sqrt((strlen(h) // 2)::double))::bigint as w, ceil((strlen(h) // 2) / ceil(sqrt((strlen(h) // 2)::double)))::bigint as hh, regexp_extract_all(h, '..') as p from d where strlen(h) > 0),
+b as materialized (select r, w, hh, (i - 1) // w as y, (i - 1) % w as x, ('0x' || v)::int as v from (select r, w, hh, unnest(p) as v, generate_subscripts(p, 1) as i from s))"""
+
+
+def _rasters(s: SparkSession, d: str) -> DataFrame:
+    data = F.col("text").cast("binary")
+    return table(s, d, "documents").select("doc_id", data.alias("data"), I.square(data).alias("width"))
+
+
+def _phash_sql() -> str:
+    part = lambda p, n: f"least(({p} + 1) * {n} / {I.REDUCED}::double, {{0}} + 1) - greatest({p} * {n} / {I.REDUCED}::double, {{0}})"
+    cells = lambda x, n: f"unnest(range(({x} * {I.REDUCED}) // {n}, (({x} + 1) * {I.REDUCED} - 1) // {n} + 1))"
+    wave = lambda k, x: f"(case when {k} = 0 then sqrt(1 / {I.REDUCED}::double) else sqrt(2 / {I.REDUCED}::double) * cos(pi() * (2 * {x} + 1) * {k} / {2 * I.REDUCED}::double) end)"
+    return f"""with {BYTES},
+across as (select r, w, hh, y, c, sum(v * ({part("c", "w").format("x")})) as v from (select *, {cells("x", "w")} as c from b) group by all),
+cells as (select r, e, c, sum(v * ({part("e", "hh").format("y")})) * {I.REDUCED}::double * {I.REDUCED} / (any_value(w) * any_value(hh)) as v from (select *, {cells("y", "hh")} as e from across) group by r, e, c),
+half as (select r, e, k, sum(v * {wave("k", "c")}) as v from cells, range({I.BLOCK}) t(k) group by r, e, k),
+coefs as (select r, j, k, round(sum(v * {wave("j", "e")}), 4) + 0.0 as v from half, range({I.BLOCK}) t(j) group by r, j, k),
+blocks as (select r, list(v order by j, k) as l from coefs group by r),
+bits as (select r, list_transform(l, lambda x: (x > m)::hugeint) as bits from (select r, l, list_sort(l[2:64])[32] as m from blocks)),
+p as (select r, list_reduce(bits, lambda a, b: a * 2 + b) as u from bits)
+select doc_id, {FOLD} as hash from d left join p using (r)"""
+
+
+@_query(_phash_sql())
+def phash_dct(s, d):
+    return I.low_frequencies(_rasters(s, d), "data", "width").select("doc_id", V.median_hash(F.col("block")).alias("hash"))
+
+
+_REGIONS = {"title": lambda h, w: I.region(h, w, I.TITLE), "type": lambda h, w: I.region(h, w, I.TYPE_LINE), "whole": I.inset}
+
+
+def _regions_sql(names: list[str], select: str) -> str:
+    inside, columns = {}, []
+    for n, shares in (("title", I.TITLE), ("type", I.TYPE_LINE)):
+        edges = [f"floor({side} * {share}::double)" for side, share in zip(("hh", "hh", "w", "w"), shares, strict=True)]
+        inside[n] = "y >= {} and y < {} and x >= {} and x < {}".format(*edges)
+    inside["whole"] = "y >= floor(hh * 0.03::double) and y < hh - floor(hh * 0.03::double) and x >= floor(w * 0.03::double) and x < w - floor(w * 0.03::double)"
+    for n in names:
+        f = f"filter ({inside[n]})"
+        columns.append(f"count(*) {f} as {n}_n, round(sum(v) {f} / (count(*) {f})::double, 6) as {n}_mean, case when count(*) {f} > 0 then round(sqrt(greatest(0, sum(v * v) {f} / (count(*) {f})::double - pow(sum(v) {f} / (count(*) {f})::double, 2))), 6) end as {n}_std")
+    # what the last row lacks is 0
+    full = "f as (select r, w, hh, y, x, v from b union all select r, w, hh, hh - 1, x, 0 from (select r, w, hh, unnest(range(max(x) + 1, w)) as x from b where y = hh - 1 group by r, w, hh))"
+    return f"with {BYTES}, {full}, g as (select r, {', '.join(columns)} from f group by r) {select}"
+
+
+@_query(_regions_sql(["title", "type", "whole"], "select doc_id, title_n, title_mean, title_std, type_n, type_mean, type_std, whole_n, whole_mean, whole_std from d left join g using (r)"))
+def region_stats(s, d):
+    found = I.region_stats(_rasters(s, d), "data", "width", _REGIONS)
+    return found.select("doc_id", *(F.round(c, 6).alias(c) if not c.endswith("_n") else c for c in found.columns if c != "doc_id"))
+
+
+@_query(_regions_sql(["title", "type"], f"select doc_id, case when title_std < {I.PLAIN_STD} and type_std < {I.PLAIN_STD} then 'modern' when title_std > {I.PICTURE_STD} and type_std > {I.PICTURE_STD} then 'fullart' end as from_image, coalesce(from_image, 'modern') as frame_class from d left join g using (r)"))
+def frame_from_image(s, d):
+    found = I.region_stats(_rasters(s, d), "data", "width", {n: _REGIONS[n] for n in ("title", "type")})
+    found = found.withColumn("from_image", I.frame_of(F.round("title_std", 6), F.round("type_std", 6)))
+    none = {c: F.lit(None).cast(t) for c, t in (("layout", "string"), ("full_art", "boolean"), ("border_color", "string"), ("frame_effects", "array<string>"))}
+    return found.withColumns(none).select("doc_id", "from_image", C.frame_class(F.col("from_image")).alias("frame_class"))
+
+
+@_query("""with q as (select vec_id, embedding as e, 1 + embedding[1]::double as x1, 1 + embedding[2]::double as y1, 6 + embedding[3]::double as x2, 1 + embedding[4]::double as y2,
+  6 + embedding[5]::double as x3, 6 + embedding[6]::double as y3, 1 + embedding[7]::double as x4, 6 + embedding[8]::double as y4 from embeddings),
+c as (select *, x1 - x2 + x3 - x4 as sx, y1 - y2 + y3 - y4 as sy, x2 - x3 as dx1, x4 - x3 as dx2, y2 - y3 as dy1, y4 - y3 as dy2 from q),
+g as (select *, (sx * dy2 - dx2 * sy) / (dx1 * dy2 - dx2 * dy1) as g, (dx1 * sy - sx * dy1) / (dx1 * dy2 - dx2 * dy1) as h from c),
+t as (select *, i % 5 / 4.0::double as u, i // 5 / 4.0::double as v from g, range(25) t(i)),
+p as (select vec_id, e, i, ((x2 - x1 + g * x2) * u + (x4 - x1 + h * x4) * v + x1) / (g * u + h * v + 1) as x, ((y2 - y1 + g * y2) * u + (y4 - y1 + h * y4) * v + y1) / (g * u + h * v + 1) as y from t),
+f as (select *, floor(x)::int as j, floor(y)::int as k from p),
+s as (select vec_id, i, list_sum(list_transform([[0, 0], [0, 1], [1, 0], [1, 1]], lambda o: case when k + o[1] between 0 and 7 and j + o[2] between 0 and 7 then e[8 * (k + o[1]) + j + o[2] + 1]::double else 0 end
+  * (case when o[1] = 1 then y - k else 1 - (y - k) end) * (case when o[2] = 1 then x - j else 1 - (x - j) end))) as value from f)
+select vec_id, i::int as place, round(value, 6) + 0.0 as value from s""")
+def perspective_rectify(s, d):
+    at = lambda i, base: base + F.get("embedding", F.lit(i)).cast("double")
+    rows = table(s, d, "embeddings", ["vec_id", "embedding"]).withColumn("corners", F.array(*(at(i, b) for i, b in enumerate((1, 1, 6, 1, 6, 6, 1, 6)))))
+    found = I.rectified(rows, "embedding", 8, "corners", (5, 5))
+    return found.select("vec_id", F.posexplode("rectified").alias("place", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@_query(f"""with w as (select item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') as ws from benchmark),
+runs as (select item_id, i, n, array_to_string(ws[i:i + n - 1], ' ') as candidate from (select item_id, ws, i, unnest(range(1, least({T.WORDS}, len(ws) - i + 1) + 1)) as n from (select item_id, ws, unnest(range(1, len(ws) + 1)) as i from w))),
+firsts as (select item_id, candidate, min((i, -n)) as first from runs group by all)
+select item_id, (row_number() over (partition by item_id order by first))::int as place, candidate from firsts""")
+def title_candidates(s, d):
+    return T.candidates(table(s, d, "benchmark", ["item_id", "text"]), "item_id", "text")
+
+
+@_query("""with e as (select vec_id, label, embedding, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as i from embeddings),
+m as (select label, list(m order by i) as w from (select label, i, avg(x) as m from e where label is not null group by 1, 2) group by 1),
+s as (select vec_id, m.label, 20 * (list_dot_product(embedding::double[], w) - list_dot_product(w, w) / 2) as score from embeddings, m),
+r as (select vec_id, label, score, row_number() over (partition by vec_id order by score desc, label) as k, max(score) over (partition by vec_id) as top from s)
+select vec_id, max(label) filter (k = 1) as class, round(1 / sum(exp(score - top)), 6) as confidence from r group by vec_id""")
+def class_prediction(s, d):
+    rows = table(s, d, "embeddings", ["vec_id", "label", "embedding"])
+    found = M.predicted(rows.select("vec_id", "embedding"), "embedding", *M.class_means(rows, "label", "embedding"), scale=20.0)
+    return found.select("vec_id", "class", F.round("confidence", 6).alias("confidence"))
+
+
+
+# ---- joins by time ----
+
+
+@_query("""select l.event_id, l.user_id, r.event_id as as_of_event_id, r.ts as as_of_ts, r.value as as_of_value
+from (select * from events where event_type <> 'view') l asof left join (select * from events where event_type = 'view') r on l.user_id = r.user_id and l.ts > r.ts""")
+def as_of_view(s, d):
+    e = table(s, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
+    found = W.as_of(e.filter("event_type <> 'view'"), e.filter("event_type = 'view'"), "user_id", "ts", "event_id", ["value"])
+    return found.select("event_id", "user_id", "as_of_event_id", "as_of_ts", "as_of_value")
+
+
+@_query("""with s as (select l_partkey, l_orderkey, l_linenumber, l_returnflag = 'R' as back, o_orderdate as a, l_shipdate as b from lineitem join orders on l_orderkey = o_orderkey)
+select x.l_partkey as part, x.l_orderkey as order_a, x.l_linenumber as line_a, y.l_orderkey as order_b, y.l_linenumber as line_b
+from s x join s y on x.l_partkey = y.l_partkey and x.back and not y.back and x.a <= y.b and y.a <= x.b where x.a <= x.b and y.a <= y.b""")
+def overlapping_spans(s, d):
+    lines = table(s, d, "lineitem", ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate"])
+    spans = lines.join(table(s, d, "orders", ["o_orderkey", "o_orderdate"]), F.col("l_orderkey") == F.col("o_orderkey"))
+    spans = spans.select(F.col("l_partkey").alias("part"), F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"), "l_returnflag", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("from"), F.unix_seconds(F.col("l_shipdate").cast("timestamp")).alias("to"))
+    side = lambda df, t: df.select("part", *(F.col(c).alias(f"{c}_{t}") for c in ("order", "line", "from", "to")))
+    a, b = side(spans.filter("l_returnflag = 'R'"), "a"), side(spans.filter("l_returnflag <> 'R'"), "b")
+    return W.overlapping(a, b, "part", F.col("from_a"), F.col("to_a"), F.col("from_b"), F.col("to_b")).select("part", "order_a", "line_a", "order_b", "line_b")
+
+
+@_query("""with g as (select *, coalesce(ts - lag(ts) over w > interval 30 minutes, true)::int as new from events window w as (partition by user_id order by ts)),
+n as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
+select user_id, min(ts) as first, max(ts) as last, count(*) as n, round(sum(value), 4) as total from n group by user_id, k""")
+def user_sessions(s, d):
+    return X.sessions(table(s, d, "events", ["user_id", "ts", "value"]), "user_id", "ts", "value").withColumn("total", F.round("total", 4))
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_Q)
 

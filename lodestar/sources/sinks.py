@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import unit
@@ -43,14 +43,21 @@ def write_embeddings(df: DataFrame, path: str, vector: str = "embedding") -> Non
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Write ``df`` as the table at ``path`` in place of what is there, which ``df`` may read: to a new folder first, then swapped. If
-    writing fails, the old table stays."""
+    """Write ``df`` as the table at ``path`` in place of what is there, which ``df`` may read: to a new folder first, then the old one is put aside,
+    the new one renamed and the old one deleted. If writing or renaming fails, the old table stays; if the driver is lost in between, it
+    stands beside the path."""
     spark, new = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
     df.write.parquet(new)
-    (old, fs), (made, _) = _file_system(spark, path), _file_system(spark, new)
-    fs.delete(old, True)
+    (old, fs), (made, _), (aside, _) = (_file_system(spark, x) for x in (path, new, f"{new}-old"))
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{path} couldn't be put aside")
     if not fs.rename(made, old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"{new} couldn't be renamed to {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -61,7 +68,8 @@ def write_json(df: DataFrame, path: str) -> None:
 def nested(cells: DataFrame, samples: DataFrame, by: list[str], n: int = 20) -> DataFrame:
     """A row for each cell of a report: ``by``, ``result`` (its other columns) and ``samples``, its first ``n`` sample rows by their columns' order."""
     rest = [c for c in samples.columns if c not in by]
-    few = samples.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(F.struct(*rest))), 1, n).alias("samples"))
+    first = samples.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(F.struct(*rest)))).filter(F.col("__r") <= n)
+    few = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("samples"))
     result = F.struct(*(c for c in cells.columns if c not in by)).alias("result")
     none = F.array().cast(few.schema["samples"].dataType)
     return cells.select(*by, result).join(few, by, "left").select(*by, "result", F.coalesce("samples", none).alias("samples"))
