@@ -74,7 +74,8 @@ def gram_counts(text: str) -> np.ndarray:
 
 
 def fit(documents: DataFrame, lang: str = "lang", text: str = "text", rows: int = FIT_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and log-likelihoods (language, bucket): BUCKETS numbers a language come to the driver."""
+    """Languages and log-likelihoods (language, bucket): BUCKETS numbers a language come to the driver. The LANGUAGES languages with the
+    most different texts are told apart; rarer ones aren't learnt."""
     known = documents.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     keys = written(known.select("lang", "h").distinct(), "langid-texts")
     sizes = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
@@ -103,10 +104,12 @@ def fit(documents: DataFrame, lang: str = "lang", text: str = "text", rows: int
 def text_scores(df: DataFrame, keep: list[str], text: str, names: list[str], table: np.ndarray, is_page: bool = True) -> DataFrame:
     """``keep`` and ``ll``: tempered log-likelihoods of the text, one a language."""
 
+    held = df.sparkSession.sparkContext.broadcast(table)
+
     def start() -> Callable[[list], dict[str, list]]:
         def one(t: str | None) -> list[float]:
             c = gram_counts(visible(t) if is_page else t or "")
-            return (table @ c * (min(1.0, EFFECTIVE / n) if (n := c.sum()) else 0.0)).tolist()
+            return (held.value @ c * (min(1.0, EFFECTIVE / n) if (n := c.sum()) else 0.0)).tolist()
 
         return lambda texts: {"ll": [one(t) for t in texts]}
 
@@ -118,7 +121,10 @@ def _argmax(values: Column, names: list[str]) -> Column:
 
 
 def identify(pages: DataFrame, names: list[str], table: np.ndarray, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Per page: key, lang, probability, text_lang, declared, suffix."""
+    """Per page: key, lang, probability, text_lang, declared, suffix. Without languages there are no rows."""
+    if not names:
+        nothing = {"lang": "string", "probability": "double", "text_lang": "string", "declared": "string", "suffix": "string"}
+        return pages.filter(F.lit(False)).select(key, *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce(F.col(html), F.lit("")), r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
     rows = pages.select(F.col(key), F.col(html).alias("__html"), host.alias("host"), declared.alias("declared"))

@@ -236,6 +236,14 @@ def test_quality_fences_follow_the_group(spark):
     assert (got[9001].kept, got[9002].kept, got[9003].kept, got[9004].kept, got[9005].kept) == (False, True, False, True, False)
 
 
+def test_langid_without_labelled_documents(spark):
+    names, model = langid.fit(spark.createDataFrame([(None, "text"), ("en", None)], "lang string, text string"))
+    pages = spark.createDataFrame([(1, "http://a.de/", "<html lang=de>")], "page_id long, url string, html string")
+    found = langid.identify(pages, names, model)
+    assert names == [] and found.collect() == []
+    assert found.dtypes == [("page_id", "bigint"), ("lang", "string"), ("probability", "double"), ("text_lang", "string"), ("declared", "string"), ("suffix", "string")]
+
+
 def test_langid_fusion_equals_brute_force(spark):
     names = ["aa", "bb", "cc"]
     rng = np.random.default_rng(2)
