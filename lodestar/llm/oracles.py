@@ -40,26 +40,37 @@ from d left join sums using (r) left join short using (r)
 
 def _quality() -> str:
     word = r"[^\x20\x09-\x0D]"
-    upto = "sum(n) filter (b is not null) over (partition by {by}, m order by b nulls first)"
-    count = "sum(n) filter (b is not null) over (partition by {by}, m)"
     middle = quality.GAMMA, 2 / (1 + quality.GAMMA)
     value = "pow({0!r}, min(b) filter (m = '{m}' and b is not null and 4 * upto >= {i} * total)) * {1!r}"
+    end = "min(case when b is null then 0.0 else pow({0!r}, b - {less}) end) filter (m = '{m}' and 100 * place > {of})"
+    ends = {0: f"{100 - quality.TOP} * everything + 100", 4: f"{quality.TOP} * everything - 100"}
 
     def quartiles(tag: str, by: str, bins: str) -> str:
-        found = [f"coalesce(sum(n) filter (m = '{m}' and b is not null), 0) as {tag}_n_{m}" for m in quality.LEAST_SPREAD]
-        found += [f"{value.format(*middle, m=m, i=i)} as {tag}_{m}_{i}" for m in quality.LEAST_SPREAD for i in (1, 3)]
-        return f"select {by}, sum(n) filter (m = 'word_length') as {tag}_n, {', '.join(found)} from (select *, {upto.format(by=by)} as upto, {count.format(by=by)} as total from {bins}) group by {by}"
-
-    bins = " union all ".join(f"select lang, source, '{m}' as m, case when {m} > 0 then ceil(ln({m}) / ln({quality.GAMMA!r}))::int end as b from f where not base_failed" for m in quality.LEAST_SPREAD)
+        found = [f"coalesce(sum(n) filter (m = '{m}' and b is not null), 0) as {tag}_n_{m}" for m in quality.MEASURES]
+        found += [f"{value.format(*middle, m=m, i=i)} as {tag}_{m}_{i}" for m in quality.MEASURES for i in (1, 3)]
+        found += [f"{end.format(quality.GAMMA, m=m, of=ends[i], less=int(i == 0))} as {tag}_{m}_{i}" for m in quality.MEASURES for i in (0, 4)]
+        each = f"partition by {by}m"
+        sums = f"sum(n) filter (b is not null) over ({each} order by b nulls first) as upto, sum(n) filter (b is not null) over ({each}) as total"
+        sums += f", sum(n) over ({each} order by b nulls first) as place, sum(n) over ({each}) as everything"
+        group = f"group by {by.rstrip(', ')}" if by else ""
+        return f"select {by} coalesce(sum(n) filter (m = 'word_length'), 0) as {tag}_n, {', '.join(found)} from (select *, {sums} from {bins}) {group}"
+
+    def shrunk(m: str, i: int, *tags: str) -> str:
+        own = f"{tags[0]}_{m}_{i}"
+        if len(tags) == 1:
+            return own
+        n, wider = f"{tags[0]}_n_{m}" if i in (1, 3) else f"{tags[0]}_n", shrunk(m, i, *tags[1:])
+        return f"coalesce(({n} * {own} + {quality.PRIOR} * {wider}) / ({n} + {quality.PRIOR}), {wider})"
+
+    bins = " union all ".join(f"select lang, source, '{m}' as m, case when {m} > 0 then ceil(ln({m}) / ln({quality.GAMMA!r}))::int end as b from f where not base_failed" for m in quality.MEASURES)
     fences, inside = [], ["not base_failed"]
-    for m, (least, below, some_zero) in quality.LEAST_SPREAD.items():
-        q = [f"((g_n_{m} * coalesce(g_{m}_{i}, 0) + {quality.PRIOR} * l_{m}_{i}) / (g_n_{m} + {quality.PRIOR}))" for i in (1, 3)]
-        share = f"(g_n_{m} + {quality.PRIOR} * l_n_{m} / l_n) / (g_n + {quality.PRIOR})"
-        adapts = f"coalesce({q[1]} > {q[0]} and {share} >= {quality.LEAST_SHARE!r}, false)"
-        plain = ["0.0" if some_zero else f"coalesce({x}, 0.0)" for x in q]
-        for name, sign, k in (("low", "-", 0), ("high", "+", 1)):
-            fences.append(f"case when {adapts} then {q[k]} {sign} {quality.SPREADS!r} * ({q[1]} - {q[0]}) else {plain[k]} {sign} {quality.SPREADS!r} * {least!r} end as {m}_{name}")
-        inside.append(f"coalesce({m} <= {m}_high, true)")
+    for m, below in quality.MEASURES.items():
+        low, q1, q3, high = (shrunk(m, i, "g", "l", "c") for i in (0, 1, 3, 4))
+        scaled = f"coalesce({q3} > {q1} and (g_n_{m} + {quality.PRIOR} * l_n_{m} / l_n) / (g_n + {quality.PRIOR}) >= {quality.LEAST_SHARE!r}, false)"
+        for name, sign, q, plain in (("low", "-", q1, low), ("high", "+", q3, high)):
+            fences.append(f"case when {scaled} then {q} {sign} {quality.SPREADS!r} * ({q3} - {q1}) else {plain} end as {m}_{name}")
+        once = " or {} <= {}".format(*quality.ONCE[m]) if m in quality.ONCE else ""
+        inside.append(f"(coalesce({m} <= {m}_high, true){once})")
         if below:
             inside.append(f"coalesce({m} >= {m}_low, true)")
     return f"""
@@ -79,9 +90,11 @@ f as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > 50 * n_w
       from c),
 bins as (select lang, source, m, b, count(*) as n from ({bins}) group by all),
 wide as (select lang, m, b, sum(n) as n from bins group by all),
-g as ({quartiles("g", "lang, source", "bins")}),
-l as ({quartiles("l", "lang", "wide")}),
-fences as (select g.lang, g.source, {", ".join(fences)} from g join l on g.lang is not distinct from l.lang)
+all_bins as (select m, b, sum(n) as n from wide group by all),
+g as ({quartiles("g", "lang, source, ", "bins")}),
+l as ({quartiles("l", "lang, ", "wide")}),
+c_row as ({quartiles("c", "", "all_bins")}),
+fences as (select g.lang, g.source, {", ".join(fences)} from g join l on g.lang is not distinct from l.lang cross join c_row)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, {" and ".join(inside)} as kept
 from f left join fences on f.lang is not distinct from fences.lang and f.source is not distinct from fences.source
 """

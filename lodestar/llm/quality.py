@@ -3,20 +3,24 @@
 Per document: words, their characters, symbols, repeated lines and repeated 3-word windows. Fixed rules (``base_failed``) go
 first: under 50 words, or over half the words in repeated windows. The rest is judged against its own kind: for each
 language and source, mergeable quantile sketches of three rates (symbols a word, repeated lines a line, words in
-repeated windows a word) and of the mean word length are built with partial aggregation, and a document is rejected if
-a value lies beyond a Tukey fence of its group, more than ``SPREADS`` interquartile ranges outside the quartiles. Rates are
-mostly 0, so quartiles are those of the values above 0. Quartiles are smoothed by the language's own, worth ``PRIOR``
-rows. Only where there is no scale to learn (no spread, or the measure is above 0 in less than ``LEAST_SHARE`` of the rows,
-smoothed likewise) does ``LEAST_SPREAD`` set the fence.
+repeated windows a word) and of the mean word length are built with partial aggregation. A document is rejected if a value
+lies beyond a Tukey fence of its group, more than ``SPREADS`` interquartile ranges outside the quartiles. Rates are mostly
+0, so quartiles are those of the values above 0. Where quartiles tell no scale (they coincide, or less than ``LEAST_SHARE``
+of the rows are above 0), the fence is the group's quantile ``TOP`` of all rows, zeros counted (for the word length also
+the one at the other end). All quantiles are shrunk to the language's, and these to the corpus's, worth ``PRIOR`` rows each, so no
+fence is a constant: scaling a measure scales its fence. One symbol, one repeated line or one window that stands twice
+rejects no document (``ONCE``).
 
 A sketch is a histogram on a logarithmic scale: counts of the values between powers of ``GAMMA``, so a quantile is exact
-in rank and within (GAMMA - 1) / (GAMMA + 1) of its value. Sketches of a language are the sums of its sources'. Counts
+in rank and within (GAMMA - 1) / (GAMMA + 1) of its value. Sketches of a language are the sums of its sources', those of the
+corpus of its languages'. Counts
 merge in any order to the same numbers, so reruns, other partitions and lost executors change no verdict. A sketch has some
 thousand bins a decade at most and holds any number of rows, and counts are summed before the shuffle, so a source with a
 third of all rows costs no task more than its share. The thresholds are one row a group and meet the documents in a join.
 
 Edge cases: null texts have no words and fail; null languages and sources are groups of their own; repeated rows are
-judged alike; an empty table gives no rows; columns other than key, text, lang and source aren't read.
+judged alike; an empty table gives no rows; columns other than key, text, lang and source aren't read. ``judge`` writes the
+measures before anything filters on them: a filter pushed into ``features`` would compute the windows again.
 """
 
 from __future__ import annotations
@@ -32,12 +36,16 @@ MIN_WORDS = 50
 SPREADS = 3.0
 #: Bins of the sketches grow by this factor: quantiles are within 0.05 % of their value.
 GAMMA = 1.001
-#: Rows of the language that a group's quartiles are smoothed by.
+#: Rows that the quantiles of the language count in a group's, and those of the corpus in a language's.
 PRIOR = 100
-#: A measure that fewer rows than this share have at all is judged by the floor.
+#: Where fewer rows than this share have a measure at all, quartiles of the others tell no scale.
 LEAST_SHARE = 0.1
-#: measure -> (spread of groups that have none, fence below too, mostly 0: the quartiles are those of the other values)
-LEAST_SPREAD = {"symbol_rate": (0.15, False, True), "dup_line_rate": (0.15, False, True), "repeat_rate": (0.15, False, True), "word_length": (2.0, True, False)}
+#: Rows out of a hundred inside the fence of such a measure; one row may always be outside.
+TOP = 99
+#: measure -> whether there is a fence below too
+MEASURES = {"symbol_rate": False, "dup_line_rate": False, "repeat_rate": False, "word_length": True}
+#: What a rate counts, and how much of it comes of a single occurrence.
+ONCE = {"symbol_rate": ("n_symbols", 1), "dup_line_rate": ("n_dup_lines", 1), "repeat_rate": ("n_repeat_words", 6)}
 
 
 def features(df: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ("lang", "source"), n: int = 3) -> DataFrame:
@@ -86,39 +94,52 @@ def _measures() -> dict[str, Column]:
 def sketches(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
     """Per group and measure ``__m``: how many rows ``__n`` have a value in each bin ``__b`` (null: 0)."""
     place = lambda m: F.when(F.col(m) > 0, F.ceil(F.ln(m) / F.lit(math.log(GAMMA))).cast("int"))
-    values = F.array(*(F.struct(F.lit(m).alias("__m"), place(m).alias("__b")) for m in LEAST_SPREAD))
+    values = F.array(*(F.struct(F.lit(m).alias("__m"), place(m).alias("__b")) for m in MEASURES))
     return rows.select(*by, F.inline(values)).groupBy(*by, "__m", "__b").agg(F.count(F.lit(1)).alias("__n"))
 
 
 def _quartiles(bins: DataFrame, by: tuple[str, ...], tag: str) -> DataFrame:
-    """Per group: its size and, for each measure, how many values above 0 it has and their quartiles."""
+    """Per group: its size and, for each measure, how many values above 0 it has, their quartiles (1, 3), and the low and high
+    quantiles of all values (0, 4), as the outer edge of their bin."""
     above = F.when(F.col("__b").isNotNull(), F.col("__n"))
     group = Window.partitionBy(*by, "__m")  # the bins of one sketch
-    bins = bins.withColumns({"__above": above, "__upto": F.sum(above).over(group.orderBy("__b")), "__all": F.sum(above).over(group)})
+    upto = lambda n: F.sum(n).over(group.orderBy("__b"))
+    bins = bins.withColumns({"__above": above, "__upto": upto(above), "__all": F.sum(above).over(group), "__rank": upto(F.col("__n")), "__rows": F.sum("__n").over(group)})
     of = lambda m, x: F.when(F.col("__m") == m, x)
     # null bins come first and have reached no count
-    quartile = lambda m, i: F.pow(F.lit(GAMMA), F.min(of(m, F.when(4 * F.col("__upto") >= i * F.col("__all"), F.col("__b"))))) * (2 / (1 + GAMMA))
-    found = {f"{tag}_n_{m}": F.coalesce(F.sum(of(m, F.col("__above"))), F.lit(0)) for m in LEAST_SPREAD}
-    found |= {f"{tag}_{m}_{i}": quartile(m, i) for m in LEAST_SPREAD for i in (1, 3)}
-    return bins.groupBy(*by).agg(F.sum(of("word_length", F.col("__n"))).alias(f"{tag}_n"), *(x.alias(c) for c, x in found.items()))
+    middle = lambda b: F.pow(F.lit(GAMMA), b) * (2 / (1 + GAMMA))
+    quartile = lambda m, i: middle(F.min(of(m, F.when(4 * F.col("__upto") >= i * F.col("__all"), F.col("__b")))))
+    reached = {0: 100 * F.col("__rank") > (100 - TOP) * F.col("__rows") + 100, 4: 100 * F.col("__rank") > TOP * F.col("__rows") - 100}
+    end = lambda m, i: F.min(of(m, F.when(reached[i], F.coalesce(F.pow(F.lit(GAMMA), F.col("__b") - int(i == 0)), F.lit(0.0)))))
+    found = {f"{tag}_n_{m}": F.coalesce(F.sum(of(m, F.col("__above"))), F.lit(0)) for m in MEASURES}
+    found |= {f"{tag}_{m}_{i}": quartile(m, i) for m in MEASURES for i in (1, 3)}
+    found |= {f"{tag}_{m}_{i}": end(m, i) for m in MEASURES for i in (0, 4)}
+    return bins.groupBy(*by).agg(F.coalesce(F.sum(of("word_length", F.col("__n"))), F.lit(0)).alias(f"{tag}_n"), *(x.alias(c) for c, x in found.items()))
+
+
+def _shrunk(m: str, i: int, *tags: str) -> Column:
+    """A quantile of the first of ``tags`` (from the smallest group to the corpus), shrunk to that of the next, and so on."""
+    own = F.col(f"{tags[0]}_{m}_{i}")
+    if len(tags) == 1:
+        return own
+    n, wider = F.col(f"{tags[0]}_n_{m}" if i in (1, 3) else f"{tags[0]}_n"), _shrunk(m, i, *tags[1:])
+    return F.coalesce((n * own + PRIOR * wider) / (n + PRIOR), wider)
 
 
 def thresholds(rows: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """Per group: the fences of each measure, from merged quantile sketches of the rows that the fixed rules let pass, and
-    whether the measure adapts (else its fence is the floor)."""
+    whether they are told by quartiles (else by the quantiles of all rows)."""
     bins = written(sketches(rows, by), "quality-sketches")
-    wide = bins.groupBy(by[0], "__m", "__b").agg(F.sum("__n").alias("__n"))
-    groups, wide = _quartiles(bins, by, "g"), _quartiles(wide, by[:1], "l").withColumnRenamed(by[0], "__wide")
-    both = groups.join(wide, groups[by[0]].eqNullSafe(F.col("__wide")))
+    add = lambda d, *c: d.groupBy(*c, "__m", "__b").agg(F.sum("__n").alias("__n"))
+    wide = add(bins, by[0])
+    groups, langs, corpus = _quartiles(bins, by, "g"), _quartiles(wide, by[:1], "l").withColumnRenamed(by[0], "__wide"), _quartiles(add(wide), (), "c")
+    both = groups.join(langs, groups[by[0]].eqNullSafe(F.col("__wide"))).crossJoin(F.broadcast(corpus))  # the corpus is one row
     fences = []
-    for m, (least, _, some_zero) in LEAST_SPREAD.items():
-        n = F.col(f"g_n_{m}")
-        q1, q3 = ((n * F.coalesce(f"g_{m}_{i}", F.lit(0.0)) + PRIOR * F.col(f"l_{m}_{i}")) / (n + PRIOR) for i in (1, 3))
-        share = (n + PRIOR * F.col(f"l_n_{m}") / F.col("l_n")) / (F.col("g_n") + PRIOR)
-        adapts = F.coalesce((q3 > q1) & (share >= LEAST_SHARE), F.lit(False))
-        spread = F.when(adapts, q3 - q1).otherwise(F.lit(least))
-        middle = [F.when(adapts, q).otherwise(F.lit(0.0) if some_zero else F.coalesce(q, F.lit(0.0))) for q in (q1, q3)]
-        fences += [(middle[0] - SPREADS * spread).alias(f"{m}_low"), (middle[1] + SPREADS * spread).alias(f"{m}_high"), adapts.alias(f"{m}_adapts")]
+    for m in MEASURES:
+        low, q1, q3, high = (_shrunk(m, i, "g", "l", "c") for i in (0, 1, 3, 4))
+        share = (F.col(f"g_n_{m}") + PRIOR * F.col(f"l_n_{m}") / F.col("l_n")) / (F.col("g_n") + PRIOR)
+        scaled = F.coalesce((q3 > q1) & (share >= LEAST_SHARE), F.lit(False))
+        fences += [F.when(scaled, q1 - SPREADS * (q3 - q1)).otherwise(low).alias(f"{m}_low"), F.when(scaled, q3 + SPREADS * (q3 - q1)).otherwise(high).alias(f"{m}_high"), scaled.alias(f"{m}_scaled")]
     return both.select(*by, *fences)
 
 
@@ -131,11 +152,14 @@ def judge(df: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str,
     fences = fences.select(*(F.col(c).alias(f"__{c}") for c in by), *(c for c in fences.columns if c not in by))
     same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in by]
     inside = F.lit(True)
-    for m, (_, below, _) in LEAST_SPREAD.items():
-        inside = inside & (F.col(m) <= F.col(f"{m}_high"))
+    for m, below in MEASURES.items():
+        good = F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
+        if m in ONCE:
+            good = good | (F.col(ONCE[m][0]) <= ONCE[m][1])
         if below:
-            inside = inside & (F.col(m) >= F.col(f"{m}_low"))
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+            good = good & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
+        inside = inside & good
+    kept = ~F.col("base_failed") & inside
     return rows.join(fences, same, "left").select(key, *extra, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
 

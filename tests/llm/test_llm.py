@@ -236,6 +236,23 @@ def test_quality_fences_follow_the_group(spark):
     assert (got[9001].kept, got[9002].kept, got[9003].kept, got[9004].kept, got[9005].kept) == (False, True, False, True, False)
 
 
+def test_rare_measures_have_fences_of_their_own(spark):
+    rng = random.Random(9)
+    text = lambda symbols: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) + "#" * (k < symbols) for k in range(100))
+    # one document in 20 has symbols, so quartiles of the others tell no scale; in "many" they have ten times as many
+    rows = [(i + 10_000 * g, text((4 + i // 20 % 5) * (1, 10)[g] if i % 20 == 0 else 0), "en", ("few", "many")[g]) for i in range(1000) for g in (0, 1)]
+    rows += [(90_000, text(60), "en", "few"), (90_001, text(60), "en", "many"), (90_002, text(1), "en", "none")]
+    rows += [(30_000 + i, text(0), "en", "none") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.kept for r in quality.judge(df).collect()}
+    assert (got[90_000], got[90_001], got[90_002]) == (False, True, True)
+    assert all(kept for i, kept in got.items() if i < 90_000 and i % 20)
+    measures = spark.createDataFrame([(r[2], r[3], r[1].count("#") / 100, 0.0, 0.0, 5.0) for r in rows], "lang string, source string, symbol_rate double, dup_line_rate double, repeat_rate double, word_length double")
+    once, scaled = (quality.thresholds(d).filter("source = 'many'").first() for d in (measures, measures.withColumn("symbol_rate", F.col("symbol_rate") * 3)))
+    assert not once.symbol_rate_scaled and abs(scaled.symbol_rate_high / once.symbol_rate_high - 3) < 0.01
+    assert once.word_length_low < 5 <= once.word_length_high < once.word_length_low * 1.01
+
+
 def test_langid_without_labelled_documents(spark):
     names, model = langid.fit(spark.createDataFrame([(None, "text"), ("en", None)], "lang string, text string"))
     pages = spark.createDataFrame([(1, "http://a.de/", "<html lang=de>")], "page_id long, url string, html string")
