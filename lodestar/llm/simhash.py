@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import fresh, map_texts, written
@@ -36,10 +36,13 @@ TILE = 8192
 STRIP = 64
 #: Hashes whose bits are counted at a time.
 HASHES = 1 << 15
-#: Near copies of the pipeline: this part of the distinct shingles of so many words in common, looked for within so many bits.
+#: Near copies of the pipeline: this part of the distinct shingles of so many words in common. Pairs within so many bits are compared
+#: first, which changes the cost alone.
 COPY_LEAST = (4, 5)
 COPY_WIDTH = 5
 COPY_RADIUS = 12
+#: A text's prefix holds one in so many of its shingles beyond those that a copy may lack.
+COPY_SPARE = 10
 #: Bytes of a tile, about, and the width of a band of shingle counts in logarithms: a little over ln(5 / 4).
 COPY_TILE = 1 << 20
 BAND = 0.2235
@@ -182,19 +185,17 @@ def alike(n_both: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return COPY_LEAST[1] * n_both >= COPY_LEAST[0] * (n_a + n_b - n_both)
 
 
-def tile_pairs(nodes: DataFrame, place: Column, shifts: tuple[int, ...], fields: tuple[str, ...], bytes_: Column, name: str) -> DataFrame:
-    """Pairs of tiles of ``nodes`` that can hold copies of each other: ``fields`` of either side as lists (those of the left one end in
-    ``_a``), and ``same`` for a tile with itself. Tiles are cut by ``place``; a place meets those that ``shifts`` lead to."""
-    placed = nodes.select(place.alias("place"), *fields)
+def tile_pairs(nodes: DataFrame, place: str, fields: tuple[str, ...], bytes_: Column, name: str) -> DataFrame:
+    """Pairs of tiles of ``nodes`` of the same ``place``: ``fields`` of either side as lists (those of the left one end in ``_a``), and
+    ``same`` for a tile with itself. Pairs are made of numbers alone; each then fetches its two tiles."""
+    placed = nodes.select(F.col(place).alias("place"), *fields)
     sizes = written(placed.groupBy("place").agg(F.ceil(F.sum(bytes_) / COPY_TILE).cast("int").alias("subs")), f"{name}-places")
     subbed = placed.join(sizes, "place").select("place", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), *fields)
     tiles = _dealt(subbed, "place", "sub").groupBy("place", "sub").agg(F.collect_list(F.struct(*fields)).alias("__t"))
     tiles = written(tiles.select("place", "sub", *(F.col(f"__t.{c}").alias(c) for c in fields)), f"{name}-tiles")
-    left = tiles.select(F.col("place").alias("__p"), F.col("sub").alias("__s"), *(F.col(c).alias(f"{c}_a") for c in fields), F.explode(F.array(*map(F.lit, shifts))).alias("shift"))
-    left = left.withColumn("place", F.col("__p") + F.col("shift")).join(sizes, "place")
-    left = left.withColumn("sub", F.explode(F.sequence(F.when(F.col("shift") == 0, F.col("__s")).otherwise(F.lit(0)), F.col("subs") - 1)))
-    same = ((F.col("shift") == 0) & (F.col("__s") == F.col("sub"))).alias("same")
-    return left.join(tiles, ["place", "sub"]).select(*(f"{c}_a" for c in fields), *fields, same)
+    numbers = tiles.select("place", "sub").join(sizes, "place").select("place", F.col("sub").alias("__s"), F.explode(F.sequence("sub", F.col("subs") - 1)).alias("sub"))
+    left = tiles.select("place", F.col("sub").alias("__s"), *(F.col(c).alias(f"{c}_a") for c in fields))
+    return numbers.join(left, ["place", "__s"]).join(tiles, ["place", "sub"]).select(*(f"{c}_a" for c in fields), *fields, (F.col("__s") == F.col("sub")).alias("same"))
 
 
 class _Forest:
@@ -215,17 +216,21 @@ class _Forest:
         return x != y
 
 
-def _near(a: list[np.ndarray], b: list[np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions of the pairs of two tiles (fp, n) within ``COPY_RADIUS`` bits whose numbers of shingles allow for copies."""
+def _pairs(a: list[np.ndarray], b: list[np.ndarray], same: bool, forest: _Forest, shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of two tiles (fp, n) whose numbers of shingles allow for copies and that aren't joined yet: those
+    within ``COPY_RADIUS`` bits first, which join most copies, then all others."""
     (x, n_a), (y, n_b) = a, b
-    for start in range(0, len(x), STRIP):
-        i, j = np.nonzero(np.bitwise_count(x[start : start + STRIP, None] ^ y[None, :]) <= COPY_RADIUS)
-        i += start
-        ok = alike(np.minimum(n_a[i], n_b[j]), n_a[i], n_b[j])
-        if same:
-            ok &= i < j
-        if ok.any():
-            yield i[ok], j[ok]
+    for near in (True, False):
+        for start in range(0, len(x), STRIP):
+            roots = np.array([forest.root(k) for k in range(shift + len(y))])
+            apart = roots[start : min(start + STRIP, len(x)), None] != roots[None, shift:]
+            i, j = np.nonzero(((np.bitwise_count(x[start : start + STRIP, None] ^ y[None, :]) <= COPY_RADIUS) == near) & apart)
+            i += start
+            ok = alike(np.minimum(n_a[i], n_b[j]), n_a[i], n_b[j])
+            if same:
+                ok &= i < j
+            if ok.any():
+                yield i[ok], j[ok]
 
 
 def _column(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
@@ -242,24 +247,32 @@ def _links(batch: pa.RecordBatch, row: int, pairs: list[tuple[int, int]]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(_column(batch, c, row).to_numpy()[k]) for c, k in (("node_a", x), ("node", y))], names=["u", "v"])
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Links ``u``, ``v`` that connect all nodes (node, fp, n) within reach of each other, directly or by way of others: a spanning
-    forest of each pair of tiles. Tiles are cut by bands of ``n``, the number of shingles: copies are in the same band or
-    in neighbouring ones. (At this radius population counts would skip next to nothing.)"""
+def prefix(s: np.ndarray) -> np.ndarray:
+    """The first members of a set of shingles: as many as a copy may lack, and one in ``COPY_SPARE`` of all."""
+    n = len(s)
+    return s[: n - -(-n * COPY_LEAST[0] // COPY_LEAST[1]) + -(-n // COPY_SPARE)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                a, b, same = _numbers(batch, r, "_a"), _numbers(batch, r, ""), batch.column("same")[r].as_py()
-                shift = 0 if same else len(a[0])
-                forest, found = _Forest(shift + len(b[0])), []
-                for i, j in _near(a, b, same):
-                    found += [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if forest.join(x, y + shift)]
-                if found:
-                    yield _links(batch, r, found)
 
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / F.lit(BAND)).cast("int")
-    return tile_pairs(nodes, band, (0, 1), ("node", "fp", "n"), F.lit(24), "copies").mapInArrow(run, "u long, v long")
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Links ``u``, ``v`` that connect all nodes (node, n, first) that can be copies, directly or by way of others, by two prefix filters.
+
+    ``first`` is the ``prefix`` of a node's n shingles in the order of their hashes. Of two copies, neither has more than n - ceil(0.8 n)
+    shingles that the other lacks, so the first ceil(n / 10) common ones (n of the smaller one) are in both prefixes. A copy
+    has 0.8 n at least, so a node shares ceil(0.08 n) of its prefix with each copy. Nodes with fewer shingles that stand in any
+    other prefix are out. The rest orders its prefix by how many nodes have a shingle: without its last ceil(0.08 n) - 1 members,
+    two copies still share one. Equal members are met by an equi-join on shingle and band of n (copies are in the same band or in
+    neighbouring ones), each node with the smallest one only. Counts and joins keep one row a node and shingle, and tables are
+    written between, so AQE splits the rows of a frequent shingle."""
+    members = nodes.select("node", "n", F.explode("first").alias("s"))
+    often = written(members.groupBy("s").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "copies-often")
+    least = F.expr(f"({COPY_LEAST[0]} * n + {COPY_LEAST[1] * COPY_SPARE - 1}) div {COPY_LEAST[1] * COPY_SPARE}")
+    node = Window.partitionBy("node")  # the shingles of one text
+    shared = members.join(often, "s").withColumn("__m", F.count(F.lit(1)).over(node)).filter(F.col("__m") >= least)
+    rare = shared.withColumn("__r", F.row_number().over(node.orderBy("df", "s"))).filter(F.col("__r") <= F.col("__m") - least + 1)
+    band = F.floor(F.log("n") / F.lit(BAND)).cast("int")
+    met = written(rare.select("node", "s", F.explode(F.array(band, band + 1)).alias("band")), "copies-met")
+    one = written(met.groupBy("s", "band").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("df")).filter("df > 1").drop("df"), "copies-one")
+    return met.join(one, ["s", "band"]).filter("node <> v").select(F.col("node").alias("u"), "v")
 
 
 def _bitmaps(sets: pa.Array, bits: int) -> np.ndarray:
@@ -289,7 +302,7 @@ def copies(sets: DataFrame) -> DataFrame:
                 map_b = map_a if same else _bitmaps(s_b, bits)
                 shift = 0 if same else len(s_a)
                 forest, found = _Forest(shift + len(s_b)), []
-                for i, j in _near(a, b, same):
+                for i, j in _pairs(a, b, same, forest, shift):
                     for at in range(0, len(i), 4096):
                         p, q = i[at : at + 4096], j[at : at + 4096]
                         lacks = np.bitwise_count(map_a[p] & ~map_b[q]).sum(axis=1, dtype=np.int64)
@@ -304,14 +317,14 @@ def copies(sets: DataFrame) -> DataFrame:
                 if found:
                     yield _links(batch, r, found)
 
-    return tile_pairs(sets, F.col("group"), (0,), ("node", "fp", "n", "s"), 8 * F.col("n") + 24, "copies-sets").mapInArrow(run, "u long, v long")
+    return tile_pairs(sets, "group", ("node", "fp", "n", "s"), 8 * F.col("n") + 24, "copies-sets").mapInArrow(run, "u long, v long")
 
 
 def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> DataFrame:
     """Each row's ``key``, ``keep`` and ``root``: a number that stands for all rows that links between texts, of at least
-    ``COPY_LEAST`` in common and within ``COPY_RADIUS`` bits, join to it. Texts with the same words are one node. A first pass over
-    tiles of fingerprints finds groups of nodes within reach of each other; only their sets of shingles go into tiles of
-    their own, group by group, where pairs are checked."""
+    ``COPY_LEAST`` in common, join to it. No link is lost. Texts with the same words are one node. Prefix filters find groups of
+    nodes that can be copies; only their sets of shingles go into tiles, group by group, where pairs are checked, by fingerprints
+    first."""
 
     def start() -> Callable[[list], dict[str, list]]:
         from xxhash import xxh3_128_intdigest
@@ -320,15 +333,17 @@ def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> Dat
             whole = [xxh3_128_intdigest(b" ".join((t or "").encode().lower().split())) for t in texts]
             halves = [np.array([h >> s & 0xFFFFFFFFFFFFFFFF for h in whole], np.uint64).view(np.int64) for s in (0, 64)]
             fps = np.array([fingerprint(t, 3, 42) for t in texts], np.uint64).view(np.int64)
-            return {"h1": halves[0], "h2": halves[1], "fp": fps, "n": [len(set(shingles(t, COPY_WIDTH))) for t in texts]}
+            sets = [shingle_set(t) for t in texts]
+            return {"h1": halves[0], "h2": halves[1], "fp": fps, "n": [len(s) for s in sets], "first": [prefix(s).view(np.int64) for s in sets]}
 
         return make
 
-    rows = written(map_texts(df, [key, *keep], text, start, {"h1": "long", "h2": "long", "fp": "long", "n": "long"}), "copies")
+    columns = {"h1": "long", "h2": "long", "fp": "long", "n": "long", "first": "array<bigint>"}
+    rows = written(map_texts(df, [key, *keep], text, start, columns, arrow={"first": pa.list_(pa.int64())}), "copies")
     of = F.min(F.struct(*keep)).alias("__of")
-    nodes = rows.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), of)
+    nodes = rows.groupBy("h1", "h2").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("first").alias("first"), of)
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "copies-nodes")
-    # groups of nodes within reach, of which most are small: only inside them do sets of shingles meet
+    # most groups are small: only inside them do sets of shingles meet
     reach = written(components(candidates(nodes)), "copies-reach")
     group = reach.select("node", F.col("root").alias("group")).union(reach.select("root", "root").distinct())
     wanted = nodes.join(group, "node").select("node", "group", "fp", "n", *(F.col(f"__of.{c}").alias(f"__{i}") for i, c in enumerate(keep)))
@@ -338,7 +353,7 @@ def copy_roots(df: DataFrame, key: str, text: str, keep: tuple[str, ...]) -> Dat
     sets = written(map_texts(texts, ["node", "group", "fp", "n"], "__text", sets, {"s": "binary"}), "copies-sets")
     roots = components(copies(sets))
     named = nodes.join(roots, "node", "left").select("h1", "h2", F.coalesce("root", "node").alias("root"))
-    return rows.join(named, ["h1", "h2"]).select(key, *keep, "root")
+    return rows.select(key, *keep, "h1", "h2").join(named, ["h1", "h2"]).select(key, *keep, "root")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
