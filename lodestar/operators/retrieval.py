@@ -1,9 +1,8 @@
 """Lookups: Hamming top-k, re-ranking by cosine, fast path, margins, boosts, rotations.
 
 Every search meets a stated set of queries with all rows. Distances are worked out for a block of queries and a batch of rows
-at a time, and only k rows a query leave it, so no pair is ever a row of a table. Up to ``QUERIES`` queries are
-broadcast, and the rows stay where they are; more are dealt into blocks, the rows into shards, and each pair of a shard and
-a block is one keyed group.
+at a time, and only k rows a query leave it, so no pair is ever a row of a table. The rows stay where they are; queries are broadcast, in
+blocks of ``QUERIES`` and ``QUERY_BYTES`` at most, one after the other.
 """
 
 from __future__ import annotations
@@ -17,9 +16,9 @@ from pyspark.sql import functions as F
 
 from lodestar.functions.vectors import rotate
 
-#: Queries that are broadcast, or that a block holds.
+#: Queries of a broadcast block, and the bytes of their hashes and vectors, at most.
 QUERIES = 10_000
-ROWS_A_SHARD = 50_000
+QUERY_BYTES = 32 << 20
 #: Queries that are compared with a batch of rows at a time.
 STRIP = 64
 
@@ -99,24 +98,30 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, by: str = "hash", query: st
         return pa.table(out)
 
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    few = q.limit(QUERIES + 1).toArrow()
-    if len(few) <= QUERIES:
-        held = queries.sparkSession.sparkContext.broadcast(few)
+    spark, width = queries.sparkSession, sum((F.size(f"query_{c}") * 8 for c in sorted(vectors)), F.lit(64))
+    n, size = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    # half full on average, so that none is over
+    blocks = 1 if n <= QUERIES and size <= QUERY_BYTES else max(-(-2 * n // QUERIES), -(-2 * size // QUERY_BYTES))
+
+    def block(b: int) -> DataFrame:
+        asked = q if blocks == 1 else q.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b)
+        held = spark.sparkContext.broadcast(asked.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield from meet(held.value, pa.Table.from_batches([batch])).combine_chunks().to_batches()
-
-        found = r.mapInArrow(run, schema)
-    else:
-        blocks, shards = -(-q.count() // QUERIES), max(1, -(-rows.count() // ROWS_A_SHARD))
-        every = lambda m, name: F.explode(F.sequence(F.lit(0), F.lit(int(m) - 1))).alias(name)
-        dealt = lambda c, m, name: F.pmod(F.xxhash64(c), F.lit(m)).cast("int").alias(name)
-        sent = q.select("*", dealt(query, blocks, "__block"), every(shards, "__shard"))
-        kept = r.select("*", dealt(row, shards, "__shard"), every(blocks, "__block"))
-        at = ("__shard", "__block")
-        found = sent.groupBy(*at).cogroup(kept.groupBy(*at)).applyInArrow(meet, schema)
-    return top_k(found, [query], [F.col("dist"), F.col(row)], k)
+                if len(held.value) and len(batch):
+                    yield from meet(held.value, pa.Table.from_batches([batch])).combine_chunks().to_batches()
+
+        best = top_k(r.mapInArrow(run, schema), [query], [F.col("dist"), F.col(row)], k)
+        if blocks > 1 and spark.sparkContext.getCheckpointDir():
+            best = best.checkpoint()  # so that a block leaves memory before the next comes
+            held.destroy()
+        return best
+
+    found = block(0)
+    for b in range(1, blocks):
+        found = found.unionAll(block(b))
+    return found
 
 
 def rotations(queries: DataFrame, block: str, query: str = "query_id") -> DataFrame:

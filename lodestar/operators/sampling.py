@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that one window numbers, about.
+ROWS_A_BUCKET = 100_000
+#: Bounds of ranges that are brought to the driver, at most.
+BOUNDS = 1023
+
 
 def shuffled(key: str, seed: int = 42, prime: int = 2_147_483_647) -> Column:
     """A rank key that scatters ids: a multiplicative hash modulo a prime (ids are reduced first, so that no id overflows); ties, if any,
@@ -24,16 +29,48 @@ def uniform_sample(df: DataFrame, key: str, n: int, seed: int = 42, place: str =
     return first.withColumn(place, F.row_number().over(Window.orderBy(shuffled(key, seed), key)))  # n rows
 
 
+def buckets(rows: int, least: int = 1) -> int:
+    """How many buckets so many rows are numbered in: ``least``, or more where one would hold over ``ROWS_A_BUCKET``."""
+    return max(least, -(-rows // ROWS_A_BUCKET))
+
+
+def in_ranges(df: DataFrame, key: str, n: int) -> Column:
+    """The range (from 0) of each key in its order, of about ``n`` ranges with as many distinct keys each, however keys cluster; -1 for
+    null. The bounds are the keys of smallest hash, ``BOUNDS`` at most, which come to the driver; a row finds its range by binary search."""
+    n = min(n - 1, BOUNDS)
+    found = df.select(key).filter(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(n).collect() if n > 0 else []
+    bounds = sorted(r[0] for r in found)
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(key) < F.lit(bounds[mid]), search(low, mid)).otherwise(search(mid + 1, high))
+
+    return F.when(F.col(key).isNull(), -1).otherwise(search(0, len(bounds)))
+
+
+def placed(rows: DataFrame, by: list[str], bucket: str, order: list[str], place: str, size: str) -> DataFrame:
+    """Each row's place (from 1) in its group by bucket and ``order``, and the group's size. A task numbers one bucket of a group; only a row a
+    bucket meets in a group's window."""
+    counts = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)]
+    starts = counts.select(*groups, F.col(bucket).alias("__gb"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"), F.sum("__c").over(Window.partitionBy(*by)).alias(size))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order)))
+    same = F.col(bucket) == F.col("__gb")
+    for i, c in enumerate(by):
+        same &= ranked[c].eqNullSafe(F.col(f"__g{i}"))
+    joined = ranked.join(starts, same).withColumn(place, F.col("__start") + F.col("__r"))
+    return joined.drop(bucket, "__gb", "__start", "__r", *(f"__g{i}" for i in range(len(by))))
+
+
 def numbered(df: DataFrame, by: str, key: str, seed: int = 42, place: str = "place", size: str = "size") -> DataFrame:
     """Each row's place (from 1, in shuffled order) in its group and the group's size. Places are counted within buckets of the
-    rank key first, so that a large group is spread over many tasks."""
-    rows = df.withColumns({"__h": shuffled(key, seed), "__b": F.floor(shuffled(key, seed) / (2_147_483_647 // 64)).cast("int")})
-    counts = rows.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(by).alias("__g"), F.col("__b").alias("__gb"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__start"), F.sum("__c").over(Window.partitionBy(by)).alias(size))
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(by, "__b").orderBy("__h", key)))
-    joined = ranked.join(starts, ranked[by].eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__gb")))
-    return joined.withColumn(place, F.col("__start") + F.col("__r")).drop("__h", "__b", "__g", "__gb", "__start", "__r")
+    rank key first, as many as the table's rows ask for, so that a large group is spread over many tasks."""
+    width = -(-2_147_483_647 // buckets(df.count(), 64))
+    rows = df.withColumns({"__h": shuffled(key, seed), "__b": F.floor(shuffled(key, seed) / width).cast("int")})
+    return placed(rows, [by], "__b", ["__h", key], place, size).drop("__h")
 
 
 def stratified_split(df: DataFrame, by: str, key: str, train: float = 0.85, seed: int = 42) -> DataFrame:
@@ -70,9 +107,12 @@ def mixture(key: str, shares: list[tuple[str, int]], seed: int = 42) -> Column:
 
 
 def dictionary(df: DataFrame, column: str, least: int = 1) -> DataFrame:
-    """Values with ``least`` rows or more, sorted, with dense labels from 0 and inverse-frequency weights."""
+    """Values with ``least`` rows or more, sorted, with dense labels from 0 and inverse-frequency weights. Many values are
+    numbered in ranges, so no task sees all of them."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    return counts.withColumn("label", (F.row_number().over(Window.orderBy(column)) - 1).cast("int")).withColumn("weight", F.round(1.0 / F.greatest("n", F.lit(1)), 8))
+    ranged = counts.withColumn("__b", in_ranges(counts, column, buckets(counts.count())))
+    found = placed(ranged, [], "__b", [column], "__place", "__size")
+    return found.select(column, "n", (F.col("__place") - 1).cast("int").alias("label"), F.round(1.0 / F.greatest("n", F.lit(1)), 8).alias("weight"))
 
 
 def replicate(df: DataFrame, times: Column, out: str = "copy") -> DataFrame:
@@ -80,17 +120,15 @@ def replicate(df: DataFrame, times: Column, out: str = "copy") -> DataFrame:
     return df.withColumn(out, F.explode(F.sequence(F.lit(1), times)))
 
 
-def next_of_group(df: DataFrame, by: str, key: str, out: str, buckets: int = 64) -> DataFrame:
-    """Each row's successor within its group in the order of numeric keys (the last one's is the first): another row of the group, or
-    itself if it is alone. A group is cut into ranges of keys, so that a large one is spread over many tasks; the last row of a range
-    is followed by the first of the next."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    rows = df.withColumn("__b", F.floor((F.col(key) - F.lit(low or 0)) / width).cast("int"))
+def next_of_group(df: DataFrame, by: str, key: str, out: str, least: int = 64) -> DataFrame:
+    """Each row's successor within its group in the order of keys (the last one's is the first): another row of the group, or
+    itself if it is alone. A group is cut into ranges with as many keys each, ``least`` or as many as the table's rows ask for, so that a large one
+    is spread over many tasks even where keys cluster; the last row of a range is followed by the first of the next."""
+    rows = df.withColumn("__b", in_ranges(df, key, buckets(df.count(), least)))
     firsts = rows.groupBy(by, "__b").agg(F.min(key).alias("__m"))  # a row a group and range
     in_order = Window.partitionBy(by).orderBy("__b")
     after = F.coalesce(F.lead("__m").over(in_order), F.first("__m").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     firsts = firsts.select(F.col(by).alias("__g"), F.col("__b").alias("__gb"), after.alias("__after"))
     led = rows.withColumn("__next", F.lead(key).over(Window.partitionBy(by, "__b").orderBy(key)))
-    joined = led.join(firsts, led[by].eqNullSafe(F.col("__g")) & F.col("__b").eqNullSafe(F.col("__gb")))
+    joined = led.join(firsts, led[by].eqNullSafe(F.col("__g")) & (F.col("__b") == F.col("__gb")))
     return joined.withColumn(out, F.coalesce("__next", "__after")).drop("__b", "__next", "__g", "__gb", "__after")

@@ -1,4 +1,5 @@
-"""Joins by time without a window over a whole key: as-of by buckets with carries, overlapping intervals by cells of several widths."""
+"""Joins and frames by time without a window over a whole key: as-of by buckets with carries, sliding frames by buckets with a halo,
+overlapping intervals by cells of several widths."""
 
 from __future__ import annotations
 
@@ -29,6 +30,20 @@ def as_of(left: DataFrame, right: DataFrame, by: str, time: str, key: str, take:
     return found.select(*left.columns, *(best[c].alias(f"as_of_{c}") for c in dict.fromkeys([key, time, *take])))
 
 
+def sliding(df: DataFrame, by: str, time: str, seconds: int, bucket: int = 86_400, **aggregates: Column) -> DataFrame:
+    """Each row with ``aggregates`` of its key's rows of the last so many seconds, rows of its own time included. Time is cut into buckets
+    of ``bucket`` seconds (of a frame's length at least); a row also goes, as part of a halo, to the next bucket if frames there reach back to it. So a
+    row is copied once at most, and a key that holds most rows is as many tasks as it has buckets. Rows without a time see one
+    another; a null key is a key of its own."""
+    wide, back = max(bucket, seconds) * 1_000_000, seconds * 1_000_000
+    at = df.withColumn("__t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("__own", F.floor(F.col("__t") / wide))
+    reached = F.col("__t") + back >= (F.col("__own") + 1) * wide
+    halo = at.withColumn("__b", F.explode(F.when(reached, F.array(F.col("__own"), F.col("__own") + 1)).otherwise(F.array("__own"))))
+    frame = Window.partitionBy(by, "__b").orderBy("__t").rangeBetween(-back, Window.currentRow)
+    seen = halo.withColumns({name: x.over(frame) for name, x in aggregates.items()})
+    return seen.filter(F.col("__b").eqNullSafe(F.col("__own"))).drop("__t", "__own", "__b")
+
+
 def _cells(df: DataFrame, start: Column, end: Column, levels: list[int], tag: str) -> DataFrame:
     """A row for each cell that an interval touches: on the level of its own length (two cells at most) and on all wider ones."""
     own = F.length(F.bin(end - start))

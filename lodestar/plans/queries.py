@@ -305,7 +305,10 @@ def triplet_loss_eval(s, d):
     other = firsts.withColumn("neg", F.coalesce(F.lead("first").over(Window.orderBy("label")), F.min("first").over(Window.partitionBy()))).select("label", "neg")
     a = e.select(F.col("vec_id").alias("pos"), F.col("embedding").alias("pe"))
     b = e.select(F.col("vec_id").alias("neg"), F.col("embedding").alias("ne"))
-    t = anchors.join(other, "label").join(e.select("vec_id", "embedding"), "vec_id").join(a, "pos").join(b, "neg")
+    negatives = other.join(b, "neg")  # a row a label, which all its anchors meet
+    if firsts.count() <= 10_000:
+        negatives = F.broadcast(negatives)
+    t = anchors.join(negatives, "label").join(e.select("vec_id", "embedding"), "vec_id").join(a, "pos")
     loss = F.greatest(F.lit(0.0), V.distance(F.col("embedding"), F.col("pe")) - V.distance(F.col("embedding"), F.col("ne")) + 0.3)
     return t.select(F.col("vec_id").alias("anchor"), "pos", "neg", F.round(loss, 5).alias("loss"))
 
@@ -660,6 +663,14 @@ def as_of_view(s, d):
     return found.select("event_id", "user_id", "as_of_event_id", "as_of_ts", "as_of_value")
 
 
+@_query("""select event_id, event_type, count(*) over w as n, round(avg(value) over w, 6) as mean, max(value) over w as most
+from events window w as (partition by event_type order by ts range between interval 1 hour preceding and current row)""")
+def sliding_means(s, d):
+    e = table(s, d, "events", ["event_id", "ts", "event_type", "value"])
+    found = W.sliding(e, "event_type", "ts", 3600, n=F.count(F.lit(1)), mean=F.avg("value"), most=F.max("value"))
+    return found.select("event_id", "event_type", "n", F.round("mean", 6).alias("mean"), "most")
+
+
 @_query("""with s as (select l_partkey, l_orderkey, l_linenumber, l_returnflag = 'R' as back, o_orderdate as a, l_shipdate as b from lineitem join orders on l_orderkey = o_orderkey)
 select x.l_partkey as part, x.l_orderkey as order_a, x.l_linenumber as line_a, y.l_orderkey as order_b, y.l_linenumber as line_b
 from s x join s y on x.l_partkey = y.l_partkey and x.back and not y.back and x.a <= y.b and y.a <= x.b where x.a <= x.b and y.a <= y.b""")

@@ -1,6 +1,7 @@
 """Core queries against DuckDB, kernels against plain Python, boundaries."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -91,6 +92,28 @@ def test_numbered_counts_each_group(spark):
     assert {(r.g, r["size"]) for r in rows} == {("g", 30), (None, 10)} and S.numbered(df.filter("id < 0"), "g", "id").count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 3, 100_000])
+def test_numbers_don_t_depend_on_buckets(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "ROWS_A_BUCKET", rows)
+    rng = random.Random(rows)
+    words = [rng.choice(["a", "ab", "b", "\u00e9", "z" * 50, "", "https://x/1", "https://x/2", None]) for _ in range(60)]
+    keys = rng.sample([*range(50), *(10**12 + i for i in range(20))], 60)  # clustered
+    df = spark.createDataFrame(list(zip(words, keys, strict=True)), "w string, k long")
+    ordered = sorted({w for w in words if w is not None}, key=lambda w: w.encode())
+    assert {(r.w, r.n, r.label) for r in S.dictionary(df, "w").collect()} == {(w, words.count(w), i) for i, w in enumerate(ordered)}
+    assert S.dictionary(df.filter("k < 0"), "w").count() == 0
+    want = set()
+    for w in set(words):
+        mine = sorted(k for v, k in zip(words, keys, strict=True) if v == w)
+        want |= {(w, k, mine[(i + 1) % len(mine)]) for i, k in enumerate(mine)}
+    for least in (1, 5, 64):
+        assert {(r.w, r.k, r.next) for r in S.next_of_group(df, "w", "k", "next", least).collect()} == want
+    places = S.numbered(df, "w", "k").collect()
+    for w in set(words):
+        mine = sorted((r.place, (r.k % 2147483647 * 48271 + 42 * 16807) % 2147483647) for r in places if r.w == w)
+        assert [p for p, _ in mine] == [*range(1, len(mine) + 1)] and [h for _, h in mine] == sorted(h for _, h in mine)
+
+
 def test_dual_route(spark):
     schema = "query_id int, frame string, conf double, dist int, rank int"
     modern = spark.createDataFrame([(1, "fullart", 0.5, 3, 1), (1, "fullart", 0.5, 20, 2), (2, "fullart", 0.9, 1, 1), (3, "special", 0.1, 9, 1), (4, "modern", 0.7, 2, 1)], schema)

@@ -96,6 +96,8 @@ def test_knn_in_blocks_equals_broadcast(spark, monkeypatch):
     rows = spark.range(300).select(F.col("id").alias("vec_id"), (F.col("id") % 5).alias("label"), F.array(F.xxhash64("id"), F.xxhash64("id", F.lit(1))).alias("hash"))
     asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash"))
     at_once = sorted(map(tuple, R.knn(asked, rows, 7, keep=("label",)).collect()))
-    monkeypatch.setattr(R, "QUERIES", 4)
-    monkeypatch.setattr(R, "ROWS_A_SHARD", 50)
-    assert sorted(map(tuple, R.knn(asked, rows, 7, keep=("label",)).collect())) == at_once and len(at_once) == 15 * 7
+    for name, most in (("QUERIES", 4), ("QUERY_BYTES", 300)):
+        with monkeypatch.context() as m:
+            m.setattr(R, name, most)
+            assert sorted(map(tuple, R.knn(asked, rows, 7, keep=("label",)).collect())) == at_once and len(at_once) == 15 * 7
+    assert R.knn(asked.filter("query_id < 0"), rows, 7).count() == R.knn(asked, rows.filter("vec_id < 0"), 7).count() == 0

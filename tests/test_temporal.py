@@ -96,3 +96,18 @@ def test_a_failing_swap_leaves_the_old_table(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError, match="renamed"):
         sinks.replace(spark.range(9), path)
     assert spark.read.parquet(path).count() == 3
+
+
+@pytest.mark.parametrize("bucket", [1, 300, 86_400])
+def test_sliding_frames(spark, bucket):
+    rng = random.Random(bucket)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), None if rng.random() < 0.05 else DAY + timedelta(seconds=rng.randrange(0, 4000, 50)), rng.randrange(100)) for i in range(300)]
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "id long, k string, t timestamp_ntz, v long")
+    got = W.sliding(df, "k", "t", 200, bucket, n=F.count(F.lit(1)), total=F.sum("v")).collect()
+    want = []
+    for i, k, t, v in rows:
+        near = [y for _, j, u, y in rows if j == k and ((t is None and u is None) or (t and u and timedelta(0) <= t - u <= timedelta(seconds=200)))]
+        want.append((i, k, t, v, len(near), sum(near)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert W.sliding(df.filter("id < 0"), "k", "t", 200, n=F.count(F.lit(1))).count() == 0
