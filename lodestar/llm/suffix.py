@@ -72,22 +72,29 @@ def group_suffixes(s: np.ndarray) -> list[int]:
     size = [0] * n
     for h, k in zip(heads.tolist(), sizes.tolist(), strict=True):
         size[h] = k
-    smaller = [-1] * n  # the previous suffix of a smaller group
+    smaller = [-2] * n  # the previous suffix of a smaller group, -1: none, -2: not known yet
     end = n
     while end > 0:
         head = group[sa[end - 1]]
         hits: dict[int, int] = {}
-        for i in sorted(sa[head:end]) if end - head > 1 else sa[head:end]:
-            p = i - 1
+        for i in sa[head:end]:
+            if smaller[i] != -2:
+                continue
+            chain, p = [i], i - 1  # suffixes of this group in a row have the same pointer
             while p >= 0 and group[p] >= head:
-                p = smaller[p]
-            smaller[i] = p
+                if smaller[p] == -2:
+                    chain.append(p)
+                    p -= 1
+                else:
+                    p = smaller[p]
+            for x in chain:
+                smaller[x] = p
             if p >= 0:
-                hits[p] = hits.get(p, 0) + 1
-        by_hits: dict[int, list[int]] = {}
+                hits[p] = hits.get(p, 0) + len(chain)
+        by_hits: list[list[int]] = [[] for _ in range(max(hits.values(), default=0) + 1)]
         for p, k in hits.items():
-            by_hits.setdefault(k, []).append(p)
-        for k in sorted(by_hits, reverse=True):
+            by_hits[k].append(p)
+        for k in range(len(by_hits) - 1, 0, -1):
             moved: dict[int, int] = {}
             for p in by_hits[k]:
                 g = group[p]
