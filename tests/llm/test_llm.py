@@ -1,7 +1,9 @@
 """Operators against brute force, round trips and their edge cases."""
 
 import hashlib
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -179,6 +181,47 @@ def test_sharding_law(spark):
         assert sorted(r.slot for r in rows if r.shard == s) == [*range(sum(r.shard == s for r in rows))]
 
 
+def brute_shard(key: str, n: int, weights: dict) -> int:
+    """The tree told anew: a node's weight is its shards' sum; at each level the smallest draw wins."""
+
+    def pick(level: str, of: dict) -> int:
+        if len(of) == 1:
+            return next(iter(of))
+        u = {c: (int(hashlib.md5(f"{key}/{level}{c}".encode()).hexdigest()[:13], 16) + 1) / float(2**52 + 1) for c in of}
+        return min(of, key=lambda c: (-math.log(u[c]) / w if (w := of[c]) else math.inf, c))
+
+    weight = lambda shards: sum(weights.get(s, 1.0) for s in shards)
+    groups = lambda shards, size: {g: [s for s in shards if s // size == g] for g in {s // size for s in shards}}
+    regions = groups(range(n), 8)
+    racks = groups(regions[pick("region", {g: weight(x) for g, x in regions.items()})], 4)
+    shards = racks[pick("rack", {g: weight(x) for g, x in racks.items()})]
+    return pick("shard", {s: weights.get(s, 1.0) for s in shards})
+
+
+def test_sharding_equals_brute_force(spark):
+    df = docs(spark, UGLY)
+    df = df.unionByName(df.limit(3)).unionByName(spark.range(100, 1100).select(F.col("id").alias("doc_id"), F.lit("caf\u00e9").alias("text")), allowMissingColumns=True)
+    given = df.select("doc_id", "text").collect()
+    rows = sharding.shard_documents(df).collect()
+    name = lambda x: "null" if x is None else str(x)
+    text = lambda x: (x or "").encode()
+    want = [(r.doc_id, len(text(r.text)) + 1, zlib.crc32(text(r.text)), brute_shard(name(r.doc_id), 16, {}), brute_shard(name(r.doc_id), 17, {})) for r in given]
+    assert sorted(map(repr, ((r.doc_id, r.size, r.text_crc32, r.shard, r.grown_shard) for r in rows))) == sorted(map(repr, want))
+
+
+def test_a_weight_moves_rows_into_its_subtree_alone(spark):
+    df = spark.range(4000).select(F.col("id").alias("doc_id"))
+    heavy = {5: 3.0}
+    both = sharding.assign(sharding.assign(df, "doc_id", 16, "old"), "doc_id", 16, "new", heavy).collect()
+    assert all(r.new == brute_shard(str(r.doc_id), 16, heavy) for r in both)
+    moved = [(r.old, r.new) for r in both if r.old != r.new]
+    assert moved
+    for old, new in moved:  # into the shard, its rack (4 to 7) or its region (0 to 7): never between others
+        assert new == 5 or (new // 4 == 1 and old // 4 != 1) or (new // 8 == 0 and old // 8 != 0), (old, new)
+    shares = {s: sum(r.new == s for r in both) / 4000 for s in range(16)}
+    assert abs(shares[5] - 3 / 18) < 0.03 and all(abs(shares[s] - 1 / 18) < 0.02 for s in range(16) if s != 5)
+
+
 def test_langid_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names, model = langid.fit(d.filter("doc_id % 2 = 0"), rows=100)
