@@ -111,5 +111,41 @@ def test_chunks_equal_whole_texts():
         assert (x.tolist(), y.tolist()) == (one, other), repr(t)
 
 
+@pytest.mark.parametrize(("cached", "run"), [(300_000, 64), (40, 3)])
+def test_aligned_chunks_equal_whole_texts(monkeypatch, cached, run):
+    """Links and groups put together from chunks, which are kept, forgotten, met again, and not given back."""
+    monkeypatch.setattr(alignment, "CACHED", cached)
+    monkeypatch.setattr(alignment, "RUN", run)
+    rng = random.Random(4)
+    letters = ["a", "B", "1", "'s", "é", "ß", ".", "-", "the", "tion", " ", " ", " ", "  ", "\n", "\t", "\xa0", "\x1c", "\x85", "▁", "<s>", "你"]
+    texts = ["".join(rng.choices(letters[: rng.choice([12, 13, 15, 22])], k=rng.randint(1, 60))) for _ in range(900)]
+    texts += [None, "", " ", "x" * 300 + " end", "end " + "y" * 300, *TEXTS]
+    rng.shuffle(texts)
+    worker = alignment.Aligned(alignment.byte_level(A), alignment.pieces(B))
+    got, counts = [], Counter()
+    for i in range(0, len(texts), 100):
+        out = worker(texts[i : i + 100])
+        for pairs, times in zip(out["pair"], out["times"], strict=True):
+            assert len(set(pairs.tolist())) == len(pairs)
+            counts.update(dict(zip(pairs.tolist(), times.tolist(), strict=True)))
+        got += [(*map(int, x), h, sum(t)) for *x, h, t in zip(*(out[c] for c in ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "times")), strict=True)]
+        assert len(worker.known) == len(worker.told) and len(worker.known) < cached + 10_000
+    want = brute(texts)
+    assert got == [(na, nb, g, n, h, n) for na, nb, g, n, _, _, h in want]
+    assert sum(n * n for n in counts.values()) == sum(s for *_, s, _ in want)
+    assert any(h == "" for t, (*_, h) in zip(texts, want, strict=True) if t)  # some aren't given back
+
+
+def test_a_chunk_is_aligned_once(monkeypatch):
+    seen = []
+    plain = alignment.overlaps
+    monkeypatch.setattr(alignment, "overlaps", lambda a, b: (seen.append(len(a)), plain(a, b))[1])
+    worker = alignment.Aligned(alignment.byte_level(A), alignment.pieces(B))
+    words = ["alignment", "of", "two", "tokenizers"]
+    for _ in range(3):
+        assert worker([" ".join(words * 500), " ".join(words[::-1] * 500)])["n_a"].min() >= 2000
+    assert sum(seen) < 20
+
+
 def test_empty_table(spark):
     assert told(spark, []) == []
