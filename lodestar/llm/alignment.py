@@ -68,20 +68,30 @@ class Tokenizer:
         """Whether the tokens give back a space and the text."""
         return b"".join(map(self.tokens.__getitem__, ids)) == f" {text}".encode()
 
+    def cut(self, chunks: list[str], ids: np.ndarray) -> np.ndarray | None:
+        """How many of the ids each chunk has, if they give back the chunks and a token ends with each."""
+        if not self.whole(" ".join(chunks), ids.tolist()):
+            return None
+        ends = np.cumsum(self.sizes[ids])
+        wanted = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode())) for c in chunks])
+        at = np.searchsorted(ends, wanted)
+        return np.diff(at, prepend=-1) if np.array_equal(ends[at], wanted) else None
+
     def ids(self, runs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The ids of all chunks of runs, how many each chunk has, and whether they give it back. A run is encoded at once and its ids are
-        cut where its chunks end; where they don't give it back or no token ends there, its chunks are encoded alone."""
+        cut where its chunks end; where that fails, its chunks are encoded alone."""
         chunks = [*chain.from_iterable(runs)]
-        flat = np.fromiter(chain.from_iterable(self.encode([" ".join(r) for r in runs])), np.int64)
-        ends = np.cumsum(self.sizes[flat])
-        wanted = np.cumsum([1 + (len(c) if c.isascii() else len(c.encode())) for c in chunks])
-        if self.whole(" ".join(chunks), flat.tolist()):
-            at = np.searchsorted(ends, wanted)
-            if np.array_equal(ends[at], wanted):
-                return flat, np.diff(at, prepend=-1), np.ones(len(chunks), bool)
-        if len(chunks) == 1:
-            return flat, np.array([len(flat)]), np.zeros(1, bool)
-        parts = [self.ids([r]) for r in (runs if len(runs) > 1 else [[c] for c in chunks])]
+        told = self.encode([" ".join(r) for r in runs])
+        flat = np.fromiter(chain.from_iterable(told), np.int64)
+        if (n := self.cut(chunks, flat)) is not None:
+            return flat, n, np.ones(len(chunks), bool)
+        parts = []
+        for run, x in zip(runs, told, strict=True):
+            ids = np.array(x, np.int64)
+            if (n := self.cut(run, ids)) is not None:
+                parts.append((ids, n, np.ones(len(run), bool)))
+            else:
+                parts.append(self.ids([[c] for c in run]) if len(run) > 1 else (ids, np.array([len(ids)]), np.zeros(1, bool)))
         return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
@@ -251,8 +261,8 @@ class Aligned:
         self.learn(long)
         numbers = [[*map(self.known.__getitem__, cs)] for cs in chunks]
         size = np.array([*map(len, numbers)], np.int64)
-        if self.odd.any():  # whether such a text is given back is told by the whole of it
-            some = [k for k, x in enumerate(numbers) if self.odd[x].any()]
+        if self.odd.any():  # whether a text with such a chunk is given back is told by the whole of it
+            some = [k for k, x in enumerate(numbers) if len(x) > 1 and self.odd[x].any()]
             again = len(self.told)
             if some:
                 sides = tokens_of([texts[k] for k in some], self.a, self.b)

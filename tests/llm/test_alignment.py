@@ -147,5 +147,15 @@ def test_a_chunk_is_aligned_once(monkeypatch):
     assert sum(seen) < 20
 
 
+def test_a_text_that_is_not_given_back_is_encoded_once():
+    b = alignment.pieces(B)
+    seen, plain = [], b.encode
+    b.encode = lambda texts: (seen.extend(texts), plain(texts))[1]
+    texts = [f"piece ▁ mark {i}" for i in range(20)]
+    out = alignment.Aligned(alignment.byte_level(A), b)([*texts, "plain words"])
+    assert out["n_a"].tolist()[:-1] == [0] * 20 and out["n_a"][-1] > 0
+    assert max(map(seen.count, texts)) == 1
+
+
 def test_empty_table(spark):
     assert told(spark, []) == []
