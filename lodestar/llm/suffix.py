@@ -37,7 +37,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import fresh, map_texts, text_key, written
+from lodestar.llm import common
+from lodestar.llm.common import fresh, text_key
 
 LENGTH = 400
 #: Bytes that 50 words take at least, about: what the pipeline cuts out, and what ``n_passages`` counts.
@@ -51,6 +52,20 @@ HOT = 1000
 FINER = 8
 #: Symbols of a suffix array, about.
 SYMBOLS = 100_000
+#: Bytes of an Arrow batch, about. A batch is held several times over by an executor (vectors, the stream to Python) and its Python workers, beside the heap.
+BATCH = 4_000_000
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``common.written``, with batches of whole texts that go to Python bounded by bytes; the session's setting stays."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = conf.get(key)
+    conf.set(key, f"{BATCH}b")
+    try:
+        return common.written(df, name)
+    finally:
+        conf.set(key, before)
+
 
 # ---- suffix arrays ----
 
@@ -453,8 +468,9 @@ def marked(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("rid", "t1", "t2", "text").join(marks, "rid")
 
 
-def removals(texts: DataFrame, length: int) -> DataFrame:
-    """t1, t2, n_removed, n_spans, spans and kept of marked texts."""
+def removals(texts: DataFrame, length: int, decoded: bool = False) -> DataFrame:
+    """t1, t2, n_removed, n_spans, spans and kept of marked texts. ``decoded``: kept is a string, and a character cut in two goes
+    as a whole."""
 
     def fn(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column, marks = batch.column("text"), batch.column("marks")
@@ -470,10 +486,11 @@ def removals(texts: DataFrame, length: int) -> DataFrame:
             gone = np.cumsum(edges[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.r_[False, gone, False])).reshape(-1, 2)
             spans = [{"start": s, "end": e} for s, e in turns.tolist()]
-            values = ([batch.column("t1")[i].as_py()], [batch.column("t2")[i].as_py()], [int(gone.sum())], [len(spans)], [spans], [b[~gone].tobytes()])
+            kept = b[~gone].tobytes()
+            values = ([batch.column("t1")[i].as_py()], [batch.column("t2")[i].as_py()], [int(gone.sum())], [len(spans)], [spans], [kept.decode("utf-8", "ignore") if decoded else kept])
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types.values(), strict=True)], names=[*types])
 
-    types = {"t1": _I64, "t2": _I64, "n_removed": _I64, "n_spans": _I64, "spans": pa.list_(pa.struct([("start", _I64), ("end", _I64)])), "kept": _BIN}
+    types = {"t1": _I64, "t2": _I64, "n_removed": _I64, "n_spans": _I64, "spans": pa.list_(pa.struct([("start", _I64), ("end", _I64)])), "kept": pa.string() if decoded else _BIN}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -487,7 +504,7 @@ def removals(texts: DataFrame, length: int) -> DataFrame:
         if held:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    return texts.select("text", "marks", "t1", "t2").mapInArrow(run, "t1 long, t2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept binary")
+    return texts.select("text", "marks", "t1", "t2").mapInArrow(run, f"t1 long, t2 long, n_removed long, n_spans long, spans array<struct<start:long,end:long>>, kept {'string' if decoded else 'binary'}")
 
 
 # ---- the operator ----
@@ -523,13 +540,10 @@ def dedup(df: DataFrame, key: str = "doc_id", text: str = "text", length: int =
 
 def deduped(df: DataFrame, text: str = "text", length: int = PASSAGE) -> DataFrame:
     """The rows of ``df`` with what repeats cut out of their texts; a character cut in two goes as a whole."""
-    found = repeats(df, text, length).select("t1", "t2", "kept")
-
-    def start() -> Callable[[list], dict[str, list]]:
-        return lambda values: {"__kept": [v.decode("utf-8", "ignore") for v in values]}
-
-    t1, t2, kept = fresh(df, "t1", "t2", "kept")
-    found = map_texts(found, ["t1", "t2"], "kept", start, {"__kept": "string"}).toDF(t1, t2, kept)
+    found = removals(marked(candidates(_texts(df, text), length), length), length, decoded=True)
+    # a table of its own: no Python worker stands beside the join of whole texts
+    found = written(found.select("t1", "t2", "kept"), "suffix-kept").toDF(*(names := fresh(df, "t1", "t2", "kept")))
+    t1, t2, kept = names
     k1, k2 = text_key(F.coalesce(F.col(text), F.lit("")))
     joined = df.join(found, (k1 == F.col(t1)) & (k2 == F.col(t2)), "left")
     return joined.select(*(F.coalesce(F.col(kept), F.col(c)).alias(c) if c == text else F.col(f"`{c}`") for c in df.columns))

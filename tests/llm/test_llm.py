@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,23 @@ def brute_repeats(texts, length=400):
         yield len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
+def test_suffix_batches_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BATCH", 200_000)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+    texts = spark.range(0, 1000, 1, 1).selectExpr("repeat(cast(id as string), 2000) as text")
+    found = [r.n for r in suffix.written(texts.mapInArrow(sizes, "n long"), "sizes").collect()]
+    assert max(found) < 400_000 < sum(found)
+    assert spark.conf.get(key) == before
+    # nor do the cut texts pass through Python beside the last join
+    passage = "".join(chr(97 + i * i % 23) for i in range(300))
+    rows = [(0, f"AB{passage}éX"), (1, f"CD{passage}èY"), (2, "other")]  # é and è share a byte, which goes with the passage
+    cut = suffix.deduped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert "MapInArrow" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.text for r in cut.collect()} == {0: "ABX", 1: "CDY", 2: "other"}
+
+
 @pytest.mark.parametrize(("hot", "segment"), [(1000, 1 << 19), (2, 300)])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, segment):
     monkeypatch.setattr(suffix, "HOT", hot)
