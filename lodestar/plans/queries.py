@@ -62,6 +62,11 @@ def _near(s: SparkSession, d: str, k: int, sims: bool = False) -> DataFrame:
     return R.knn(_asked(s, d), _hashed(s, d), k, keep=("label", "query_label"), sims=sims)
 
 
+def _rated(s: SparkSession, d: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What ``then`` makes of each query's candidates and their similarities."""
+    return R.knn(_asked(s, d), _hashed(s, d), CANDIDATES, keep=("label", "query_label"), sims=True, then=lambda near: then(near.drop("rank")))
+
+
 def _cards(s: SparkSession, d: str) -> DataFrame:
     size = F.col("p_size")
     return table(s, d, "part").select(
@@ -389,9 +394,9 @@ def detection_stats(s, d):
 
 @_query(_TWO.replace("r.label in (0, 1, 2)", "r.label in (r.query_label, (r.query_label + 1) % 10)"))
 def tie_break_boost(s, d):
-    near = _near(s, d, CANDIDATES, sims=True).drop("rank")
     predicted = F.array(F.col("query_label"), (F.col("query_label") + 1) % 10)
-    return R.rerank(near, [F.array_contains(predicted, F.col("label"))], 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
+    best = _rated(s, d, lambda near: R.rerank(near, [F.array_contains(predicted, F.col("label"))], 5))
+    return best.select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
 
 
 _ROUND = """m{n} as (select query_id, coalesce(max(score) filter (r = 1) - max(score) filter (r = 2), 1.0) as margin from r{n} group by 1),

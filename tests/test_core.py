@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,63 @@ def test_dual_route(spark):
     assert got == {1: ("parallel_modern+fast_hash", "modern", 3, 3), 2: ("single", "fullart", 8, None), 3: ("parallel_whole", "fullart", 7, 9), 4: ("single", "modern", 2, None)}
 
 
+def _lists(rows, k):
+    """Each query's k nearest rows (id, bits) by brute force, ties to the smaller id."""
+    bits = {i: [h & (2**64 - 1) for h in hashes] for i, hashes in rows if hashes is not None and i is not None}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(bits[a], bits[b], strict=True))
+    return {q: sorted((apart(q, i), i) for i in bits if i != q)[:k] for q in bits if q % 20 == 0}
+
+
+@pytest.mark.parametrize("k,same,hashes", [(40, 150, 2), (60, 300, 1), (33, 0, 4), (500, 0, 2)])
+def test_long_lists_equal_brute_force(spark, monkeypatch, k, same, hashes):
+    rng = random.Random(k)
+    some = [[rng.getrandbits(64) - 2**63 for _ in range(hashes)] for _ in range(12)]
+    rows = [(i, some[0] if i < same else [h ^ (1 << rng.randrange(63)) for h in rng.choice(some)]) for i in range(400)] + [(1001, None), (None, some[1])]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, hash array<long>").repartition(6)
+    asked = df.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash"))
+    want = sorted((q, i, d, n) for q, found in _lists(rows, k).items() for n, (d, i) in enumerate(found, 1))
+    for changed in ({}, {"QUERIES": 14, "STRIP": 3, "CHUNK": 7}):
+        with monkeypatch.context() as m:
+            for name, value in changed.items():
+                m.setattr(R, name, value)
+            got = sorted((r.query_id, r.vec_id, r.dist, r["rank"]) for r in R.knn(asked, df, k).collect())
+            assert got == want and len(want) == 20 * min(k, 399)
+    assert R.knn(asked.filter("query_id < 0"), df, k).count() == R.knn(asked, df.filter("vec_id < 0"), k).count() == 0
+
+
+def test_long_lists_hold_little_and_report_little(spark, monkeypatch):
+    """Parts of the rows report only what the whole lists hold, and no vectors of all pairs are held at once."""
+    n, k, parts, steps = 4_000, 500, 8, []
+    rng = np.random.default_rng(1)
+    vectors, hashes = rng.normal(size=(n, 64)).tolist(), rng.integers(-(2**63), 2**63 - 1, (n, 2)).tolist()
+    rows = spark.createDataFrame(list(zip(range(n), hashes, vectors, strict=True)), "vec_id long, hash array<long>, embedding array<float>")
+    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("hash").alias("query_hash"), F.col("embedding").alias("query_embedding"))
+    kind, own = type(rows), type(rows).mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda df, f, *a, **b: (steps.append((f, df)), own(df, f, *a, **b))[1])
+    R.knn(asked, rows, k, sims=True)
+    report, df = steps[-1]
+    batches = df.toArrow().combine_chunks().to_batches(max_chunksize=n // parts)
+    list(report(iter(batches[:1])))
+    tracemalloc.start()
+    reported = sum(out.num_rows for batch in batches for out in report(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(batches) == parts and 200 * k <= reported < 200 * k * 1.5 and peak < 40e6
+
+
+@pytest.mark.parametrize("name,k", [("tie_break_boost", 5)])
+def test_blocks_keep_results_only(spark, monkeypatch, name, k):
+    query = core.queries()[name]
+    at_once = sorted(map(tuple, (df := query(spark, SF)).collect()))
+    kept, own = [], type(df).checkpoint
+    monkeypatch.setattr(type(df), "checkpoint", lambda df, *a, **b: (kept.append(out := own(df, *a, **b)), out)[1])
+    monkeypatch.setattr(R, "QUERIES", 20)
+    assert sorted(map(tuple, query(spark, SF).collect())) == at_once and len(at_once) == 25 * k
+    sizes = [x.count() for x in kept if "query_id" in x.columns]
+    assert len(sizes) > 1 and sum(sizes) == 25 * k
+
+
 def test_corners_and_regions(spark):
     df = spark.createDataFrame([([[9.0, 8.0], [0.0, 1.0], [8.0, 0.0], [1.0, 9.0]], [0.0, 255.0] * 8, [7.0] * 8, [])], "p array<array<double>>, good array<double>, flat array<double>, none array<double>")
     row = df.select(G.ordered_corners(F.col("p")).alias("c"), *(G.valid_region(F.col(n)).alias(n) for n in ("good", "flat", "none")), G.clean_card(F.lit(488), F.lit(680)).alias("clean"), G.clean_card(F.lit(4880), F.lit(6800)).alias("photo")).first()
