@@ -155,8 +155,7 @@ k as (select *, row_number() over (partition by query_id order by score desc, di
 
 @_query(_TWO)
 def two_stage_retrieval(s, d):
-    near = _near(s, d, CANDIDATES, sims=True).drop("rank")
-    best = R.rerank(near, [F.col("label").isin(0, 1, 2)], 5)
+    best = _rated(s, d, lambda near: R.rerank(near, [F.col("label").isin(0, 1, 2)], 5))
     return best.select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
 
 
