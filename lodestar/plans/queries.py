@@ -407,10 +407,10 @@ r{next} as (select *, row_number() over (partition by query_id order by score de
 {_ROUND.format(n=1, next=2, boost="r.label in (r.query_label, (r.query_label + 1) % 10)")}, {_ROUND.format(n=2, next=3, boost="r.vec_id % 7 = r.query_id % 7")}
 select query_id, vec_id, dist, score, r::int as place from r3 where r <= 5""")
 def title_boost(s, d):
-    near = _near(s, d, CANDIDATES, sims=True).drop("rank")
     predicted = F.array(F.col("query_label"), (F.col("query_label") + 1) % 10)
     by_title = F.col("vec_id") % 7 == F.col("query_id") % 7  # stands for the catalog rows of the title that was read
-    return R.rerank(near, [F.array_contains(predicted, F.col("label")), by_title], 5).select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
+    best = _rated(s, d, lambda near: R.rerank(near, [F.array_contains(predicted, F.col("label")), by_title], 5))
+    return best.select("query_id", "vec_id", "dist", "score", F.col("rank").cast("int").alias("place"))
 
 
 @_query(f"with {_near_sql(3)} select query_id, rank, coalesce(p_name, '?') as name, upper(coalesce(p_brand, '?')) as \"set\", coalesce(case when p_size % 5 > 0 then p_type end, '?') as type_line from near left join part on p_partkey = vec_id + 1")
