@@ -58,8 +58,8 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("query_embedding"), F.col("hash").alias("query_hash"))
 
 
-def _near(s: SparkSession, d: str, k: int, sims: bool = False) -> DataFrame:
-    return R.knn(_asked(s, d), _hashed(s, d), k, keep=("label", "query_label"), sims=sims)
+def _near(s: SparkSession, d: str, k: int) -> DataFrame:
+    return R.knn(_asked(s, d), _hashed(s, d), k, keep=("label", "query_label"))
 
 
 def _rated(s: SparkSession, d: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -143,8 +143,8 @@ def fast_path_decisions(s, d):
 
 @_query(f"with {_near_sql(CANDIDATES)}, r as (select query_id, vec_id, sim, dist, row_number() over (partition by query_id order by sim desc, dist, vec_id)::int as place from near) select * from r where place <= 10")
 def cosine_rerank(s, d):
-    near = _near(s, d, CANDIDATES, sims=True)
-    return R.top_k(near, ["query_id"], [F.desc("sim"), F.col("dist"), F.col("vec_id")], 10, "place").select("query_id", "vec_id", "sim", "dist", "place")
+    best = _rated(s, d, lambda near: R.top_k(near, ["query_id"], [F.desc("sim"), F.col("dist"), F.col("vec_id")], 10, "place"))
+    return best.select("query_id", "vec_id", "sim", "dist", "place")
 
 
 _TWO = f"""with {_near_sql(CANDIDATES)}, r as (select *, row_number() over (partition by query_id order by sim desc, dist, vec_id) as r from near),

@@ -169,7 +169,7 @@ def test_long_lists_hold_little_and_report_little(spark, monkeypatch):
     assert len(batches) == parts and 200 * k <= reported < 200 * k * 1.5 and peak < 40e6
 
 
-@pytest.mark.parametrize("name,k", [("tie_break_boost", 5), ("two_stage_retrieval", 5), ("title_boost", 5)])
+@pytest.mark.parametrize("name,k", [("tie_break_boost", 5), ("two_stage_retrieval", 5), ("title_boost", 5), ("cosine_rerank", 10)])
 def test_blocks_keep_results_only(spark, monkeypatch, name, k):
     query = core.queries()[name]
     at_once = sorted(map(tuple, (df := query(spark, SF)).collect()))
